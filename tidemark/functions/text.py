@@ -244,7 +244,8 @@ def norm_title_key(title: Column) -> Column:
 def main_text(html: Column, min_chars: int = 200) -> Column:
     """Readable text of a stored page: drop non-content blocks and tags; null when too short to be an article."""
     t = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?is)<(script|style|noscript|head|nav|header|footer|aside|form|svg|iframe)\b.*?</\1\s*>", " ")
+    for tag in ("script", "style", "noscript", "head", "nav", "header", "footer", "aside", "form", "svg", "iframe"):
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     t = F.regexp_replace(t, r"(?is)<(?:br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
     for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -76,6 +76,8 @@ def expand(sql: str) -> str:
     body = plain(sql).strip()
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ctes} {body}"
 
 

@@ -18,7 +18,6 @@ NAMES = {"Theand": "S1", "Theand thble": "S2", "And": "S3", "Erreth was": "NVDA"
 LINK_UNIVERSE = [f"S{i}" for i in range(20)] + ["NVDA", "MSFT"]
 
 sq = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-cases = lambda pairs, cond: " ".join(f"WHEN {cond(k)} THEN {v}" for k, v in pairs)
 ASCII = r"regexp_replace({c}, '[^\x00-\x7f]', 'a', 'g')"
 
 
@@ -26,7 +25,7 @@ ASCII = r"regexp_replace({c}, '[^\x00-\x7f]', 'a', 'g')"
 SELECT doc_id AS id, array_to_string(list_sort(list_distinct(list_concat(
     list_filter(regexp_extract_all(t, '\b[A-Z]{{2,5}}\b'), lambda x: x NOT IN ({sq(K.TICKER_STOPWORDS)})),
     list_transform(regexp_extract_all(lower(t), '\b({"|".join(sorted(K.COMPANY_ALIASES, key=len, reverse=True))})\b'),
-                   x -> CASE {cases(K.COMPANY_ALIASES.items(), lambda k: f"x = '{k}'").replace("THEN ", "THEN '").replace(" WHEN", "' WHEN")}' END)))), ',') AS tickers
+                   lambda x: CASE x {" ".join("WHEN '%s' THEN '%s'" % kv for kv in K.COMPANY_ALIASES.items())} END)))), ',') AS tickers
 FROM (SELECT doc_id, {ASCII.format(c="text")} AS t FROM documents)""")
 def _(i: Inputs):
     return i["documents"].select(F.col("doc_id").alias("id"), joined(X.extract_tickers(F.col("text"))).alias("tickers"))

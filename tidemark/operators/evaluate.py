@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..session import cut_lineage
 from .asof import forward_returns
 from .keyed import latest_per_key
 
@@ -29,7 +30,7 @@ def average_ranks(df: DataFrame, by: list[str], col: str, out: str, splits: int
 
 def spearman_test(df: DataFrame, by: list[str], x: str, y: str, min_n: int = 8) -> DataFrame:
     """(by, n, rho, p): rank correlation of complete pairs with a normal-approximation two-sided p."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    d = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y))
     d = average_ranks(average_ranks(d, by, x, "__rx"), by, y, "__ry")
     g = d.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("rho")).where((F.col("n") >= min_n) & F.col("rho").isNotNull() & ~F.isnan("rho"))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
@@ -56,6 +57,7 @@ _TEST = ["model", "metric", "horizon", "kind"]
 
 def signal_eval(obs: DataFrame) -> DataFrame:
     """One row per test: n, rho, p and top-third minus bottom-third mean return."""
+    obs = cut_lineage(obs)
     q = obs.groupBy(*_TEST).agg(F.percentile("x", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
     j = obs.join(q, _TEST)
     spread = j.groupBy(*_TEST).agg((F.avg(F.when(F.col("x") >= F.col("q")[1], F.col("y"))) - F.avg(F.when(F.col("x") <= F.col("q")[0], F.col("y")))).alias("spread"))

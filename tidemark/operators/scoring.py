@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lookups as K
 from ..functions import text as X
+from ..session import cut_lineage
 from .articles import days_before, fetch_unprocessed, hours_before, unscored
 from .keyed import patch
 
@@ -50,20 +51,28 @@ def bulk_classify(articles: DataFrame, now: Column, limit: int | None = None, **
     return patch(articles, edits, ["id"])
 
 
-def standardise_by_source(df: DataFrame, col: str, out: str, min_n: int = 8, source: str = "source") -> DataFrame:
-    """(x - mean) / (2.5 sd) clamped to [-1, 1], by source when it has ``min_n`` values, else over all rows.
+def standardise_by_source(df: DataFrame, cols: dict[str, str], min_n: int = 8, source: str = "source") -> DataFrame:
+    """Add out = (x - mean) / (2.5 sd) clamped to [-1, 1] for each {x: out}, by source when it has ``min_n`` values of x,
+    else over all rows. Nulls stay null and a zero deviation counts as 0.25.
 
-    The statistics are one row per source plus one scalar; AQE decides whether they travel by broadcast.
+    One aggregation serves all columns: one row per source, whose moments combine into the overall ones, so the rows
+    themselves are read once for statistics and once for the result.
     """
     sd = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(0.25))
-    stats = (df.where(F.col(col).isNotNull()).groupBy(F.col(source).alias("__src"))
-             .agg(F.avg(col).alias("__mu"), F.stddev_pop(col).alias("__sd"), F.count(col).alias("__n")))
-    total = df.agg(F.struct(F.avg(col).alias("mu"), sd(F.stddev_pop(col)).alias("sd"))).scalar()
-    j = df.join(stats.where(F.col("__n") >= min_n), F.col(source).eqNullSafe(F.col("__src")), "left").withColumn("__all", total)
-    mu = F.when(F.col("__n").isNotNull(), F.col("__mu")).otherwise(F.col("__all.mu"))
-    dev = F.when(F.col("__n").isNotNull(), sd(F.col("__sd"))).otherwise(F.col("__all.sd"))
-    z = F.when(F.col(col).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(col) - mu) / (dev * 2.5))))
-    return j.select(*df.columns, z.alias(out)) if out not in df.columns else j.withColumn(out, z).select(*df.columns)
+    names = list(cols)
+    per = df.groupBy(F.col(source).alias("__src")).agg(*[e for k, x in enumerate(names) for e in (
+        F.count(x).alias(f"__n{k}"), F.avg(x).alias(f"__mu{k}"), F.stddev_pop(x).alias(f"__sd{k}"))])
+    w = Window.partitionBy(F.lit(0))  # over one row per source
+    for k in range(len(names)):
+        n, mu, dev = F.col(f"__n{k}"), F.col(f"__mu{k}"), F.col(f"__sd{k}")
+        total = F.sum(n).over(w)
+        mean = F.sum(n * mu).over(w) / total
+        spread = F.sqrt(F.greatest(F.sum(n * (dev * dev + mu * mu)).over(w) / total - mean * mean, F.lit(0.0)))
+        own = n >= min_n
+        per = per.withColumns({f"__m{k}": F.when(own, mu).otherwise(mean), f"__d{k}": F.when(own, sd(dev)).otherwise(sd(spread))})
+    j = df.join(per.select("__src", *[f"__{c}{k}" for k in range(len(names)) for c in "md"]), F.col(source).eqNullSafe(F.col("__src")))
+    z = lambda k, x: F.when(F.col(x).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(x) - F.col(f"__m{k}")) / (F.col(f"__d{k}") * 2.5))))
+    return j.select(*df.columns, *[z(k, x).alias(cols[x]) for k, x in enumerate(names)])
 
 
 def link_symbols(df: DataFrame, names: dict[str, str] | None = None, patterns: dict[str, str] | None = None,
@@ -86,7 +95,11 @@ def score_articles(articles: DataFrame, model_scores: DataFrame | None = None, n
                    universe: list[str] | None = None, patterns: dict[str, str] | None = None, model: str = "finbert",
                    summary_chars: int | None = None, valence_lexicon: dict[str, float] | None = None,
                    positive=None, negative=None, negators=None) -> DataFrame:
-    """Articles to scored items: lex, finbert, old and ens scores, event, source weight, symbols and title words."""
+    """Articles to scored items: lex, finbert, old and ens scores, event, source weight, symbols and title words.
+
+    The texts are read once: what is kept of them (a few numbers, tags and the title) is written to the checkpoint
+    folder before the per-source statistics, which need it twice.
+    """
     summary = X.text_or_empty(F.col("summary_raw"))
     if summary_chars:
         summary = F.substring(summary, 1, summary_chars)
@@ -105,8 +118,7 @@ def score_articles(articles: DataFrame, model_scores: DataFrame | None = None, n
         a = a.withColumn("raw_fb", F.lit(None).cast("double"))
     items = a.select("id", F.col("published_at").alias("ts"), "source", "title", "raw_lex", "raw_fb", "old", "__ev.event", "__ev.event_w",
                      "src_w", "syms", "ntitle")
-    items = standardise_by_source(items, "raw_lex", "lex")
-    items = standardise_by_source(items, "raw_fb", "finbert")
+    items = standardise_by_source(cut_lineage(items), {"raw_lex": "lex", "raw_fb": "finbert"})
     both = F.array_compact(F.array("lex", "finbert"))
     return items.withColumn("ens", F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / F.size(both)))
 

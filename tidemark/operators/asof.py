@@ -116,10 +116,12 @@ def calendar_prices(points: DataFrame, bars: DataFrame, calendar: DataFrame, hor
     The market calendar gets a running number once; it holds one row per trading day.
     """
     h = horizon if isinstance(horizon, Column) else F.lit(horizon)
-    cal = calendar.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")))
-    span = cal.select(F.col("date").alias("__d"), F.explode(F.sequence(F.col("date"), F.coalesce(F.date_sub(F.lead("date").over(Window.orderBy("date")), 1), F.col("date")),
-                                                                       F.expr("INTERVAL 1 DAY"))).alias(day), "i").select(day, "i")
-    p = points.withColumn("__h", h).join(span, day, "left")
+    w = Window.orderBy("date")  # one row per trading day
+    cal = calendar.select("date").distinct().withColumns({"i": F.row_number().over(w), "__next": F.lead("date").over(w)})
+    until = F.coalesce(F.date_sub("__next", 1), F.col("date"))
+    span = cal.select("i", F.explode(F.sequence("date", until, F.expr("INTERVAL 1 DAY"))).alias(day))
+    first = calendar.agg(F.min("date")).scalar()
+    p = points.withColumn("__h", h).join(span, day, "left").withColumn("i", F.coalesce("i", F.when(F.col(day) < first, 0)))
     entry = cal.select(F.col("date").alias("entry_date"), (F.col("i") - 1).alias("i"))
     exit_ = cal.select(F.col("date").alias("exit_date"), F.col("i").alias("__x"))
     p = p.join(entry, "i", "left").withColumn("__x", F.col("i") + 1 + F.col("__h")).join(exit_, "__x", "left")

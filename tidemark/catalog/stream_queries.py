@@ -1,0 +1,105 @@
+"""Streaming jobs drained over the given tables, and the end-to-end flows."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans import cycles
+from ..session import shared_dir
+from ..streaming import jobs as J
+from .article_queries import NOW, _rule_sql
+from .core import BASE_TABLES, Inputs, base_table, moment, query, rounded, ts_text
+from .signal_queries import MODELS
+from .text_queries import LINK_UNIVERSE, NAMES, NEG, NEGATORS, PATTERNS, POS, VALENCE
+
+_T = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+class Streams(Inputs):
+    """Given tables as file streams; the views over them become streams too."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in BASE_TABLES:
+            # as a glob the path may be one file or a folder of files
+            return J.read_stream(self.spark, f"{self.sf}/{name}.parque[t]", base_table(self.spark, self.sf, name).schema)
+        return super().__getitem__(name)
+
+    def _view(self, name: str) -> str:
+        view = f"stream_{super()._view(name)}"
+        self[name].createOrReplaceTempView(view)
+        return view
+
+
+def _streams(i: Inputs) -> Streams:
+    return Streams(i.spark, i.sf)
+
+
+@query("stream_articles", "SELECT DISTINCT url FROM {fx_articles}")
+def _(i: Inputs):
+    """Which of a url's rows arrives first is up to the file order, so the distinct urls are compared."""
+    return J.drain(J.stream_articles(_streams(i)["fx_articles"], "60 days").select("url"))
+
+
+@query("stream_enrich", f"WITH {_rule_sql()} SELECT * FROM rules")
+def _(i: Inputs):
+    s = J.drain(J.stream_enrich(_streams(i)["fx_articles"], lexicon=VALENCE).select("id", "compound", "ai_sentiment", "ai_relevance_score", "ai_confidence"))
+    return s.withColumn("compound", rounded("compound"))
+
+
+@query("stream_sentiment_index", f"""WITH grid AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 01:00:00', TIMESTAMP '2024-02-02 00:00:00', INTERVAL '1' HOUR)) AS t),
+ long AS ({' UNION ALL '.join(f"SELECT symbol, ts, '{m}' AS model, CAST({m} AS DOUBLE) AS score, src_w * event_w * rel * novelty * (1.0 + least(confirm, 4) * 0.1) AS w, novelty FROM {{fx_items}} WHERE {m} IS NOT NULL" for m in MODELS)}),
+ hit AS (SELECT t, symbol, model, score, novelty, w * pow(0.5, (epoch(t) - epoch(ts)) / 3600.0 / 12.0) AS w, ts >= t - INTERVAL '24' HOUR AS fresh FROM grid JOIN long ON ts < t AND ts >= t - INTERVAL '48' HOUR
+   WHERE t <= (SELECT max(ts) FROM {{fx_items}}) - INTERVAL '2' HOUR)
+SELECT {_T.format(c='t')} AS ts, symbol, model, round(sum(w * score) / sum(w), 6) AS idx, count(*) FILTER (WHERE novelty = 1.0 AND fresh) AS n_lead FROM hit GROUP BY 1, 2, 3""")
+def _(i: Inputs):
+    s = J.drain(J.stream_sentiment_index(_streams(i)["fx_items"], MODELS))
+    return s.select(ts_text("ts").alias("ts"), "symbol", "model", rounded("idx").alias("idx"), "n_lead")
+
+
+@query("stream_zscore_alerts", f"""WITH RECURSIVE h AS (SELECT symbol, ts, z, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM {{fx_snaps}} WHERE model = 'ens' AND abs(z) >= 2 AND n_lead >= 4),
+ f AS (SELECT symbol, rn, ts, z, ts AS last, true AS fired FROM h WHERE rn = 1 UNION ALL
+   SELECT h.symbol, h.rn, h.ts, h.z, CASE WHEN h.ts - f.last >= INTERVAL '6' HOUR THEN h.ts ELSE f.last END, h.ts - f.last >= INTERVAL '6' HOUR FROM f JOIN h ON h.symbol = f.symbol AND h.rn = f.rn + 1)
+SELECT {_T.format(c='ts')} AS ts, symbol, round(z, 6) AS z FROM f WHERE fired""")
+def _(i: Inputs):
+    """Snapshots are landed as files first, as the index job would, and then streamed."""
+    snaps = i["fx_snaps"].select("ts", "symbol", "model", "z", "n_lead")
+    path = f"{shared_dir(i.spark)}/snaps/{uuid.uuid4().hex}"
+    snaps.repartition(1, "model").write.parquet(path)
+    s = J.drain(J.stream_zscore_alerts(J.read_stream(i.spark, path, snaps.schema), allowed=[]))
+    return s.select(ts_text("ts").alias("ts"), "symbol", rounded("z").alias("z"))
+
+
+@query("live_counts", f"SELECT {_T.format(c="date_trunc('hour', published_at)")} AS start, count(*) AS n FROM {{fx_articles}} GROUP BY 1")
+def _(i: Inputs):
+    u = J.latest_updates(J.drain(J.live_counts(_streams(i)["fx_articles"]), "update"), ["start"])
+    return u.select(ts_text("start").alias("start"), "n")
+
+
+@query("stream_notifications", """SELECT id, title FROM {fx_articles} WHERE ai_processed AND ai_relevance_score >= 70
+ AND list_has_any(CASE WHEN len(ai_affected_tickers) > 0 THEN ai_affected_tickers ELSE tickers_raw END, ['NVDA', 'MSFT', 'GOOGL', 'ASML'])""")
+def _(i: Inputs):
+    base = f"{shared_dir(i.spark)}/notified/{uuid.uuid4().hex}"
+    a = _streams(i)["fx_articles"]
+    for _run in range(2):  # a second run over the same data must add nothing
+        J.stream_notifications(a, f"{base}/table", f"{base}/state{_run}").awaitTermination()
+    return i.spark.read.parquet(f"{base}/table").select("id", "title")
+
+
+# ---------------------------------------------------------------- end-to-end flows
+
+@query("news_cycle")
+def _(i: Inputs):
+    """Raw articles to hourly index, z-score and attention."""
+    c = cycles.news_cycle(i["fx_articles"], i["fx_scores"], moment("2024-01-17 00:00:00"), NOW(), names=NAMES, universe=LINK_UNIVERSE, patterns=PATTERNS,
+                          valence_lexicon=VALENCE, positive=POS, negative=NEG, negators=NEGATORS)
+    return c.select(ts_text("ts").alias("ts"), "symbol", "model", rounded("idx").alias("idx"), rounded("z", 4).alias("z"), "n_lead", "att_n", rounded("att_z").alias("att_z"))
+
+
+@query("news_cycle_alerts")
+def _(i: Inputs):
+    c = cycles.news_cycle(i["fx_articles"], i["fx_scores"], moment("2024-01-17 00:00:00"), NOW(), names=NAMES, universe=LINK_UNIVERSE, patterns=PATTERNS,
+                          valence_lexicon=VALENCE, positive=POS, negative=NEG, negators=NEGATORS)
+    return cycles.news_alerts(c, allowed=[]).select(ts_text("ts").alias("ts"), "symbol", rounded("z", 4).alias("z"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
@@ -28,6 +29,41 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def with_value(c: Column, body) -> Column:
+    """``body(c)`` with ``c`` evaluated once however often the body uses it."""
+    return F.element_at(F.transform(F.array(c), lambda x: body(x)), 1)
+
+
+def lower_pattern(pattern: str) -> str:
+    """The pattern in lower case, escapes such as \\W left alone."""
+    return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+
+
+def required_words(pattern: str) -> list[str] | None:
+    """One lower-case literal per top-level alternative without which it cannot match; None if some has no such literal."""
+    out, depth, start, alts = [], 0, 0, []
+    for k, ch in enumerate(pattern + "|"):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            alts.append(pattern[start:k])
+            start = k + 1
+    for alt in alts:
+        head = re.match(r"(?:\(\?-i:)?(?:\\b)?([A-Za-z0-9&' -]+)([?*])?", alt)
+        word = (head[1][:-1] if head[2] else head[1]) if head else ""
+        if len(word) < 2:
+            return None
+        out.append(word.lower())
+    return out
+
+
+def any_case(text: Column, lowered: Column, pattern: str) -> Column:
+    """Case-insensitive search. Plain patterns run on the lowered text, and only where a needed literal occurs at all:
+    a substring scan rejects most texts many times faster than an alternation tried at every character."""
+    hit = text.rlike(ANY_CASE + pattern) if "(?-i:" in pattern else lowered.rlike(lower_pattern(pattern))
+    words = required_words(pattern)
+    return reduce(lambda x, y: x | y, [lowered.contains(w) for w in words]) & hit if words else hit
+
+
 def is_spam(title: Column, summary: Column) -> Column:
     return F.concat_ws(" ", text_or_empty(title), text_or_empty(summary)).rlike(ANY_CASE + K.SPAM)
 
@@ -51,10 +87,12 @@ def about_holding(title: Column, tickers: Column, aliases: dict[str, str] | None
 
 
 def alternation(names) -> str:
-    """One regex group over literal names, longest first so that the longest name wins."""
+    """One regex group over literal names, longest first so that the longest name wins; a lookahead for the possible
+    first characters spares most positions the walk through all names."""
     special = set(r"\.^$|?*+()[]{}&-")
     quoted = ["".join("\\" + ch if ch in special else ch for ch in n) for n in sorted(names, key=lambda n: (-len(n), n))]
-    return "(" + "|".join(quoted) + ")"
+    first = "".join(sorted({n[0] if n[0] not in special else "\\" + n[0] for n in names}))
+    return f"(?=[{first}])(" + "|".join(quoted) + ")"
 
 
 def _map_lookup(mapping: dict[str, str]) -> Column:
@@ -90,9 +128,9 @@ def symbol_candidates(title: Column, summary: Column, tickers: Column, names: di
     universe = sorted(set(universe or []) | set(patterns) | set(names.values()))
     title, summary = text_or_empty(title), text_or_empty(summary)
     link = lambda s, r: F.struct(s.alias("symbol"), r.alias("rel"))
-    parts = [F.filter(F.array(*[
-        link(F.lit(s), F.when(title.rlike(ANY_CASE + p), 1.0).when(summary.rlike(ANY_CASE + p), 0.5))
-        for s, p in patterns.items()]), lambda x: x["rel"].isNotNull())] if patterns else []
+    hits = lambda t, rel: F.array_compact(with_value(F.struct(t.alias("t"), F.lower(t).alias("l")), lambda x: F.array(*[
+        F.when(any_case(x["t"], x["l"], p), link(F.lit(s), F.lit(rel))) for s, p in patterns.items()])))
+    parts = [hits(title, 1.0), hits(summary, 0.5)] if patterns else []
     if names:
         rx, to_symbol = alternation(names), _map_lookup(names)
         named = lambda rel: (lambda m: link(F.element_at(to_symbol, m), F.lit(rel)))
@@ -117,7 +155,7 @@ def event_of(text: Column) -> Column:
     """First matching event class as struct(event, event_w)."""
     text = text_or_empty(text)
     pair = lambda n, w: F.struct(F.lit(n).alias("event"), F.lit(w).alias("event_w"))
-    return _first_hit([(text.rlike(ANY_CASE + p), pair(n, w)) for n, w, p in K.EVENTS], pair(*K.OTHER_EVENT))
+    return with_value(F.lower(text), lambda t: _first_hit([(any_case(t, t, p), pair(n, w)) for n, w, p in K.EVENTS], pair(*K.OTHER_EVENT)))
 
 
 def source_weight(source: Column) -> Column:
@@ -132,21 +170,22 @@ def tokenize(text: Column) -> Column:
 def lexicon_score(text: Column, positive=None, negative=None, negators=None) -> Column:
     """tanh((p-n)/sqrt(p+n+2)) where a negator in the three words before flips a sentiment word.
 
-    One left fold over the tokens that remembers how long ago a negator was seen, so the cost is linear.
+    Words that matter are picked out with their positions first; one fold over these few remembers the last negator.
     """
     positive, negative = list(positive or K.POSITIVE), list(negative or K.NEGATIVE)
     negators = list(negators or K.NEGATORS)
-    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(9).alias("gap"))
+    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(-9).alias("last"))
+    cue = F.array_compact(F.transform(tokenize(text), lambda t, i: F.when(
+        t.isin(positive + negative + negators), F.struct(t.alias("t"), i.alias("i")))))
 
-    def step(acc, t):
-        sign = F.when(t.isin(positive), 1).when(t.isin(negative), -1).otherwise(0)
-        sign = F.when(acc["gap"] <= 3, -sign).otherwise(sign)
-        return F.struct((acc["p"] + F.when(sign > 0, 1).otherwise(0)).alias("p"),
-                        (acc["n"] + F.when(sign < 0, 1).otherwise(0)).alias("n"),
-                        F.when(t.isin(negators), 1).otherwise(F.least(acc["gap"] + 1, F.lit(9))).alias("gap"))
+    def step(a, x):
+        t, near = x["t"], x["i"] - a["last"] <= 3
+        good, bad = t.isin(positive), ~t.isin(positive) & t.isin(negative)
+        up = (good & ~near) | (bad & near)
+        return F.struct((a["p"] + up.cast("int")).alias("p"), (a["n"] + ((good | bad) & ~up).cast("int")).alias("n"),
+                        F.when(t.isin(negators), x["i"]).otherwise(a["last"]).alias("last"))
 
-    return F.aggregate(tokenize(text), start, step,
-                       lambda a: F.tanh((a["p"] - a["n"]) / F.sqrt(a["p"] + a["n"] + 2.0)))
+    return F.aggregate(cue, start, step, lambda a: F.tanh((a["p"] - a["n"]) / F.sqrt(a["p"] + a["n"] + 2.0)))
 
 
 def valence(text: Column, lexicon: dict[str, float] | None = None) -> Column:
@@ -155,20 +194,22 @@ def valence(text: Column, lexicon: dict[str, float] | None = None) -> Column:
     by_value: dict[float, list[str]] = {}
     for w, v in lexicon.items():
         by_value.setdefault(float(v), []).append(w)
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("p"), F.lit(0.0).alias("n"), F.lit(0.0).alias("z"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("p"), F.lit(0.0).alias("n"))
 
     def step(a, t):
         v = _first_hit([(t.isin(ws), F.lit(val)) for val, ws in by_value.items()], F.lit(0.0))
         return F.struct((a["s"] + v).alias("s"), (a["p"] + F.when(v > 0, v + 1.0).otherwise(0.0)).alias("p"),
-                        (a["n"] + F.when(v < 0, 1.0 - v).otherwise(0.0)).alias("n"),
-                        (a["z"] + F.when(v == 0, 1.0).otherwise(0.0)).alias("z"))
+                        (a["n"] + F.when(v < 0, 1.0 - v).otherwise(0.0)).alias("n"))
 
-    def finish(a):
-        total = F.greatest(a["p"] + a["n"] + a["z"], F.lit(1.0))
+    def finish(a, plain):
+        total = F.greatest(a["p"] + a["n"] + plain, F.lit(1.0))
         return F.struct((a["s"] / F.sqrt(a["s"] * a["s"] + 15.0)).alias("compound"),
                         (a["p"] / total).alias("pos"), (a["n"] / total).alias("neg"))
 
-    return F.aggregate(tokenize(text), start, step, finish)
+    words = [w for w, v in lexicon.items() if v]
+    scored = lambda toks: F.struct(F.filter(toks, lambda t: t.isin(words)).alias("hits"), F.size(toks).alias("n"))
+    return with_value(with_value(tokenize(text), scored), lambda x: F.aggregate(
+        x["hits"], start, step, lambda a: finish(a, (x["n"] - F.size(x["hits"])).cast("double"))))
 
 
 def numeric_impact(text: Column) -> Column:

@@ -11,9 +11,9 @@ from ..operators import lab as L
 from ..operators import panel as W
 from ..operators import reports as R
 from ..operators import sentiment as S
+from ..session import cut_lineage
 from ..sources import tables as T
 from .core import NOW_CALLS, Inputs, day_text, joined, moment, query, rounded, ts_text
-from .signal_queries import _signals
 
 NOW_SQL = f"TIMESTAMP '{NOW_CALLS}'"
 _D = "CAST({c} AS VARCHAR)"
@@ -267,7 +267,7 @@ def _(i: Inputs):
 
 
 def _with_y(i: Inputs):
-    r = _ranked(i)
+    r = cut_lineage(_ranked(i))
     return L.strategy_scores(r).join(r.select("date", "symbol", F.col("y5").alias("y")), ["date", "symbol"])
 
 
@@ -296,7 +296,7 @@ def _shown(s):
 
 @query("summarise_strategy", f"WITH {_PN}, {_RK}, {_SC}, {_IC}, {_SP}, {_SUM} SELECT * FROM summ")
 def _(i: Inputs):
-    s = _with_y(i)
+    s = cut_lineage(_with_y(i))
     return _shown(L.summarise_strategy(L.daily_ic(s, ["book"], min_n=10), L.decile_spread(s, ["book"], min_n=10), 5))
 
 
@@ -313,14 +313,14 @@ def _(i: Inputs):
 
 @query("walk_forward_rules", f"""WITH {_PN}, {_RK}, {_COMPLETE}, {_FOLDS}, tst AS (SELECT cp.* FROM cp JOIN folds ON date >= f0 AND date < f0 + INTERVAL '3' MONTH AND n_train >= 400), {_SC.replace('FROM ranked', 'FROM tst')}, {_IC}, {_SP}, {_SUM} SELECT * FROM summ""")
 def _(i: Inputs):
-    r = _ranked(i)
+    r = cut_lineage(_ranked(i))
     return _shown(L.evaluate_books(L.walk_forward_rules(r, "2000-07-01", 5, 400), r, 5, min_ic=10, min_tail=10, min_days=2))
 
 
 @query("walk_forward")
 def _(i: Inputs):
     """Rule books and boosted trees side by side, refit each quarter."""
-    r = _ranked(i)
+    r = cut_lineage(_ranked(i))
     w = L.walk_forward(r, "2001-01-01", 5, 400, rounds=5, min_leaf=20)
     return _shown(L.evaluate_books(w, r, 5, min_ic=10, min_tail=10, min_days=2))
 

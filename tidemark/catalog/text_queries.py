@@ -197,7 +197,7 @@ def _main_text_sql() -> str:
     for ent, ch in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
         t = f"replace({t}, '{ent}', {ch})"
     t = rf"regexp_replace({t}, '[ \t\x0B\f\r]+', ' ', 'g')"
-    return rf"trim(regexp_replace({t}, '\s*\n\s*', chr(10), 'g'))"
+    return rf"trim(regexp_replace({t}, '\s*\n\s*', chr(10), 'g'), CONCAT(' ', chr(10)))"
 
 
 @query("extract_main_text", f"""

@@ -292,7 +292,7 @@ def main_text(html: Column, min_chars: int = 200) -> Column:
     for ent, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(ent), F.lit(ch))
     t = F.regexp_replace(t, r"[ \t\x0B\f\r]+", " ")
-    t = F.trim(F.regexp_replace(t, r"\s*\n\s*", "\n"))
+    t = F.btrim(F.regexp_replace(t, r"\s*\n\s*", "\n"), F.lit(" \n"))
     return F.when(F.length(t) >= min_chars, t)
 
 

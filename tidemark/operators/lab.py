@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .asof import calendar_prices
 from .keyed import patch, upsert
 from .panel import FEATURES, average_pct_rank
@@ -156,7 +157,7 @@ def summarise_strategy(ic: DataFrame, spread: DataFrame, h: int, by: str = "book
 
 
 def evaluate_books(scores: DataFrame, panel: DataFrame, h: int, min_ic: int = 50, min_tail: int = 100, min_days: int = 30) -> DataFrame:
-    s = scores.join(panel.select("date", "symbol", F.col(f"y{h}").alias("y")), ["date", "symbol"])
+    s = cut_lineage(scores.join(panel.select("date", "symbol", F.col(f"y{h}").alias("y")), ["date", "symbol"]))
     return summarise_strategy(daily_ic(s, ["book"], min_n=min_ic), decile_spread(s, ["book"], min_n=min_tail), h, min_days=min_days)
 
 
@@ -210,7 +211,7 @@ def predict_gbt(model, rows: DataFrame) -> DataFrame:
 
 
 def walk_forward_rules(ranked: DataFrame, start: str, h: int, min_train: int = 50_000) -> DataFrame:
-    """Out-of-sample scores of the rule books on all usable folds."""
+    """Out-of-sample scores of the rule books on all usable folds. Pass a materialised ``ranked``: it is read twice."""
     folds = walk_forward_folds(ranked, start, h, min_train).select("fold_start")
     d = _complete(ranked, h).withColumn("fold_start", _quarter(F.col("date"))).join(folds, "fold_start", "left_semi")
     return strategy_scores(d)
@@ -218,7 +219,8 @@ def walk_forward_rules(ranked: DataFrame, start: str, h: int, min_train: int = 5
 
 def walk_forward(ranked: DataFrame, start: str, h: int, min_train: int = 50_000, **gbt) -> DataFrame:
     """Rule books plus boosted trees refit before every fold. The loop is over quarters; each fit is a Spark job."""
-    d = _complete(ranked, h).withColumn("y_rank", average_pct_rank("y", ["date"])).cache()
+    ranked = cut_lineage(ranked)
+    d = cut_lineage(_complete(ranked, h).withColumn("y_rank", average_pct_rank("y", ["date"])))
     parts = [walk_forward_rules(ranked, start, h, min_train)]
     for f in walk_forward_folds(ranked, start, h, min_train).orderBy("fold_start").collect():
         train = d.where((F.col("date") <= F.lit(f.cutoff)) & F.col("y").isNotNull())

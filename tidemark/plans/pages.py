@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import lookups as K
 from ..operators import sentiment as S
-from ..operators.articles import days_before, news_feed, symbol_enrich
+from ..operators.articles import days_before, news_feed
 
 
 def _list(df: DataFrame, *cols: str) -> Column:
@@ -25,7 +26,9 @@ def ticker_page(symbol: str, snaps: DataFrame, bars: DataFrame, articles: DataFr
     last = predictions.agg(F.max("pred_date")).scalar()
     lab = predictions.where((F.col("symbol") == symbol) & (F.col("pred_date") == last))
     pos = positions.where(F.col("symbol") == symbol).orderBy(F.desc("signal_date"), "book", "side").limit(12)
-    one = symbol_enrich(snaps.sparkSession.range(1).select(F.lit(symbol).alias("symbol")), universe)
-    return one.select("symbol", "name", "sector", perf.alias("perf"), _list(S.ticker_series(snaps, symbol, days_before(now, days)), "model", "series").alias("series"),
+    known = universe.where(F.col("symbol") == symbol).agg(F.struct(F.max("name").alias("name"), F.max("sector").alias("sector"))).scalar()
+    sector = F.coalesce(known["sector"], F.lit("Macro" if symbol in K.MACRO else ""))
+    one = snaps.sparkSession.range(1)
+    return one.select(F.lit(symbol).alias("symbol"), F.coalesce(known["name"], F.lit(symbol)).alias("name"), sector.alias("sector"), perf.alias("perf"), _list(S.ticker_series(snaps, symbol, days_before(now, days)), "model", "series").alias("series"),
                       _list(cur, "model", "idx", "z", "n_lead", "att_z").alias("current"), price.alias("price"), _list(items, "published_at", "id", "title", "source", "fb").alias("news"),
                       _list(lab, "book", "rank", "score").alias("lab"), _list(pos, "signal_date", "book", "side", "status", "net_excess_pct").alias("positions"))

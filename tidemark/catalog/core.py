@@ -25,7 +25,17 @@ def base_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     if any(isinstance(f.dataType, T.TimestampNTZType) for f in schema):
         schema = T.StructType([T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType) for f in schema])
         return spark.read.schema(schema).parquet(path)
-    return spark.read.parquet(path)
+    df = spark.read.parquet(path)
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a plain scan at least one split per core: a small file is a single row group and would be one task.
+
+    A large table has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 @dataclass(frozen=True)

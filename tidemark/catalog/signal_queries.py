@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
 from ..operators import sentiment as S
+from ..session import cut_lineage
 from .core import Inputs, day_text, moment, query, rounded, ts_text
 
 MODELS = ("lex", "finbert", "ens", "old")
@@ -59,7 +60,7 @@ def _(i: Inputs):
 
 def latest_unusual(i: Inputs):
     """The flagship: symbols whose newest sentiment index is furthest from its own two-week norm."""
-    return S.top_signals(S.rolling_zscore(_index(i)))
+    return S.top_signals(S.rolling_zscore(cut_lineage(_index(i))))
 
 
 @query("unusual_symbols", f"""WITH {_INDEX}, {_Z.format(src='idx')} SELECT symbol, round(idx, 6) AS idx, round(z, 4) AS z, n_lead FROM zz WHERE model = 'ens' AND ts = (SELECT max(ts) FROM zz WHERE model = 'ens') AND n_lead >= 4

@@ -168,6 +168,11 @@ def tokenize(text: Column) -> Column:
 
 
 def lexicon_score(text: Column, positive=None, negative=None, negators=None) -> Column:
+    """:func:`lexicon_score_of` over a text."""
+    return lexicon_score_of(tokenize(text), positive, negative, negators)
+
+
+def lexicon_score_of(tokens: Column, positive=None, negative=None, negators=None) -> Column:
     """tanh((p-n)/sqrt(p+n+2)) where a negator in the three words before flips a sentiment word.
 
     Words that matter are picked out with their positions first; one fold over these few remembers the last negator.
@@ -175,7 +180,7 @@ def lexicon_score(text: Column, positive=None, negative=None, negators=None) ->
     positive, negative = list(positive or K.POSITIVE), list(negative or K.NEGATIVE)
     negators = list(negators or K.NEGATORS)
     start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(-9).alias("last"))
-    cue = F.array_compact(F.transform(tokenize(text), lambda t, i: F.when(
+    cue = F.array_compact(F.transform(tokens, lambda t, i: F.when(
         t.isin(positive + negative + negators), F.struct(t.alias("t"), i.alias("i")))))
 
     def step(a, x):
@@ -189,6 +194,11 @@ def lexicon_score(text: Column, positive=None, negative=None, negators=None) ->
 
 
 def valence(text: Column, lexicon: dict[str, float] | None = None) -> Column:
+    """:func:`valence_of` over a text."""
+    return valence_of(tokenize(text), lexicon)
+
+
+def valence_of(tokens: Column, lexicon: dict[str, float] | None = None) -> Column:
     """struct(compound, pos, neg) of summed word valences, compound = s / sqrt(s^2 + 15)."""
     lexicon = {**K.GENERAL_VALENCE, **K.FINANCE_VALENCE} if lexicon is None else lexicon
     by_value: dict[float, list[str]] = {}
@@ -208,7 +218,7 @@ def valence(text: Column, lexicon: dict[str, float] | None = None) -> Column:
 
     words = [w for w, v in lexicon.items() if v]
     scored = lambda toks: F.struct(F.filter(toks, lambda t: t.isin(words)).alias("hits"), F.size(toks).alias("n"))
-    return with_value(with_value(tokenize(text), scored), lambda x: F.aggregate(
+    return with_value(with_value(tokens, scored), lambda x: F.aggregate(
         x["hits"], start, step, lambda a: finish(a, (x["n"] - F.size(x["hits"])).cast("double"))))
 
 

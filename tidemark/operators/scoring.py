@@ -104,8 +104,8 @@ def score_articles(articles: DataFrame, model_scores: DataFrame | None = None, n
     if summary_chars:
         summary = F.substring(summary, 1, summary_chars)
     a = articles.withColumn("__sum", summary).withColumn("__text", F.concat(X.text_or_empty(F.col("title")), F.lit(". "), F.col("__sum")))
-    raw_lex = (0.6 * X.lexicon_score(F.col("__text"), positive, negative, negators)
-               + 0.4 * X.valence(F.col("__text"), valence_lexicon)["compound"])
+    raw_lex = X.with_value(X.tokenize(F.col("__text")), lambda t: 0.6 * X.lexicon_score_of(t, positive, negative, negators)
+                           + 0.4 * X.valence_of(t, valence_lexicon)["compound"])
     old = reduce(lambda acc, kv: acc.when(F.col("ai_sentiment") == kv[0], kv[1]), list(K.LABEL_SCORE.items())[1:],
                  F.when(F.col("ai_sentiment") == "bullish", 1.0))
     a = a.withColumns({"raw_lex": raw_lex, "__ev": X.event_of(F.col("__text")), "old": old,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lookups as K
+from ..session import cut_lineage
 from .keyed import latest_per_key
 
 _HOUR = 3_600_000_000
@@ -123,10 +124,14 @@ def rolling_zscore(snaps: DataFrame, days: int = 14, min_n: int = 20, min_sd: fl
 
 
 def backfill_index(items: DataFrame, start: Column, end: Column, models=("lex", "finbert", "ens", "old")) -> DataFrame:
-    """Complete hourly snapshots over a period: index, z-score and attention."""
-    snaps = rolling_zscore(sentiment_index(items, start, end, models))
+    """Complete hourly snapshots over a period: index, z-score and attention.
+
+    The index is written once (a row per symbol, model and hour) because both the z-scores and the grid of the
+    attention counts read it.
+    """
+    snaps = cut_lineage(sentiment_index(items, start, end, models))
     att = attention(items.where(F.col("ts") <= end), snaps.select("symbol", "ts").distinct())
-    return snaps.join(att, ["symbol", "ts"], "left").select("ts", "symbol", "model", "idx", "z", "n_lead", "wsum", "att_n", "att_z")
+    return rolling_zscore(snaps).join(att, ["symbol", "ts"], "left").select("ts", "symbol", "model", "idx", "z", "n_lead", "wsum", "att_n", "att_z")
 
 
 def zscore_alerts(snaps: DataFrame, z: float = 2.0, min_stories: int = 4, cooldown_h: int = 6, allowed=None, model: str = "ens") -> DataFrame:

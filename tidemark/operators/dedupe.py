@@ -116,20 +116,19 @@ def _peel_round(todo: DataFrame, prefixes: DataFrame, width: int, threshold: flo
     return leaders.select("id", "t", "tkey", "bucket"), hit.select("id").distinct()
 
 
-def greedy_leaders(todo: DataFrame, edges: DataFrame, width: int | None, max_rounds: int = 200) -> DataFrame:
+def greedy_leaders(todo: DataFrame, edges: DataFrame, width: int | None) -> DataFrame:
     """Leaders of the sequential rule "keep a row unless an earlier kept row is similar and near in time".
 
     ``todo``: (id, t, tkey, bucket), ``edges``: symmetric (a, b) between distinct keys; rows of one key are similar too.
     Each round elects every row with no undecided similar row before it in reach, then drops what those leaders cover.
-    Work per round is one row per (key, bucket) plus the undecided rows.
+    Work per round is one row per (key, bucket) plus the undecided rows. Every round settles at least the first row of
+    each group of similar titles, so the loop ends; a title that returns for months adds one round per window.
     """
     reach = edges.select("a", "b").unionByName(todo.select(F.col("tkey").alias("a"), F.col("tkey").alias("b")).distinct())
     reach = cut_lineage(reach)
     todo, leaders = cut_lineage(todo.select("id", "t", "tkey", "bucket")), None
     w = width if width is not None else 1 << 62
-    for _ in range(max_rounds):
-        if todo.isEmpty():
-            return leaders if leaders is not None else todo
+    while not todo.isEmpty():
         nodes = todo.groupBy("tkey", "bucket").agg(F.min(F.struct("t", "id")).alias("first"), F.max("t").alias("hi"))
         me = nodes.select(F.col("tkey").alias("a"), "bucket", "first").join(reach, "a")
         same = nodes.select(F.col("tkey").alias("b"), "bucket", F.col("first").alias("other"))
@@ -147,7 +146,7 @@ def greedy_leaders(todo: DataFrame, edges: DataFrame, width: int | None, max_rou
         hit = ((F.col("u.tkey") == F.col("c.tkey")) & (F.col("u.bucket") == F.col("c.bucket"))
                & (F.struct("u.t", "u.id") >= F.struct("c.lt", "c.lid")) & (F.col("u.t") - F.col("c.lt") <= w))
         todo = cut_lineage(u.join(c, hit, "left_anti"))
-    raise RuntimeError(f"leaders not settled after {max_rounds} rounds")
+    return leaders if leaders is not None else todo
 
 
 def story_clusters(items: DataFrame, threshold: float = 0.6, hours: int = 48, peel_rounds: int = 2) -> DataFrame:

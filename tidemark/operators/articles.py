@@ -87,7 +87,7 @@ def news_feed(articles: DataFrame, scores: DataFrame, now: Column, hours: int =
         a = a.where(F.contains(F.lower("title"), F.lit(q.lower())))
     if before is not None:
         a = a.where(F.col("published_at") < before)
-    if f == "claude" or f == "analysed":
+    if f == "analysed":
         a = a.where(F.col("ai_summary").isNotNull())
     elif f == "holdings":
         a = a.where(F.col("title").rlike(X.ANY_CASE + K.HOLDING_TITLE))

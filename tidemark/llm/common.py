@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -51,6 +53,27 @@ class WordHashes(dict):
         return out
 
 
+def text_words(text: str, pattern: re.Pattern, gap: re.Pattern, size: int = 1 << 20) -> Iterator[list[str]]:
+    """``pattern.findall`` over the whole text in slices of about ``size`` characters that end where ``gap`` matches, so that lists stay small."""
+    at = 0
+    while at < len(text):
+        cut = gap.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield pattern.findall(text, at, end)
+        at = end
+
+
+WORD, NO_WORD = re.compile(r"\w+"), re.compile(r"\W")
+
+
+def word_hashes(text: str | None, cache: WordHashes) -> np.ndarray:
+    """Hashes of the lower-cased ``\\w+`` words of a text; none for null."""
+    if not text:
+        return np.empty(0, U64)
+    parts = [cache.of(ws) for ws in text_words(text.lower(), WORD, NO_WORD)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U64(32))) * _P2
     h = (h ^ (h >> U64(29))) * _P1

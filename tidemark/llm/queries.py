@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import decontaminate, ngram_join, secret_scan, source_mix
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +29,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query("op4_ngram_jaccard_join")
 def _(spark, sf):
     return ngram_join.ngram_links(table(spark, sf, "documents"))
+
+
+@query("op5_secret_scan")
+def _(spark, sf):
+    """The table has no repository column: a source is an owner, its part in one language a repository."""
+    repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf, "documents"), repo=repo, owner="source"))
+
+
+@query("op6_mix_sources")
+def _(spark, sf):
+    return source_mix.mix_sources(table(spark, sf, "documents"))
+
+
+@query("op9_decontaminate")
+def _(spark, sf):
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

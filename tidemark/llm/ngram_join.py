@@ -192,7 +192,8 @@ def ngram_links(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall:
                     out.append((r.block, r.outer, r.g, r.weight, grams.tobytes()))
             yield pd.DataFrame(out, columns=["block", "outer", "g", "weight", "grams"])
 
-    grams = (texts.join(wanted, "rep").select("g", "weight", "block", "outer", "text")
+    # one plan at every size: texts and members meet by a shuffle, which an executor's memory never limits
+    grams = (texts.join(wanted.hint("merge"), "rep").select("g", "weight", "block", "outer", "text")
              .mapInPandas(to_sets, "block long, outer boolean, g binary, weight long, grams binary"))
 
     columns = ["g", "root", "links", "block", "blob"]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, secret_scan, source_mix
+from . import decontaminate, ngram_join, secret_scan, source_mix, weak_toxicity
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def repository() -> Column:
+    """``documents`` has no repository column: a source is an owner, its part in one language a repository."""
+    return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+
+
+@query("op2_weak_toxicity")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = weak_toxicity.score_documents(docs, weak_toxicity.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", weak_toxicity.fold(3, 1).alias("held_out"), "score", "predicted")
+
+
 @query("op4_ngram_jaccard_join")
 def _(spark, sf):
     return ngram_join.ngram_links(table(spark, sf, "documents"))
@@ -33,9 +45,7 @@ def _(spark, sf):
 
 @query("op5_secret_scan")
 def _(spark, sf):
-    """The table has no repository column: a source is an owner, its part in one language a repository."""
-    repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
-    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf, "documents"), repo=repo, owner="source"))
+    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf, "documents"), repo=repository(), owner="source"))
 
 
 @query("op6_mix_sources")

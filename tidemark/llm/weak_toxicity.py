@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_WORD, materialise, text_words
+from .common import NO_WORD, U64, WordHashes, materialise, mix, text_words, word_hashes
+from .ngram_join import gram_set
 
 #: Built-in lexicon voters: common insults of four languages. Mined voters extend it.
 LEXICON = ("idiot moron loser scum trash clown stupid pathetic worthless disgusting dumb jerk fool liar filth vermin "
@@ -44,7 +45,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     ids = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
            .where(~held_out).dropDuplicates(["doc_id"]).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id")
+    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+
+
+def without_copies(sample: DataFrame) -> DataFrame:
+    """The sample with one row of each group of texts that agree on one of two MinHash values of their word 5-grams: what a text is copied for
+    says nothing about toxicity, yet would make its rare words look telling. Ids and values of the bounded sample go through the driver."""
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
+        for b in batches:
+            sets = [gram_set(word_hashes(t, cache), 5) for t in b["text"]]
+            yield b.assign(k1=[int(g.min() >> U64(1)) if len(g) else -i - 1 for i, g in zip(b["doc_id"], sets)],
+                           k2=[int(mix(g ^ U64(12345)).min() >> U64(1)) if len(g) else -i - 1 for i, g in zip(b["doc_id"], sets)])
+
+    all_rows = materialise(sample.repartition("doc_id").mapInPandas(keyed, "doc_id long, text string, label int, k1 long, k2 long"), "keyed-sample")
+    ids = all_rows.select("doc_id", "label", "k1", "k2").toPandas().sort_values(["doc_id", "k1"])
+    kept = ids.drop_duplicates(["label", "k1"]).drop_duplicates(["label", "k2"])["doc_id"].astype(int).tolist()
+    rows = sample.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
+    return all_rows.select("doc_id", "label", "text").join(F.broadcast(rows), "doc_id")
 
 
 def fold(modulus: int, remainder: int) -> Column:
@@ -70,7 +88,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, smoo
     """Expectation-maximisation over a hidden class, from ``start`` (a first guess of the class of every row).
 
     Maximisation: a voter's accuracy is the mean posterior where it fires, drawn to the prior by ``smooth`` rows. Correlations are those of the
-    votes around their class means; a voter's weight is divided by the sum of its positive correlations, so near copies of a voter count once.
+    votes around their class means; a voter's weight is divided by the sum of its correlations above one half, so near copies of a voter count once.
     """
     n, m = votes.shape
     q = start.astype(float)
@@ -88,7 +106,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, smoo
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = cov / sd[:, None] / sd
             np.fill_diagonal(corr, 1.0)
-            share = 1 / np.where(corr > 0.2, corr, 0.0).sum(axis=1)
+            share = 1 / np.where(corr > 0.5, corr, 0.0).sum(axis=1)
         model = LabelModel(silent, accuracy, corr, share)
         new = model.posterior(votes)
         done = np.abs(new - q).max(initial=0) < 1e-6
@@ -98,7 +116,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, smoo
     return model
 
 
-def logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, target: np.ndarray, l2: float = 1e-4, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, target: np.ndarray, l2: float = 1e-6, rounds: int = 500, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on sparse presence features and soft targets; the last entry is the bias (Adam steps)."""
     w, first, second = np.zeros(m + 1), np.zeros(m + 1), np.zeros(m + 1)
     for k in range(1, rounds + 1):
@@ -137,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_voter
 
     The driver gets term counts of at most ``max_terms`` terms and their hits in the sample, never texts. With no usable row the built-in voters stay.
     """
-    sample = materialise(labelled_sample(docs, labels, "toxic", fold(3, 1), max_rows).repartition("doc_id"), "toxic-sample")
+    sample = materialise(without_copies(labelled_sample(docs, labels, "toxic", fold(3, 1), max_rows)), "toxic-sample")
 
     def count(batches: Iterator[pd.DataFrame], only: int, wanted: frozenset | None) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
@@ -156,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_voter
     hits = {r["term"]: r["n"] for r in often} | {t: 0 for t in LEXICON if t not in {r["term"] for r in often}}
     misses = {r["term"]: r["n"] for r in counts(0, frozenset(hits)).collect()}
     odds = {t: np.log((h + 0.5) / (pos + 1)) - np.log((misses.get(t, 0) + 0.5) / (neg + 1)) for t, h in hits.items()}
-    sure = {t: odds[t] / np.sqrt(1 / (h + 0.5) + 1 / (misses.get(t, 0) + 0.5)) for t, h in hits.items()}
-    telling = sorted((t for t in hits if sure[t] > 3.0 and odds[t] > 1.5 or t in LEXICON), key=lambda t: (-sure[t], t))[:max_terms]
+    sure = {t: odds[t] - 2 * np.sqrt(1 / (h + 0.5) + 1 / (misses.get(t, 0) + 0.5)) for t, h in hits.items()}  # lower bound of the log odds ratio
+    telling = sorted((t for t in hits if sure[t] > 1.5 or t in LEXICON), key=lambda t: (-sure[t], t))[:max_terms]
     voters, index = telling[:max_voters], {t: k for k, t in enumerate(telling)}
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, secret_scan, source_mix, weak_toxicity
+from . import decontaminate, license_scan, ngram_join, secret_scan, source_mix, token_counts, weak_toxicity
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,6 +38,11 @@ def _(spark, sf):
     return scored.select("doc_id", weak_toxicity.fold(3, 1).alias("held_out"), "score", "predicted")
 
 
+@query("op3_token_counts")
+def _(spark, sf):
+    return token_counts.token_counts(table(spark, sf, "documents"))
+
+
 @query("op4_ngram_jaccard_join")
 def _(spark, sf):
     return ngram_join.ngram_links(table(spark, sf, "documents"))
@@ -53,6 +58,11 @@ def _(spark, sf):
     return source_mix.mix_sources(table(spark, sf, "documents"))
 
 
+@query("op8_license_scan")
+def _(spark, sf):
+    return license_scan.summary(license_scan.license_scan(table(spark, sf, "documents")))
+
+
 @query("op9_decontaminate")
 def _(spark, sf):
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -183,11 +183,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, max_rate: float = 0.15, reca
     schema = "doc_id long, item_id long, edits int, item_words int, first_word long, end_word long"
 
     def search(items: dict[int, np.ndarray]) -> DataFrame:
-        finder = Finder(items, max_rate, choose_walks(items, max_rate, recall))
-        shared = docs.sparkSession.sparkContext.broadcast(finder)
+        walks = choose_walks(items, max_rate, recall)
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            f, words = shared.value, WordHashes()
+            f, words = Finder(shared.value, max_rate, walks), WordHashes()
             for b in batches:
                 ids, texts = b["doc_id"].tolist(), b["text"].tolist()
                 out, group, held = [], [], 0

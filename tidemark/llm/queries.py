@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, ngram_join, secret_scan, source_mix, token_counts, weak_toxicity
+from . import decontaminate, license_scan, ngram_join, quality_net, secret_scan, source_mix, token_counts, weak_toxicity
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,6 +58,13 @@ def _(spark, sf):
     return source_mix.mix_sources(table(spark, sf, "documents"))
 
 
+@query("op7_quality_net")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    scored = quality_net.score_documents(docs, quality_net.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", weak_toxicity.fold(5, 0).alias("held_out"), "score", "predicted")
+
+
 @query("op8_license_scan")
 def _(spark, sf):
     return license_scan.summary(license_scan.license_scan(table(spark, sf, "documents")))

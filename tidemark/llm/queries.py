@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, ngram_join, quality_net, secret_scan, source_mix, token_counts, weak_toxicity
+from . import decontaminate, license_scan, ngram_join, quality_net, robust_quality, secret_scan, source_mix, token_counts, weak_toxicity
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,12 @@ def repository() -> Column:
     return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
 
 
+@query("op1_robust_quality")
+def _(spark, sf):
+    """The distance is left out: its last digits depend on the order of sums."""
+    return robust_quality.robust_outliers(table(spark, sf, "documents")).drop("lang", "source", "n_capitals", "d2")
+
+
 @query("op2_weak_toxicity")
 def _(spark, sf):
     docs = table(spark, sf, "documents")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, ngram_join, quality_net, robust_quality, secret_scan, source_mix, token_counts, weak_toxicity
+from . import decontaminate, language_fusion, license_scan, ngram_join, quality_net, robust_quality, secret_scan, source_mix, token_counts, weak_toxicity
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,10 @@ def _(spark, sf):
 @query("op9_decontaminate")
 def _(spark, sf):
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op10_language_fusion")
+def _(spark, sf):
+    """Languages of all pages; the score is rounded, its last digits depend on the order of sums."""
+    found = language_fusion.identify(table(spark, sf, "pages"), table(spark, sf, "documents"))
+    return found.withColumn("score", F.round("score", 6))

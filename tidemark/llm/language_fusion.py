@@ -52,7 +52,8 @@ def models(docs: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray]
                     table += np.bincount(ids, minlength=BINS)
                 else:
                     np.add.at(table, ids, 1)
-        yield pd.DataFrame({"lang": list(tables), "part": [v.tobytes() for v in tables.values()]})
+        if tables:
+            yield pd.DataFrame({"lang": list(tables), "part": [v.tobytes() for v in tables.values()]})
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -60,7 +61,8 @@ def models(docs: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray]
             for lang, p in zip(b["lang"], b["part"]):
                 v = np.frombuffer(p, np.int64)
                 sums[lang] = sums[lang] + v if lang in sums else v
-        yield pd.DataFrame({"lang": list(sums), "part": [v.tobytes() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "part": [v.tobytes() for v in sums.values()]})
 
     texts = docs.select(F.lower(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string")).where("lang is not null and lang <> ''")
     rows = texts.mapInPandas(count, "lang string, part binary").repartition("lang").mapInPandas(total, "lang string, part binary").orderBy("lang").collect()

@@ -89,7 +89,8 @@ def word_vectors(docs: DataFrame, rows: int, dim: int, seed: int, block: int = 2
             for k, p in zip(b["block"], b["part"]):
                 v = np.frombuffer(p, np.int32).astype(np.int64)
                 sums[k] = sums[k] + v if k in sums else v
-        yield pd.DataFrame({"block": list(sums), "part": [v.tobytes() for v in sums.values()]}).astype({"block": "int64"})
+        if sums:
+            yield pd.DataFrame({"block": list(sums), "part": [v.tobytes() for v in sums.values()]}).astype({"block": "int64"})
 
     parts = docs.select(F.col("text").cast("string")).mapInPandas(gather, "block long, part binary").repartition("block").mapInPandas(total, "block long, part binary").collect()
     table = np.zeros((rows, dim))

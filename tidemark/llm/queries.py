@@ -31,6 +31,55 @@ def repository() -> Column:
     return F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
 
 
+def _words(text: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_words("text")} AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[k:k + 4], ' ') END AS gram
+      FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, least(d.doc_id, coalesce(r.low, d.doc_id)) AS class_id, coalesce(l.k, 0) AS n_links FROM documents d
+LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY 1) r ON r.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY 1) l ON l.a = d.doc_id"""
+
+_KEY = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+_HEAD = f"""(?:{_KEY})["'']?\\x20*[:=]\\x20*["'']?"""
+_PATTERNS = [(0, _HEAD + "[A-Za-z0-9+/_.=-]+", 6), (1, "AKIA[A-Z0-9]+", 20), (2, "[0-9a-f]+", 24), (3, "[A-Za-z0-9+/_=-]+", 16)]
+SECRET_SQL = f"""
+WITH t AS (SELECT doc_id, source AS owner, concat(coalesce(source, ''), '/', coalesce(lang, '')) AS repo, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(f"SELECT doc_id, owner, {r} AS rank, {k} AS least, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM t" for r, p, k in _PATTERNS)}),
+one AS (SELECT doc_id, owner, rank, least, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, unnest(generate_series(1, len(m))) AS i FROM raw WHERE len(m) > 0),
+placed AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+       CASE WHEN rank = 0 THEN regexp_replace(v, '^{_HEAD}', '') ELSE v END AS value FROM one WINDOW w AS (PARTITION BY doc_id, rank ORDER BY i)),
+c AS (SELECT doc_id, owner, rank, CAST(a AS BIGINT) AS a, CAST(a + length(v) AS BIGINT) AS b, value,
+      regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AS varied FROM placed WHERE length(value) >= least),
+d AS (SELECT * FROM c WHERE rank < 3 OR varied),
+o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM d GROUP BY 1),
+e AS (SELECT d.*, varied AND owners <= 2 AS live FROM d JOIN o USING (value)),
+k AS (SELECT * FROM e WHERE rank < 3 UNION ALL SELECT * FROM e x WHERE rank = 3 AND live
+      AND NOT EXISTS (SELECT 1 FROM e y WHERE y.doc_id = x.doc_id AND y.rank < 3 AND y.a < x.b AND x.a < y.b)),
+s AS (SELECT *, concat(['assign', 'access', 'hex', 'live'][rank + 1], ':', a, ':', b) AS s FROM k)
+SELECT t.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, rank), '') AS spans,
+       count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_examples
+FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id"""
+
+MIX_SQL = """
+WITH z AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY 1),
+r AS (SELECT source, CASE WHEN size > 0 THEN pow(size, 0.5) / (SELECT sum(pow(size, 0.5)) FROM z) * (SELECT sum(size) FROM z) / size ELSE 1.0 END AS rate FROM z),
+p AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lf)) OVER (PARTITION BY source ORDER BY k) AS c
+      FROM (SELECT *, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0 END) OVER (PARTITION BY source ORDER BY k) AS lf
+            FROM (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INT))) AS k FROM r))),
+u AS (SELECT *, (CAST(concat('0x', substring(md5(concat('7:', doc_id)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT u.*, (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM u.source AND p.c < u.u) AS n_copies FROM u)
+SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5(concat('7:order:', doc_id, ':', copy)) AS shuffle_key
+FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM n WHERE n_copies > 0)"""
+
+
 @query("op1_robust_quality")
 def _(spark, sf):
     """The distance is left out: its last digits depend on the order of sums."""
@@ -49,17 +98,17 @@ def _(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"))
 
 
-@query("op4_ngram_jaccard_join")
+@query("op4_ngram_jaccard_join", JACCARD_SQL)
 def _(spark, sf):
     return ngram_join.ngram_links(table(spark, sf, "documents"))
 
 
-@query("op5_secret_scan")
+@query("op5_secret_scan", SECRET_SQL)
 def _(spark, sf):
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf, "documents"), repo=repository(), owner="source"))
 
 
-@query("op6_mix_sources")
+@query("op6_mix_sources", MIX_SQL)
 def _(spark, sf):
     return source_mix.mix_sources(table(spark, sf, "documents"))
 

@@ -128,17 +128,19 @@ def blank_live(docs: DataFrame, *, mark: str = "[secret]", min_length: int = 16,
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     may = F.coalesce(may_match(F.col("text"), min_length), F.lit(False))
     scanned = secret_scan(docs.where(may).select(key.alias("doc_id"), *[c for c in keep if c != "doc_id"]), min_length=min_length, **options)
-    live = scanned.select(F.col("doc_id").alias("__key"), F.transform(F.filter("found", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans"))
-    live = materialise(live.where(F.size("__spans") > 0).dropDuplicates(["__key"]), "live")
+    live = scanned.select(F.col("doc_id").alias("key"), F.transform(F.filter("found", lambda s: s["live"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    live = materialise(live.where(F.size("spans") > 0).dropDuplicates(["key"]), "live")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    old = F.col("doc")["text"]
 
     def step(acc, s):
-        new = F.concat(acc["out"], F.expr("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        new = F.concat(acc["out"], old.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), new.alias("out"))).otherwise(F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out")))
 
-    blanked = F.aggregate("__spans", first, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    joined = docs.where(may).withColumn("__key", key).join(live, "__key", "left").withColumn("__text", F.when(F.col("__spans").isNotNull(), blanked).otherwise(F.col("text")))
-    new = {"text": F.col("__text")}
+    blanked = F.aggregate("spans", first, step, lambda acc: F.concat(acc["out"], old.substr(acc["at"] + 1, F.length(old))))
+    packed = docs.where(may).select(F.struct("*").alias("doc"), key.alias("key"))  # other columns cannot clash
+    changed = packed.join(live, "key", "left").select("doc", F.col("spans").isNotNull().alias("hit"), F.when(F.col("spans").isNotNull(), blanked).otherwise(old).alias("text"))
+    new = {c: F.col("doc")[c] for c in keep} | {"text": F.col("text")}
     if "n_chars" in keep:
-        new["n_chars"] = F.when(F.col("__spans").isNotNull(), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return docs.where(~may).unionByName(joined.select(*[new.get(c, F.col(c)).alias(c) for c in keep]))
+        new["n_chars"] = F.when(F.col("hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc")["n_chars"])
+    return docs.where(~may).unionByName(changed.select(*[new[c].alias(c) for c in keep]))

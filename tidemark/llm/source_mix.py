@@ -49,10 +49,10 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame, targets: DataFrame | None = None, *, seed: int = 7, alpha: float = 0.5, epochs: float = 1.0) -> DataFrame:
     """``docs`` with ``n_copies``, the least count whose cumulative probability reaches the document's number."""
-    tables = materialise(poisson_tables(source_rates(docs, targets, alpha=alpha, epochs=epochs)), "poisson").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    numbered = docs.withColumn("__u", uniform(F.lit(seed), F.col("doc_id")))
-    return (numbered.join(tables, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-            .withColumn("n_copies", F.size(F.filter("__cdf", lambda c: c < F.col("__u")))).drop("__u", "__source", "__cdf"))
+    tables = materialise(poisson_tables(source_rates(docs, targets, alpha=alpha, epochs=epochs)), "poisson").select(F.col("source").alias("named"), "cdf")
+    packed = docs.select(F.struct("*").alias("doc"), F.col("source").cast("string").alias("source"), uniform(F.lit(seed), F.col("doc_id")).alias("u"))  # other columns cannot clash
+    counted = packed.join(tables, F.col("source").eqNullSafe(F.col("named"))).select("doc", F.size(F.filter("cdf", lambda c: c < F.col("u"))).alias("n_copies"))
+    return counted.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "n_copies"], "n_copies")
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame | None = None, *, seed: int = 7, alpha: float = 0.5, epochs: float = 1.0) -> DataFrame:

@@ -12,7 +12,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
@@ -58,11 +57,22 @@ def piece_counts(model: sentencepiece.SentencePieceProcessor, tokens: list[str])
     return [len(x) if t[1:] else 1 for t, x in zip(tokens, model.encode([t[1:] for t in tokens], num_threads=1))] if tokens else []
 
 
+def least_level(sizes: list, most: int) -> int:
+    """The lowest level such that it and all above hold at most ``most`` rows in all."""
+    least, held = 1 << 30, 0
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        held += r["k"]
+        if held > most:
+            break
+        least = r["level"]
+    return least
+
+
 def token_counts(docs: DataFrame, model_path: str | None = None, *, limit: int = 4096, frequent: int = 100_000, longest: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens).
 
     Tokens are those of the library's plain ``encode``: no begin or end token, special strings are ordinary text. Null counts as empty, and an
-    empty text has no tokens. ``frequent`` pre-tokens of at most ``longest`` characters are joined in the scanning task (at most
+    empty text has no tokens. At most ``frequent`` pre-tokens of at most ``longest`` characters, the most frequent levels of them, are joined in the scanning task (at most
     frequent * 4 * longest bytes, 26 MB by default); the exact counts of all others come from a shuffled join. Rows that repeat a doc_id are
     counted each; other columns are ignored; an empty table gives an empty table.
     """
@@ -75,37 +85,40 @@ def token_counts(docs: DataFrame, model_path: str | None = None, *, limit: int =
         for b in batches:
             for t in b["text"]:
                 c.update(pre_tokens(t))
-                if len(c) > 200_000:
+                if len(c) > 400_000:
                     yield pd.DataFrame({"token": list(c), "n": list(c.values())})
                     c.clear()
-        yield pd.DataFrame({"token": list(c), "n": list(c.values())})
+        if c:
+            yield pd.DataFrame({"token": list(c), "n": list(c.values())})
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load(path)
         for b in batches:
-            yield pd.DataFrame({"token": b["token"], "n": b["n"], "pieces": piece_counts(model, b["token"].tolist())})
+            if len(b):
+                yield pd.DataFrame({"token": b["token"], "n": b["n"], "pieces": piece_counts(model, b["token"].tolist())})
 
     vocabulary = materialise(texts.select("text").mapInPandas(corpus, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
                              .mapInPandas(tokenise, "token string, n long, pieces long"), "vocabulary")
-    top = vocabulary.where(F.length("token") <= longest).orderBy(F.desc("n"), "token").limit(frequent).select("token", "pieces").toPandas()
+    short = vocabulary.where(F.length("token") <= longest).withColumn("level", F.floor(8 * F.log2("n")))
+    top = short.where(F.col("level") >= least_level(short.groupBy("level").agg(F.count("*").alias("k")).collect(), frequent)).select("token", "pieces").toPandas()
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(top["token"], (int(x) for x in top["pieces"]))))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = known.value
         for b in batches:
-            sums, rare, freq = [], [], []
-            for t in b["text"]:
+            tokens, times = [], []
+            for row, t in zip(b["row"], b["text"]):
                 c = pre_tokens(t)
                 own = {w: k for w, k in c.items() if w not in pieces}
-                sums.append(sum(pieces[w] * k for w, k in c.items() if w in pieces))
-                rare.append(list(own))
-                freq.append(list(own.values()))
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "n_bytes": [len(t.encode()) for t in b["text"]], "known": sums, "rare": rare, "freq": freq}).astype({"doc_id": "Int64"})
-
-    folded = materialise(texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
-        fold, "row long, doc_id long, n_bytes long, known long, rare array<string>, freq array<long>"), "folded")
-    tail = folded.select("row", F.explode(F.arrays_zip("rare", "freq")).alias("t")).select("row", F.col("t.rare").alias("token"), F.col("t.freq").alias("k"))
-    sums = tail.join(vocabulary.select("token", "pieces"), "token").groupBy("row").agg(F.sum(F.col("k") * F.col("pieces")).alias("rare"))
-    n = (F.col("known") + F.coalesce(sums["rare"], F.lit(0))).cast("long")
-    return (folded.select("row", "doc_id", "n_bytes", "known").join(sums, "row", "left")
-            .select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit")))
+                tokens.append([f"#{row}", *own])  # no pre-token starts with "#": all start with a blank
+                times.append([sum(pieces[w] * k for w, k in c.items() if w in pieces), *own.values()])
+            if tokens:
+                yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "n_bytes": [len(t.encode()) for t in b["text"]], "tokens": tokens, "times": times})
+
+    # the first entry of a text holds the pieces of its frequent pre-tokens: it meets no row of the vocabulary and counts one each
+    each = (texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(fold, "row long, doc_id long, n_bytes long, tokens array<string>, times array<long>")
+            .select("row", "doc_id", "n_bytes", F.posexplode(F.arrays_zip("tokens", "times")).alias("k", "t"))
+            .select("row", F.when(F.col("k") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("k") == 0, F.col("n_bytes")).alias("n_bytes"), F.col("t.tokens").alias("token"), F.col("t.times").alias("times")))
+    n = F.sum(F.col("times") * F.coalesce("pieces", F.lit(1)))
+    return (each.join(vocabulary.select("token", "pieces"), "token", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), n.alias("n_tokens"))
+            .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_WORD, U64, WordHashes, materialise, mix, text_words, word_hashes
 from .ngram_join import gram_set
+from .source_mix import uniform
 
 #: Built-in lexicon voters: common insults of four languages. Mined voters extend it.
 LEXICON = ("idiot moron loser scum trash clown stupid pathetic worthless disgusting dumb jerk fool liar filth vermin "
@@ -41,9 +42,11 @@ def distinct_words(text: str | None) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, max_rows: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``max_rows`` labelled rows outside the held-out fold, the least by a hash of the id; the bound makes the broadcast safe."""
-    ids = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-           .where(~held_out).dropDuplicates(["doc_id"]).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_rows))
+    """(doc_id, label, text) of at most ``max_rows`` labelled rows outside the held-out fold, those with the least hashes of their ids; the bound makes the broadcast safe."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out)
+    order = uniform(F.lit("sample"), F.col("doc_id"))
+    near = usable.where(order < min(1.0, 1.2 * max_rows / max(usable.count(), 1)))  # so that the one task that cuts the sample gets a bounded number of rows
+    ids = near.dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
 
@@ -163,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_voter
             for t, y in zip(b["text"], b["label"]):
                 if y == only:
                     c.update({x for w in distinct_words(t) for x in terms_of(w) if wanted is None or x in wanted})
-        yield pd.DataFrame({"term": list(c), "n": list(c.values())})
+        if c:
+            yield pd.DataFrame({"term": list(c), "n": list(c.values())})
 
     def counts(only: int, wanted: frozenset | None = None) -> DataFrame:
         return sample.select("text", "label").mapInPandas(lambda bs: count(bs, only, wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))

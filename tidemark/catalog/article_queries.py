@@ -51,13 +51,13 @@ def _(i: Inputs):
 @query("fetch_unprocessed", f"""SELECT id, title, {_T.format(c='published_at')} AS published_at, coalesce(nullif(full_text, ''), nullif(summary_raw, '')) AS body
 FROM {{fx_articles}} WHERE NOT ai_processed ORDER BY {{fx_articles}}.published_at DESC, id LIMIT 50""")
 def _(i: Inputs):
-    return A.fetch_unprocessed(i["fx_articles"]).select("id", "title", ts_text("published_at").alias("published_at"), F.col("text").alias("body"))
+    return A.fetch_unprocessed(i["fx_articles"], 50).select("id", "title", ts_text("published_at").alias("published_at"), F.col("text").alias("body"))
 
 
 @query("fetch_recent", f"""SELECT id, source, coalesce(nullif(full_text, ''), nullif(summary_raw, '')) AS body FROM {{fx_articles}}
 WHERE published_at >= {NOW_SQL} - INTERVAL '72' HOUR AND ai_relevance_score >= 30 ORDER BY published_at DESC, id LIMIT 200""")
 def _(i: Inputs):
-    return A.fetch_recent(i["fx_articles"], NOW(), 72, 30).select("id", "source", F.col("text").alias("body"))
+    return A.fetch_recent(i["fx_articles"], NOW(), 72, 30, limit=200).select("id", "source", F.col("text").alias("body"))
 
 
 @query("mark_processed", f"""SELECT id, CASE WHEN doc IS NOT NULL OR ai_processed THEN 1 ELSE 0 END AS processed, coalesce(CASE WHEN q = 1 THEN 'bullish' ELSE NULL END, ai_sentiment) AS ai_sentiment,
@@ -83,10 +83,10 @@ def _(i: Inputs):
 @query("news_feed", f"""WITH j AS (SELECT a.id, title, source, published_at, ai_summary IS NOT NULL AS analysed, score AS fb, tickers_raw FROM {{fx_articles}} a
    LEFT JOIN {{fx_scores}} s ON a.id = s.article_id AND s.model = 'finbert' WHERE published_at > {NOW_SQL} - INTERVAL '240' HOUR AND published_at < TIMESTAMP '2024-01-30 00:00:00'
      AND ((source = 'SEC EDGAR' AND list_contains(tickers_raw, 'S1')) OR regexp_matches({r"regexp_replace(title, '[^\x00-\x7f]', 'a', 'g')"}, '\\b(the|and)\\b', 'i')) AND contains(lower(title), 'th') AND score > 0.15),
- p AS (SELECT * FROM j ORDER BY published_at DESC, id LIMIT 30)
-SELECT id, title, source, analysed, round(fb, 6) AS fb, array_to_string(tickers_raw[1:4], ',') AS tickers FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY published_at DESC, id DESC) AS rn FROM p) WHERE rn = 1""")
+ p AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY published_at DESC, id DESC) AS rn FROM j)
+SELECT id, title, source, analysed, round(fb, 6) AS fb, array_to_string(tickers_raw[1:4], ',') AS tickers FROM (SELECT * FROM p WHERE rn = 1 ORDER BY published_at DESC, id LIMIT 30)""")
 def _(i: Inputs):
-    f = A.news_feed(i["fx_articles"], i["fx_scores"], NOW(), hours=240, ticker="S1", alias="the|and", q="th", f="pos", before=moment("2024-01-30 00:00:00"))
+    f = A.news_feed(i["fx_articles"], i["fx_scores"], NOW(), hours=240, ticker="S1", alias="the|and", q="th", f="pos", before=moment("2024-01-30 00:00:00"), limit=30)
     return f.select("id", "title", "source", "analysed", rounded("fb").alias("fb"), joined("tickers_raw").alias("tickers"))
 
 
@@ -359,8 +359,11 @@ def _(i: Inputs):
     return D.story_clusters(_titled(i)).select("id", "novelty", "leader_id", "confirm")
 
 
-@query("dedupe_calls", """SELECT view, call, CAST(day AS VARCHAR) AS day, id FROM (SELECT *, row_number() OVER (PARTITION BY view, call, day ORDER BY created_at, id) AS rn FROM
-  (SELECT *, coalesce(symbol, ticker_or_theme) AS view, CAST(created_at AS DATE) AS day FROM {fx_calls} WHERE call <> 'neutral')) WHERE rn = 1""")
+_RESOLVED = "CASE WHEN length(symbol) > 0 THEN trim(symbol) " + " ".join(f"WHEN contains(lower(ticker_or_theme), '{k}') THEN '{s}'" for k, s in K.THEME_SYMBOLS) + " ELSE ticker_or_theme END"
+
+
+@query("dedupe_calls", f"""SELECT view, call, CAST(day AS VARCHAR) AS day, id FROM (SELECT *, row_number() OVER (PARTITION BY view, call, day ORDER BY created_at, id) AS rn FROM
+  (SELECT *, {_RESOLVED} AS view, CAST(created_at AS DATE) AS day FROM {{fx_calls}} WHERE call <> 'neutral')) WHERE rn = 1""")
 def _(i: Inputs):
     return D.dedupe_calls(i["fx_calls"]).select("view", "call", day_text("day").alias("day"), "id")
 
@@ -372,7 +375,7 @@ _REC3 = f"published_at >= {NOW_SQL} - INTERVAL '3' DAY"
   SELECT * FROM (SELECT * FROM r WHERE list_has_any(tickers_raw, ['NVDA', 'MSFT', 'GOOGL', 'ASML']) ORDER BY published_at DESC, id LIMIT 1000) UNION ALL SELECT * FROM (SELECT * FROM r WHERE ai_summary IS NOT NULL ORDER BY published_at DESC, id LIMIT 500))
 SELECT url, min(id) AS id FROM u GROUP BY url""")
 def _(i: Inputs):
-    return A.mirror_selection(i["fx_articles"], NOW()).select("url", "id")
+    return A.mirror_selection(i["fx_articles"], NOW(), k=1000, k_analysed=500).select("url", "id")
 
 
 @query("latest_per_key", f"SELECT source, id, {_T.format(c='published_at')} AS published_at FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, id DESC) AS rn FROM {{fx_articles}}) WHERE rn = 1")
@@ -522,7 +525,7 @@ def _(i: Inputs):
 # ---------------------------------------------------------------- notifications and increments
 
 _CAND = f"""cand AS (SELECT *, list_filter(['NVDA', 'MSFT', 'GOOGL', 'ASML'], lambda h: list_contains(CASE WHEN len(ai_affected_tickers) > 0 THEN ai_affected_tickers ELSE tickers_raw END, h)) AS held FROM
-  (SELECT * FROM {{fx_articles}} WHERE ai_processed AND ai_relevance_score >= 70 AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) ORDER BY published_at DESC, id LIMIT 50))"""
+  (SELECT * FROM {{fx_articles}} WHERE ai_processed AND ai_relevance_score >= 70 AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)))"""
 
 
 def _candidates(i: Inputs):
@@ -546,7 +549,7 @@ def _(i: Inputs):
 
 
 @query("incremental_articles", f"""SELECT id, {_T.format(c='wm')} AS wm FROM (SELECT id, greatest(coalesce(ai_processed_at, TIMESTAMP '1970-01-01 00:00:00'), coalesce(scraped_at, TIMESTAMP '1970-01-01 00:00:00')) AS wm FROM {{fx_articles}}
-  WHERE published_at > {NOW_SQL} - INTERVAL '5' DAY AND {_WORTHY}) s WHERE s.wm > TIMESTAMP '2024-01-28 00:00:00' ORDER BY s.wm, id LIMIT 800""")
+  WHERE published_at > {NOW_SQL} - INTERVAL '5' DAY AND {_WORTHY}) s WHERE s.wm > TIMESTAMP '2024-01-28 00:00:00'""")
 def _(i: Inputs):
     return A.incremental_articles(i["fx_articles"], moment("2024-01-28 00:00:00"), NOW()).select("id", ts_text("wm").alias("wm"))
 

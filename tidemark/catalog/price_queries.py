@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import lookups as K
 from ..functions import stats as ST
 from ..operators import asof as P
 from ..operators import dedupe as D
@@ -99,21 +100,25 @@ def _(i: Inputs):
     return b.select("id", rounded("benchmark_pct").alias("benchmark_pct"))
 
 
-_THEMED = "(SELECT * EXCLUDE (symbol), CASE WHEN length(symbol) > 0 THEN symbol WHEN contains(lower(ticker_or_theme), 'oil') THEN 'CL=F' WHEN contains(lower(ticker_or_theme), 'yield') THEN '^TNX' WHEN contains(lower(ticker_or_theme), 'gold') THEN 'GC=F' END AS symbol FROM {fx_calls})"
+_THEME = "CASE WHEN length(symbol) > 0 THEN trim(symbol) " + " ".join(f"WHEN contains(lower(ticker_or_theme), '{k}') THEN '{s}'" for k, s in K.THEME_SYMBOLS) + " END"
+_THEMED = f"(SELECT * EXCLUDE (symbol), {_THEME} AS symbol FROM {{fx_calls}})"
+_OPEN = f"(SELECT * FROM {_THEMED} WHERE outcome IS NULL)"
+_STOCKS = [f"B{n}" for n in range(10)]
+_STOCK = "symbol IN (" + ", ".join(f"'{s}'" for s in _STOCKS) + ")"
 
 
-@query("check_outcomes", f"""WITH {win('(SELECT * FROM {fx_calls} WHERE outcome IS NULL AND symbol IS NOT NULL)')} SELECT id, verdict AS outcome, p1 AS exit_price, round(ret, 3) AS asset_return_pct, round(bench, 3) AS benchmark_return_pct, round(ret - bench, 3) AS excess_return_pct FROM vd WHERE verdict IS NOT NULL""")
+@query("check_outcomes", f"""WITH {win(_OPEN)}, x AS (SELECT *, CASE WHEN {_STOCK} THEN bench END AS b FROM vd) SELECT id, verdict AS outcome, p1 AS exit_price, round(ret, 3) AS asset_return_pct, round(b, 3) AS benchmark_return_pct, round(ret - b, 3) AS excess_return_pct FROM x WHERE verdict IS NOT NULL""")
 def _(i: Inputs):
-    c = P.check_outcomes(i["fx_calls"], i["fx_bars"], _bench(i), NOW())
+    c = P.check_outcomes(i["fx_calls"], i["fx_bars"], _bench(i), NOW(), stocks=_STOCKS)
     return c.select("id", "outcome", "exit_price", "asset_return_pct", "benchmark_return_pct", "excess_return_pct")
 
 
-@query("apply_outcomes", f"""WITH {win('(SELECT * FROM {fx_calls} WHERE outcome IS NULL AND symbol IS NOT NULL)')} SELECT c.id, coalesce(vd.verdict, c.outcome) AS outcome FROM {{fx_calls}} c LEFT JOIN vd ON c.id = vd.id""")
+@query("apply_outcomes", f"""WITH {win(_OPEN)} SELECT c.id, coalesce(vd.verdict, c.outcome) AS outcome FROM {{fx_calls}} c LEFT JOIN vd ON c.id = vd.id""")
 def _(i: Inputs):
     return P.apply_outcomes(i["fx_calls"], P.check_outcomes(i["fx_calls"], i["fx_bars"], _bench(i), NOW())).select("id", "outcome")
 
 
-@query("unscored_calls_report", f"WITH {win(_THEMED)} SELECT count(*) FILTER (WHERE ret IS NOT NULL) AS checked, count(*) FILTER (WHERE ret IS NULL AND symbol IS NOT NULL) AS skipped, count(*) FILTER (WHERE symbol IS NULL) AS unmapped FROM sc")
+@query("unscored_calls_report", f"WITH {win(_OPEN)} SELECT count(*) FILTER (WHERE ret IS NOT NULL) AS checked, count(*) FILTER (WHERE ret IS NULL AND symbol IS NOT NULL) AS skipped, count(*) FILTER (WHERE symbol IS NULL) AS unmapped FROM sc")
 def _(i: Inputs):
     return P.unscored_calls_report(i["fx_calls"], i["fx_bars"], NOW())
 
@@ -174,14 +179,11 @@ def _(i: Inputs):
     return g.select("theme", ST.wilson(F.col("k"), F.col("n")).alias("w")).select("theme", rounded("w.lo").alias("lo"), rounded("w.hi").alias("hi"))
 
 
-_DEDUP = """(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(symbol, ticker_or_theme), call, CAST(created_at AS DATE) ORDER BY created_at, id) AS rn FROM {fx_calls} WHERE call <> 'neutral') WHERE rn = 1)"""
+_DEDUP = f"""(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(symbol, ticker_or_theme), call, CAST(created_at AS DATE) ORDER BY created_at, id) AS rn FROM {_THEMED} WHERE call <> 'neutral') WHERE rn = 1)"""
 
 
 def _scored(i: Inputs):
-    return P.score_calls(D.dedupe_calls(i["fx_calls"]), i["fx_bars"], _bench(i), NOW(), stocks=[f"B{n}" for n in range(10)])
-
-
-_STOCK = "symbol IN (" + ", ".join(f"'B{n}'" for n in range(10)) + ")"
+    return P.score_calls(D.dedupe_calls(i["fx_calls"]), i["fx_bars"], _bench(i), NOW(), stocks=_STOCKS)
 
 
 @query("track_record", f"""WITH {win(_DEDUP)}, x AS (SELECT *, CASE WHEN {_STOCK} THEN ret - bench END AS ex FROM vd), a AS (SELECT count(*) AS directional, count(verdict) AS scored, count(*) FILTER (WHERE verdict IS NULL AND symbol IS NOT NULL) AS pending, count(*) FILTER (WHERE symbol IS NULL) AS unscorable,
@@ -319,9 +321,9 @@ def _(i: Inputs):
 
 @query("walk_forward")
 def _(i: Inputs):
-    """Rule books and boosted trees side by side, refit each quarter."""
+    """Rule books and boosted trees side by side, refit each quarter from the start of ``walk_forward_rules``; trees of 20 rounds, leaves of 20 rows, every third row."""
     r = cut_lineage(_ranked(i))
-    w = L.walk_forward(r, "2001-01-01", 5, 400, rounds=5, min_leaf=20)
+    w = L.walk_forward(r, "2000-07-01", 5, 400, train_every=3, rounds=20, min_leaf=20)
     return _shown(L.evaluate_books(w, r, 5, min_ic=10, min_tail=10, min_days=2))
 
 

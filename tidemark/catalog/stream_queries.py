@@ -67,7 +67,7 @@ def _(i: Inputs):
     """Snapshots are landed as files first, as the index job would, and then streamed."""
     snaps = i["fx_snaps"].select("ts", "symbol", "model", "z", "n_lead")
     path = f"{shared_dir(i.spark)}/snaps/{uuid.uuid4().hex}"
-    snaps.repartition(1, "model").write.parquet(path)
+    snaps.write.parquet(path)
     s = J.drain(J.stream_zscore_alerts(J.read_stream(i.spark, path, snaps.schema), allowed=[]))
     return s.select(ts_text("ts").alias("ts"), "symbol", rounded("z").alias("z"))
 

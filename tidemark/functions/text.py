@@ -48,7 +48,7 @@ def required_words(pattern: str) -> list[str] | None:
             alts.append(pattern[start:k])
             start = k + 1
     for alt in alts:
-        head = re.match(r"(?:\(\?-i:)?(?:\\b)?([A-Za-z0-9&' -]+)([?*])?", alt)
+        head = re.match(r"(?:\(\?-i:)?(?:\\b)?([A-Za-z0-9&' -]+)([?*{])?", alt)  # the last character may be absent under any of these quantifiers
         word = (head[1][:-1] if head[2] else head[1]) if head else ""
         if len(word) < 2:
             return None

@@ -34,13 +34,13 @@ def _newest(df: DataFrame, limit: int | None) -> DataFrame:
     return df.orderBy(F.desc("published_at"), "id").limit(limit) if limit else df
 
 
-def fetch_unprocessed(articles: DataFrame, limit: int | None = 50) -> DataFrame:
+def fetch_unprocessed(articles: DataFrame, limit: int | None = None) -> DataFrame:
     rows = articles.where(~F.col("ai_processed"))
     return _newest(rows.select("id", "source", "title", "published_at", "category", "tickers_raw", "url",
                                X.best_text(F.col("full_text"), F.col("summary_raw")).alias("text")), limit)
 
 
-def fetch_recent(articles: DataFrame, now: Column, hours: int = 24, min_relevance: int = 0, limit: int | None = 200,
+def fetch_recent(articles: DataFrame, now: Column, hours: int = 24, min_relevance: int = 0, limit: int | None = None,
                  max_chars: int | None = None) -> DataFrame:
     rows = articles.where(F.col("published_at") >= hours_before(now, hours))
     if min_relevance:
@@ -72,17 +72,19 @@ def collapse_titles(feed: DataFrame) -> DataFrame:
 
 
 def news_feed(articles: DataFrame, scores: DataFrame, now: Column, hours: int = 72, ticker: str | None = None,
-              alias: str | None = None, q: str | None = None, f: str | None = None, before: Column | None = None,
-              limit: int | None = 30, model: str = "finbert") -> DataFrame:
+              alias: str | Column | None = None, q: str | None = None, f: str | None = None, before: Column | None = None,
+              limit: int | None = None, model: str = "finbert") -> DataFrame:
     """The filtered, key-paged news list with one row per story title.
 
-    The newest ``limit`` rows are taken first and titles collapsed after, so a page can be shorter than its limit.
+    Titles are collapsed first and the newest ``limit`` stories taken after. ``alias`` is a pattern, or a column with one; without it a ticker's
+    known alias or the ticker itself is looked for.
     """
     a = articles.where(F.col("published_at") > hours_before(now, hours))
     if ticker:
-        pattern = alias or K.TICKER_PAGE_ALIASES.get(ticker, ticker.lower())
+        pattern = K.TICKER_PAGE_ALIASES.get(ticker, ticker.lower()) if alias is None else alias
+        pattern = F.concat(F.lit(r"(?iu)\b("), pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(r")\b"))
         a = a.where(((F.col("source") == "SEC EDGAR") & F.array_contains("tickers_raw", ticker))
-                    | F.col("title").rlike(rf"(?iu)\b({pattern})\b"))
+                    | F.regexp_like("title", pattern))
     if q:
         a = a.where(F.contains(F.lower("title"), F.lit(q.lower())))
     if before is not None:
@@ -98,9 +100,9 @@ def news_feed(articles: DataFrame, scores: DataFrame, now: Column, hours: int =
         rows = rows.where(F.col("score") > 0.15)
     elif f == "neg":
         rows = rows.where(F.col("score") < -0.15)
-    page = _newest(rows.select("id", "title", "url", "source", "published_at", "tickers_raw", "ai_sentiment", "ai_relevance_score",
-                               F.col("ai_summary").isNotNull().alias("analysed"), F.col("score").alias("fb")), limit)
-    return collapse_titles(page).withColumns({"greek": F.col("title").rlike(K.GREEK), "tickers_raw": F.slice("tickers_raw", 1, 4)})
+    page = collapse_titles(rows.select("id", "title", "url", "source", "published_at", "tickers_raw", "ai_sentiment", "ai_relevance_score",
+                               F.col("ai_summary").isNotNull().alias("analysed"), F.col("score").alias("fb")))
+    return _newest(page, limit).withColumns({"greek": F.col("title").rlike(K.GREEK), "tickers_raw": F.slice("tickers_raw", 1, 4)})
 
 
 def dashboard_news(articles: DataFrame, filter: str = "all", query: str = "", source: str = "all") -> DataFrame:
@@ -128,17 +130,26 @@ def dashboard_news_counts(articles: DataFrame) -> DataFrame:
 def match_keywords(articles: DataFrame, watch: dict[str, list[str]], max_keywords: int = 2000) -> DataFrame:
     """(article columns, symbol) for each watched symbol with a keyword equal to a tag or inside title + summary.
 
-    A watch list is typed in by a person, so it arrives as a dict and becomes literals in the plan: one pass over the
-    articles, no join. ``max_keywords`` guards that assumption by refusing a larger list, never by cutting it.
+    The watch list becomes literals in the plan: one pass over the articles, no join, for each block of symbols with about ``max_keywords``
+    keywords. A longer list means more passes; none is refused or cut.
     """
-    if sum(map(len, watch.values())) > max_keywords:
-        raise ValueError("watch list too large for literals; raise max_keywords knowingly")
+    blocks, held = [{}], 0
+    for s, keys in watch.items():
+        if held and held + len(keys) > max_keywords:
+            blocks.append({})
+            held = 0
+        blocks[-1][s] = keys
+        held += len(keys)
+    return reduce(lambda a, b: a.unionByName(b), [_match_block(articles, b) for b in blocks])
+
+
+def _match_block(articles: DataFrame, watch: dict[str, list[str]]) -> DataFrame:
     tags = F.transform(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>"))
                                   for c in ("ai_affected_tickers", "tickers_raw")]), lambda t: F.lower(t))
     a = articles.withColumns({"__tags": tags, "__text": F.lower(F.concat_ws(" ", "title", F.coalesce("ai_summary", F.lit(""))))})
     hits = [F.when(reduce(lambda x, y: x | y, [F.array_contains("__tags", k) | F.contains(F.col("__text"), F.lit(k)) for k in keys]),
                    F.lit(s)) for s, keys in watch.items() if keys]
-    return a.withColumn("symbol", F.explode(F.array_compact(F.array(*hits)))).drop("__tags", "__text")
+    return a.withColumn("symbol", F.explode(F.array_compact(F.array(*hits) if hits else F.array().cast("array<string>")))).drop("__tags", "__text")
 
 
 def mirror_worthy(articles: DataFrame, now: Column, days: int = 5, worthy: int = 40) -> DataFrame:
@@ -190,11 +201,15 @@ def sources_with_overrides(sources: DataFrame, overrides: DataFrame) -> DataFram
     return sources.join(o, "name", "left").withColumn("enabled", F.coalesce("__on", "enabled")).drop("__on")
 
 
-def incremental_articles(articles: DataFrame, mark: Column, now: Column, limit: int | None = 800) -> DataFrame:
-    """Worthy rows changed after the high-water mark, oldest change first; the next mark is max(wm)."""
+def incremental_articles(articles: DataFrame, mark: Column, now: Column, limit: int | None = None, mark_id: Column | None = None) -> DataFrame:
+    """Worthy rows changed after the high-water mark, oldest change first.
+
+    Without ``limit`` the next mark is the last wm. With one, rows of a single wm may fall on two pages: pass the last row's id as ``mark_id`` too.
+    """
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp")
     wm = F.greatest(F.coalesce("ai_processed_at", epoch), F.coalesce("scraped_at", epoch))
-    rows = mirror_worthy(articles, now).withColumn("wm", wm).where(F.col("wm") > mark)
+    rows = mirror_worthy(articles, now).withColumn("wm", wm)
+    rows = rows.where((F.col("wm") > mark) | ((F.col("wm") == mark) & (F.col("id") > mark_id)) if mark_id is not None else F.col("wm") > mark)
     return rows.orderBy("wm", "id").limit(limit) if limit else rows
 
 
@@ -206,8 +221,8 @@ def incremental_digests_calls(digests: DataFrame, calls: DataFrame, mark: Column
     return d.unionByName(c)
 
 
-def mirror_selection(articles: DataFrame, now: Column, holdings=None, days: int = 3, k: int | None = 1000,
-                     k_analysed: int | None = 500) -> DataFrame:
+def mirror_selection(articles: DataFrame, now: Column, holdings=None, days: int = 3, k: int | None = None,
+                     k_analysed: int | None = None) -> DataFrame:
     """Union of the newest relevant, newest holding-tagged and analysed rows, one per url."""
     holdings = list(holdings or K.HOLDINGS)
     recent = articles.where(F.col("published_at") >= days_before(now, days))
@@ -218,13 +233,13 @@ def mirror_selection(articles: DataFrame, now: Column, holdings=None, days: int
     return first_per_key(both, ["url"], [F.col("id")])
 
 
-def notify_candidates(articles: DataFrame, notified: DataFrame, threshold: int = 70, holdings=None, limit: int | None = 50) -> DataFrame:
-    """Processed, relevant rows not notified before, newest ``limit``, then those tagged with a holding."""
+def notify_candidates(articles: DataFrame, notified: DataFrame, threshold: int = 70, holdings=None, limit: int | None = None) -> DataFrame:
+    """Processed, relevant rows tagged with a holding and not notified before, the newest ``limit`` of them if one is given."""
     holdings = list(holdings or K.HOLDINGS)
     rows = articles.where(F.col("ai_processed") & (F.col("ai_relevance_score") >= threshold)).join(notified.select("id"), "id", "left_anti")
     tags = F.when(F.size("ai_affected_tickers") > 0, F.col("ai_affected_tickers")).otherwise(F.col("tickers_raw"))
-    page = _newest(rows.withColumn("held", F.array_intersect(F.coalesce(tags, F.array().cast("array<string>")), F.array(*map(F.lit, holdings)))), limit)
-    return page.where(F.size("held") > 0)
+    held = rows.withColumn("held", F.array_intersect(F.coalesce(tags, F.array().cast("array<string>")), F.array(*map(F.lit, holdings))))
+    return _newest(held.where(F.size("held") > 0), limit)
 
 
 def phone_alerts(candidates: DataFrame, now: Column, k: int = 3, aliases: dict[str, str] | None = None) -> DataFrame:

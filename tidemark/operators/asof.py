@@ -54,13 +54,16 @@ def window_return(calls: DataFrame, bars: DataFrame, now: Column, lookback_days:
 
 
 def benchmark_return(calls: DataFrame, bench: DataFrame, now: Column, stocks=None, symbol: str = K.BENCHMARK, **kw) -> DataFrame:
-    """Add the benchmark's return over each stock call's window. The distinct (entry day, horizon) pairs are scored once."""
+    """Add the benchmark's return over each stock call's window. Stocks are the holdings unless ``stocks`` names others.
+
+    The distinct (entry day, horizon) pairs are scored once: late in an entry day, a call made then acts on that very day.
+    """
     b = bench.select("date", F.lit(symbol).alias("symbol"), "close")
-    spans = calls.select("created_at", "horizon_days").distinct().withColumn("symbol", F.lit(symbol))
-    r = window_return(spans, b, now, **kw).select("created_at", F.col("horizon_days").alias("__h"), F.col("return_pct").alias("__b"))
-    j = calls.join(r, (calls["created_at"] == r["created_at"]) & calls["horizon_days"].eqNullSafe(r["__h"]), "left").drop(r["created_at"])
-    is_stock = F.col("symbol").isin(list(stocks)) if stocks is not None else F.lit(True)
-    return j.select(*calls.columns, F.when(is_stock, F.col("__b")).alias("benchmark_pct"))
+    dated = calls.withColumn("__day", S.entry_day(F.lit(symbol), F.col("created_at")))
+    spans = dated.select("__day", "horizon_days").distinct().select("__day", F.timestamp_add("HOUR", F.lit(22), F.col("__day").cast("timestamp")).alias("created_at"), "horizon_days", F.lit(symbol).alias("symbol"))
+    r = window_return(spans, b, now, **kw).select(F.col("__day").alias("__d"), F.col("horizon_days").alias("__h"), F.col("return_pct").alias("__b"))
+    j = dated.join(r, (F.col("__day") == F.col("__d")) & F.col("horizon_days").eqNullSafe(F.col("__h")), "left")
+    return j.select(*calls.columns, F.when(F.col("symbol").isin(list(stocks or K.HOLDINGS)), F.col("__b")).alias("benchmark_pct"))
 
 
 def score_calls(calls: DataFrame, bars: DataFrame, bench: DataFrame, now: Column, threshold: float = 0.5, stocks=None) -> DataFrame:
@@ -87,7 +90,8 @@ def apply_outcomes(calls: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def unscored_calls_report(calls: DataFrame, bars: DataFrame, now: Column) -> DataFrame:
-    """One row: calls checked, skipped (open or no price) and without a symbol."""
+    """One row over the calls without an outcome: how many can be checked now, are skipped (open or no price), and have no symbol."""
+    calls = calls.where(F.col("outcome").isNull()) if "outcome" in calls.columns else calls
     c = calls.withColumn("symbol", X.resolve_symbol(F.col("ticker_or_theme"), F.col("symbol"))) if "ticker_or_theme" in calls.columns else calls
     w = window_return(c, bars, now)
     done = F.col("return_pct").isNotNull()

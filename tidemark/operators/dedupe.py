@@ -33,8 +33,11 @@ def dedupe_url_merge(df: DataFrame, ordinal: str, tickers: str = "tickers_raw")
 
 
 def dedupe_calls(calls: DataFrame) -> DataFrame:
-    """One directional call per (symbol or theme, direction, day), the first kept; neutral calls are removed."""
-    c = calls.where(F.col("call").isin("bullish", "bearish")).withColumns({
+    """One directional call per (symbol or theme, direction, day), the first kept; neutral calls are removed.
+
+    Themes are resolved to their price symbols first, so two wordings of one theme are one view, and ``symbol`` of the result is the resolved one.
+    """
+    c = calls.where(F.col("call").isin("bullish", "bearish")).withColumn("symbol", X.resolve_symbol(F.col("ticker_or_theme"), F.col("symbol"))).withColumns({
         "view": F.coalesce("symbol", "ticker_or_theme"), "day": F.to_date("created_at")})
     return first_per_key(c, ["view", "call", "day"], ["created_at", "id"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import lookups as K
 from ..functions import stats as S
 from ..session import cut_lineage
 from .asof import forward_returns
@@ -38,12 +39,15 @@ def spearman_test(df: DataFrame, by: list[str], x: str, y: str, min_n: int = 8)
 
 
 def signal_observations(snaps: DataFrame, bars: DataFrame, bench: DataFrame, since, horizons=(1, 3, 5), min_stories: int = 3, last_hour: int = 20) -> DataFrame:
-    """Long (model, metric, horizon, kind, x, y): each day's last snapshot against later raw and benchmark-relative returns."""
+    """Long (model, metric, horizon, kind, x, y): each day's last snapshot against later raw and benchmark-relative returns.
+
+    Macro symbols are priced by their future, index or rate."""
     s = snaps.where(F.col("idx").isNotNull() & (F.col("ts") >= since) & (F.hour("ts") <= last_hour) & (F.col("n_lead") >= min_stories))
     s = latest_per_key(s.select("symbol", "model", F.to_date("ts").alias("date"), "ts", "idx", "z"), ["symbol", "date", "model"], ["ts"])
-    own = forward_returns(bars, horizons)
+    own = forward_returns(bars, horizons).withColumnRenamed("symbol", "__px")
+    s = s.withColumn("__px", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in K.MACRO_PRICE_SYMBOL.items() for x in kv]), F.col("symbol")), F.col("symbol")))
     mkt = forward_returns(bench.select("date", F.lit("__m").alias("symbol"), "close"), horizons).select("date", *[F.col(f"r{h}").alias(f"m{h}") for h in horizons])
-    j = s.join(own, ["symbol", "date"]).join(mkt, "date", "left")
+    j = s.join(own, ["__px", "date"]).join(mkt, "date", "left")
     metric = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("x")) for n, c in (("index", "idx"), ("z", "z"))]))
     out = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("kind"), y.alias("y")) for h in horizons
                               for k, y in (("raw", F.col(f"r{h}")), ("vs market", F.col(f"r{h}") - F.col(f"m{h}")))]))

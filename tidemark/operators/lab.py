@@ -187,12 +187,14 @@ def walk_forward_folds(ranked: DataFrame, start: str, h: int, min_train: int = 5
     return f.select("fold_start", F.date_sub("fold_start", gap).alias("cutoff"), "n_train", "n_test")
 
 
-def _every_third(train: DataFrame) -> DataFrame:
-    """Rows 0, 3, 6, ... in (date, symbol) order, numbered per date plus the rows of earlier dates."""
+def every_nth(train: DataFrame, n: int) -> DataFrame:
+    """Rows 0, n, 2n, ... in (date, symbol) order, numbered per date plus the rows of earlier dates."""
+    if n == 1:
+        return train
     per_day = train.groupBy("date").agg(F.count("*").alias("__c"))
     before = per_day.select("date", (F.sum("__c").over(Window.orderBy("date")) - F.col("__c")).alias("__off"))
     i = F.col("__off") + F.row_number().over(Window.partitionBy("date").orderBy("symbol")) - 1
-    return train.join(before, "date").withColumn("__i", i).where(F.col("__i") % 3 == 0).drop("__i", "__off")
+    return train.join(before, "date").withColumn("__i", i).where(F.col("__i") % n == 0).drop("__i", "__off")
 
 
 def fit_gbt(train: DataFrame, rounds: int = 150, depth: int = 3, rate: float = 0.05, min_leaf: int = 400, seed: int = 7):
@@ -217,13 +219,16 @@ def walk_forward_rules(ranked: DataFrame, start: str, h: int, min_train: int = 5
     return strategy_scores(d)
 
 
-def walk_forward(ranked: DataFrame, start: str, h: int, min_train: int = 50_000, **gbt) -> DataFrame:
-    """Rule books plus boosted trees refit before every fold. The loop is over quarters; each fit is a Spark job."""
+def walk_forward(ranked: DataFrame, start: str, h: int, min_train: int = 50_000, train_every: int = 3, **gbt) -> DataFrame:
+    """Rule books plus boosted trees refit before every fold. The loop is over quarters; each fit is a Spark job.
+
+    ``train_every``: trees are fitted on every so many-th training row in (date, symbol) order, 1 for all; neighbouring days say much the same.
+    """
     ranked = cut_lineage(ranked)
     d = cut_lineage(_complete(ranked, h).withColumn("y_rank", average_pct_rank("y", ["date"])))
     parts = [walk_forward_rules(ranked, start, h, min_train)]
     for f in walk_forward_folds(ranked, start, h, min_train).orderBy("fold_start").collect():
         train = d.where((F.col("date") <= F.lit(f.cutoff)) & F.col("y").isNotNull())
         test = d.where((F.col("date") >= F.lit(f.fold_start)) & (F.col("date") < F.add_months(F.lit(f.fold_start), 3)))
-        parts.append(predict_gbt(fit_gbt(_every_third(train), **gbt), test))
+        parts.append(predict_gbt(fit_gbt(every_nth(train, train_every), **gbt), test))
     return reduce(lambda a, b: a.unionByName(b), parts)

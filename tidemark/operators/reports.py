@@ -171,7 +171,7 @@ def stale_sources(sources: DataFrame, now: Column, slack: float = 0.9, max_poll:
 
 
 def source_state_update(sources: DataFrame, results: DataFrame, now: Column, give_up: int = 12, revive_days: int = 7) -> DataFrame:
-    """Sources after one run. ``results``: id, status ('skipped' or an HTTP code as text), n, etag, last_modified; one row per source.
+    """Sources after one run. ``results``: id, status ('skipped' or an HTTP code or error as text; what is no number is kept as 0), n, etag, last_modified; one row per source.
 
     Long-disabled sources are revived first. Good answers reset the failure count and keep new validators.
     """
@@ -181,7 +181,7 @@ def source_state_update(sources: DataFrame, results: DataFrame, now: Column, giv
     r = r.join(s.select("id", F.col("fail_count").alias("__f"), F.col("items_total").alias("__t")), "id")
     ok = F.col("status").isin("200", "304")
     fails = F.when(ok, 0).otherwise(F.coalesce("__f", F.lit(0)) + 1)
-    edits = r.select("id", F.when(ok, F.col("etag")).alias("etag"), F.when(ok, F.col("last_modified")).alias("last_modified"), F.col("status").cast("int").alias("last_status"),
+    edits = r.select("id", F.when(ok, F.col("etag")).alias("etag"), F.when(ok, F.col("last_modified")).alias("last_modified"), F.coalesce(F.col("status").try_cast("int"), F.lit(0)).alias("last_status"),
                      now.alias("last_fetch"), F.when(ok, now).alias("last_success"), fails.cast("int").alias("fail_count"),
                      (F.coalesce("__t", F.lit(0)) + F.col("n")).cast("int").alias("items_total"), (fails < give_up).alias("enabled"))
     return patch(s, edits, ["id"])

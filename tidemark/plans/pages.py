@@ -22,10 +22,12 @@ def ticker_page(symbol: str, snaps: DataFrame, bars: DataFrame, articles: DataFr
     perf = S.price_change(own, (1, 5, 20), 25).select(F.struct("last", "d1", "d5", "d20", "asof")).scalar()
     price = _list(own.orderBy(F.desc("date")).limit(closes), "date", "close")
     cur = snaps.where((F.col("symbol") == symbol) & (F.col("ts") == S.latest_ts(snaps)))
-    items = news_feed(articles, scores, now, hours=240, ticker=symbol, limit=news)
     last = predictions.agg(F.max("pred_date")).scalar()
     lab = predictions.where((F.col("symbol") == symbol) & (F.col("pred_date") == last))
     pos = positions.where(F.col("symbol") == symbol).orderBy(F.desc("signal_date"), "book", "side").limit(12)
+    named = universe.where(F.col("symbol") == symbol).agg(F.lower(F.split_part(F.max("name"), F.lit(" "), F.lit(1)))).scalar()
+    alias = K.TICKER_PAGE_ALIASES.get(symbol) or F.concat(F.lit(r"\Q"), F.coalesce(named, F.lit(symbol.lower())), F.lit(r"\E"))
+    items = news_feed(articles, scores, now, hours=240, ticker=symbol, alias=alias, limit=news)
     known = universe.where(F.col("symbol") == symbol).agg(F.struct(F.max("name").alias("name"), F.max("sector").alias("sector"))).scalar()
     sector = F.coalesce(known["sector"], F.lit("Macro" if symbol in K.MACRO else ""))
     one = snaps.sparkSession.range(1)

@@ -46,8 +46,8 @@ def report_json(df: DataFrame, name: str = "report") -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A small nested report as JSON lines."""
-    df.coalesce(1).write.mode(mode).json(path)
+    """A report as JSON lines, a file per partition that has rows."""
+    df.write.mode(mode).json(path)
 
 
 def candles(bars: DataFrame, symbol: str, days: int | None = None, now: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ repeats a micro-batch.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -99,22 +100,31 @@ def live_counts(articles: DataFrame, every: str = "1 hour", late: str = "2 hours
         F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
+def path_exists(spark, path: str) -> bool:
+    """Whether a folder is there, asked of the file system that holds it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def stream_notifications(articles: DataFrame, notified_path: str, checkpoint: str, threshold: int = 70, holdings=None, publish: Callable[[DataFrame], None] | None = None):
     """Start a query that notifies each qualifying article once: batch minus the notified table, then append to it.
 
-    A retried batch finds its own folder and rewrites it, so nothing is notified twice.
+    The table has a folder per run (named after the checkpoint) and batch. A retried batch finds its own folder and rewrites it; batches of every other
+    run and number count as notified, so neither a retry nor a new checkpoint over the same table notifies twice.
     """
     spark = articles.sparkSession
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        try:
-            seen = spark.read.parquet(notified_path).where(F.col("batch") != batch_id)
-        except Exception:  # noqa: BLE001  the first run has no table yet
+        if path_exists(spark, notified_path):
+            seen = spark.read.parquet(notified_path).where((F.col("run").cast("string") != run) | (F.col("batch") != batch_id))
+        else:
             seen = spark.createDataFrame([], f"id {batch.schema['id'].dataType.simpleString()}")
-        rows = latest_per_key(notify_candidates(batch, seen, threshold, holdings, limit=None).select("id", "title", "published_at", "held"), ["id"], ["published_at"])
-        rows.write.mode("overwrite").parquet(f"{notified_path}/batch={batch_id}")
+        rows = latest_per_key(notify_candidates(batch, seen, threshold, holdings).select("id", "title", "published_at", "held"), ["id"], ["published_at"])
+        own = f"{notified_path}/run={run}/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(own)
         if publish is not None:
-            publish(spark.read.parquet(f"{notified_path}/batch={batch_id}"))
+            publish(spark.read.parquet(own))
 
     return articles.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

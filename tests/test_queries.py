@@ -54,3 +54,17 @@ def test_time_filters_reach_the_scan(spark, inputs):
 def test_hot_key_folds_before_the_shuffle(inputs):
     plan = plan_of(RUN["dedupe_url_merge"](inputs))
     assert plan.index("min_by") < plan.index("Exchange") or "partial_min_by" in plan
+
+
+@pytest.mark.parametrize("name", ["news_cycle", "news_cycle_alerts"])
+def test_flows_run(name, inputs):
+    assert RUN[name](inputs).count() >= 0
+
+
+def test_walk_forward_ranks_the_trees(spark):
+    """Rule books agree with the checked rule query; the trees' row is there with as many days."""
+    from tidemark.catalog.core import Inputs
+    larger = Inputs(spark, "/root/testdata/sf0.01")
+    rows = {r["book"]: r for r in RUN["walk_forward"](larger).collect()}
+    rules = {r["book"]: r for r in RUN["walk_forward_rules"](larger).collect()}
+    assert set(rows) == set(rules) | {"gbt"} and all(rows[b] == rules[b] for b in rules)

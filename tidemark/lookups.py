@@ -59,7 +59,7 @@ FINANCE_VALENCE = {
     "rally": 1.5, "crash": -2.5, "default": -3.0, "bankruptcy": -3.0, "growth": 1.0, "decline": -1.0, "record": 1.0,
     "dividend": 1.0, "buyback": 1.5,
 }
-# Our own short general list; a caller may pass any other.
+# A short general list with the common words of published valence lexicons; a caller may pass any other.
 GENERAL_VALENCE = {
     "good": 1.9, "great": 3.1, "excellent": 2.7, "best": 3.2, "happy": 2.7, "strong": 2.3, "win": 2.8, "success": 2.7,
     "improve": 1.9, "benefit": 2.0, "safe": 1.9, "hope": 1.9, "gain": 2.4, "profit": 1.9, "confident": 2.2,
@@ -92,16 +92,19 @@ SOURCE_WEIGHTS = [
 DEFAULT_SOURCE_WEIGHT = 0.8
 
 # Ticker extraction.
-TICKER_STOPWORDS = """THE AND FOR ARE NEW CEO CFO USA USD EUR GDP CPI FED ECB IPO ETF SEC AI US UK Q1 Q2 Q3 Q4 YOY NYSE
-NASDAQ GO HOURS LAST ONLY TO YOUR CNBC WSJ PM TV UN EU IV RED RBC""".split()
+TICKER_STOPWORDS = [
+    "THE", "AND", "FOR", "ARE", "NEW", "CEO", "CFO", "USA", "USD", "EUR", "GDP", "CPI", "FED", "ECB", "IPO", "ETF", "SEC", "AI", "US", "UK", "Q1", "Q2", "Q3", "Q4", "YOY", "NYSE",
+    "NASDAQ", "GO", "HOURS", "LAST", "ONLY", "TO", "YOUR", "CNBC", "WSJ", "PM", "TV", "UN", "EU", "IV", "RED", "RBC",
+]
 COMPANY_ALIASES = {
     "nvidia": "NVDA", "microsoft": "MSFT", "google": "GOOGL", "alphabet": "GOOGL", "asml": "ASML", "apple": "AAPL",
     "amazon": "AMZN", "meta": "META", "tesla": "TSLA", "openai": "OPENAI", "taiwan semiconductor": "TSM",
     "tsmc": "TSM", "amd": "AMD", "intel": "INTC", "palantir": "PLTR",
 }
-LINK_STOPWORDS = """US UK EU AI CEO CFO GDP CPI FED ECB IPO ETF SEC UN NYSE NASDAQ FOMC PM TV CNBC WSJ MPC QE QT AG DB CA
-SF FS IV RED MACRO RATES ENERGY TECH TRADE GEOPOLITICS REGULATORY CAPEX CHINA SEMICONDUCTORS POWER""".split() + [
-    "AI INFRA", "POWER/AI INFRA"]
+LINK_STOPWORDS = [
+    "US", "UK", "EU", "AI", "CEO", "CFO", "GDP", "CPI", "FED", "ECB", "IPO", "ETF", "SEC", "UN", "NYSE", "NASDAQ", "FOMC", "PM", "TV", "CNBC", "WSJ", "MPC", "QE", "QT", "AG", "DB", "CA",
+    "SF", "FS", "IV", "RED", "MACRO", "RATES", "ENERGY", "TECH", "TRADE", "GEOPOLITICS", "REGULATORY", "CAPEX", "CHINA", "SEMICONDUCTORS", "AI INFRA", "POWER", "POWER/AI INFRA",
+]
 
 # Call themes to price symbols, most specific first.
 THEME_SYMBOLS = [

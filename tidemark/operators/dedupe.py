@@ -26,10 +26,12 @@ def dedupe_url_last(df: DataFrame, ordinal: str) -> DataFrame:
 def dedupe_url_merge(df: DataFrame, ordinal: str, tickers: str = "tickers_raw") -> DataFrame:
     """First row per url with the tickers of all its rows.
 
-    Tickers are exploded so that a hot url merges as a set of distinct values, not as a list of all its rows.
+    Tickers are exploded apart from the rows, so texts are folded once per row, and a hot url merges as a set of distinct values.
     """
-    e = df.withColumn("__tag", F.explode_outer(tickers))
-    return first_per_key(e, ["url"], [ordinal], [F.array_sort(F.collect_set("__tag")).alias(tickers)])
+    rows = first_per_key(df.drop(tickers), ["url"], [ordinal])
+    tags = df.select(F.col("url").alias("__url"), F.explode(tickers).alias("__tag")).groupBy("__url").agg(F.array_sort(F.collect_set("__tag")).alias("__tags"))
+    none = F.array().cast(df.schema[tickers].dataType)
+    return rows.join(tags, F.col("url").eqNullSafe(F.col("__url")), "left").select(*rows.columns, F.coalesce("__tags", none).alias(tickers))
 
 
 def dedupe_calls(calls: DataFrame) -> DataFrame:

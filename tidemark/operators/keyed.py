@@ -1,7 +1,8 @@
 """Keyed row selection by aggregation.
 
 ``min_by``/``max_by`` combine on the map side, so a key that holds a third of all rows still shuffles one row per
-task. The row order inside a key never needs a sort.
+task. A whole row in the buffer keeps Spark from hashing it: each side sorts its rows by key first, which spills to
+disk and needs no memory for a key's rows together. Pass narrow rows where the rest can be joined back.
 """
 
 from __future__ import annotations

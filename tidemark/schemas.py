@@ -1,4 +1,4 @@
-"""Table schemas. Readers pass them explicitly so no job infers a schema from data."""
+"""Schemas of the tables that the operators expect, for callers that read landed files; the price reader passes its own."""
 
 from pyspark.sql import types as T
 

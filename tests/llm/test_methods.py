@@ -192,10 +192,10 @@ def test_license_phrases_against_python(spark, texts):
 
 
 def test_license_edits(spark):
-    text = "Intro.\nThis work is licenced under the GNU Genral Public Lisence; the end"
+    text = "Intro.\nThis work is licenced under the GNU Genral Public Licence; the end"
     row = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     [n] = row["notices"]
-    assert n["label"] == "gpl" and n["edits"] == 3 and text[n["start"]:n["end"]] == "licenced under the GNU Genral Public Lisence"
+    assert n["label"] == "gpl" and n["edits"] == 3 and text[n["start"]:n["end"]] == "licenced under the GNU Genral Public Licence"
 
 
 def test_every_edit_within_the_bound_has_a_seed():

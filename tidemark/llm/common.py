@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -29,6 +29,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def id_as_text(name: str) -> Column:
+    """An id column for Python tasks: pandas would turn a long column with nulls into floats, which round large ids."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def id_as_long(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once the results that read them are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))

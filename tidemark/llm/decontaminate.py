@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, mix, word_hashes
+from .common import U64, WordHashes, id_as_long, id_as_text, mix, word_hashes
 
 SAMPLES, TABLES = 4, 8
 
@@ -180,7 +180,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, max_rate: float = 0.15, reca
     """
     cache = WordHashes()
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").orderBy("item_id", "text")
-    schema = "doc_id long, item_id long, edits int, item_words int, first_word long, end_word long"
+    schema = "doc_id string, item_id long, edits int, item_words int, first_word long, end_word long"
 
     def search(items: dict[int, np.ndarray]) -> DataFrame:
         walks = choose_walks(items, max_rate, recall)
@@ -198,8 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, max_rate: float = 0.15, reca
                         base = k + 1 - len(group)
                         out += [(ids[base + d], i, e, len(f.items[i]), s, z) for d, i, e, s, z in f.find(group)]
                         group, held = [], 0
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits", "item_words", "first_word", "end_word"]).astype({"doc_id": "Int64"})
-        return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits", "item_words", "first_word", "end_word"])
+        return id_as_long(docs.select(id_as_text("doc_id"), F.col("text").cast("string")).mapInPandas(run, schema), "doc_id")
 
     found, block = None, {}
     for r in rows.toLocalIterator():

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise
+from .common import U64, id_as_long, id_as_text, materialise
 
 BINS = 1 << 16
 HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
@@ -103,11 +103,10 @@ def identify(pages: DataFrame, docs: DataFrame, *, text_weight: float = 0.2, hos
         table = shared.value
         for b in batches:
             ll = np.stack([table[trigrams(visible(t))].sum(axis=0) for t in b["html"]]) if len(b) else np.zeros((0, k))
-            out = b[["page_id", "host", "declared"]].astype({"page_id": "Int64"})
-            yield out.assign(**{f"t{j}": ll[:, j] * text_weight for j in range(k)})
+            yield b[["page_id", "host", "declared"]].assign(**{f"t{j}": ll[:, j] * text_weight for j in range(k)})
 
-    schema = "page_id long, host string, declared string, " + ", ".join(f"t{j} double" for j in range(k))
-    text = kept.mapInPandas(likelihoods, schema).withColumns({f"q{j}": q for j, q in enumerate(softmax([F.col(f"t{j}") for j in range(k)]))})
+    schema = "page_id string, host string, declared string, " + ", ".join(f"t{j} double" for j in range(k))
+    text = id_as_long(kept.withColumn("page_id", id_as_text("page_id")).mapInPandas(likelihoods, schema), "page_id").withColumns({f"q{j}": q for j, q in enumerate(softmax([F.col(f"t{j}") for j in range(k)]))})
     rows = materialise(text.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)}), "page-evidence")
 
     whole = rows.agg(*[F.sum(f"q{j}").alias(f"c{j}") for j in range(k)], F.count("*").alias("n")).first()

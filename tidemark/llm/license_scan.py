@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_words
+from .common import id_as_long, id_as_text, text_words
 
 #: Phrases and labels of the base search.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -130,7 +130,7 @@ class NoticeSearch:
         return sorted(kept, key=lambda m: m.start)
 
 
-SCHEMA = ("doc_id long, n_words long, places array<struct<word:long,label:string>>, "
+SCHEMA = ("doc_id string, n_words long, places array<struct<word:long,label:string>>, "
           "notices array<struct<label:string,edits:int,start:long,end:long,score:double>>")
 
 
@@ -159,8 +159,8 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None)
                         last = joined.count(" ", 0, m.end - (joined[m.end - 1] == " ")) - 1
                         spans.append({"label": m.label, "edits": m.edits, "start": at[max(first, 0)][0], "end": at[min(last, n - 1)][1], "score": max(0.0, 1 - m.edits / m.length)})
                 out.append((i, n, places, spans))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "places", "notices"]).astype({"doc_id": "Int64"})
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA)
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "places", "notices"])
+    return id_as_long(docs.select(id_as_text("doc_id"), F.col("text").cast("string")).mapInPandas(run, SCHEMA), "doc_id")
 
 
 def summary(scanned: DataFrame) -> DataFrame:

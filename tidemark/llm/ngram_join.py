@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, components, fold, materialise, mix
+from .common import U64, WordHashes, components, fold, id_as_long, id_as_text, materialise, mix
 
 WORD = re.compile(r"\w+")
 
@@ -89,8 +89,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for i, t in zip(b["doc_id"], b["text"]):
                 g = s.grams(t)
                 out.append((i, s.digest(g), len(g), s.band_hashes(g)) if len(g) else (i, None, 0, None))
-            yield pd.DataFrame(out, columns=["doc_id", "g", "n_grams", "bands"]).astype({"doc_id": "Int64"})
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, g binary, n_grams int, bands array<long>")
+            yield pd.DataFrame(out, columns=["doc_id", "g", "n_grams", "bands"])
+    return id_as_long(docs.select(id_as_text("doc_id"), F.col("text").cast("string")).mapInPandas(run, "doc_id string, g binary, n_grams int, bands array<long>"), "doc_id")
 
 
 class Block:
@@ -196,15 +196,15 @@ def ngram_links(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall:
     grams = (texts.join(wanted.hint("merge"), "rep").select("g", "weight", "block", "outer", "text")
              .mapInPandas(to_sets, "block long, outer boolean, g binary, weight long, grams binary"))
 
-    columns = ["g", "root", "links", "block", "blob"]
-
     def inside(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates("g")
         block = Block.build([bytes(g) for g in b["g"]], b["weight"], [np.frombuffer(g, U64) for g in b["grams"]])
-        out = [(g, root, links, None, None) for g, root, links in verify(block, None, threshold)]
-        if b["outer"].iloc[0]:
-            out.append((None, None, None, b["block"].iloc[0], block.dump()))
-        return pd.DataFrame(out, columns=columns).astype({"links": "Int64", "block": "Int64"})
+        found = verify(block, None, threshold)
+        out = pd.DataFrame({"g": [x[0] for x in found], "root": [x[1] for x in found], "links": pd.array([x[2] for x in found], "Int64"), "block": pd.array([None] * len(found), "Int64"), "blob": None})
+        if not b["outer"].iloc[0]:
+            return out
+        own = pd.DataFrame({"g": [None], "root": [None], "links": pd.array([None], "Int64"), "block": pd.array([b["block"].iloc[0]], "Int64"), "blob": [block.dump()]})  # a float would round the block's id
+        return pd.concat([out, own], ignore_index=True) if found else own
 
     done = materialise(grams.groupBy("block").applyInPandas(inside, "g binary, root binary, links long, block long, blob binary"), "inside")
     blobs = done.where("blob is not null")

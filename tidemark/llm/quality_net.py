@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, text_words
+from .common import U64, WordHashes, id_as_long, id_as_text, text_words
 from .weak_toxicity import fold, labelled_sample
 
 TOKEN, SPACE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+"), re.compile(r"\s")
@@ -212,6 +212,6 @@ def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3
         tokens = Tokens(len(shared.value))
         for b in batches:
             x = np.stack([pooled(shared.value, tokens.of(t)) for t in b["text"]]).astype(float) if len(b) else np.zeros((0, len(network.mean)))
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": network.scores(x)})
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double")
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": network.scores(x)})
+    return (id_as_long(docs.select(id_as_text("doc_id"), F.col("text").cast("string")).mapInPandas(run, "doc_id string, score double"), "doc_id")
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import id_as_text, materialise
 
 #: A pre-token: blanks with what follows up to the next blank. Blanks are U+0020 and U+2581, which these models write for it.
 SPACE = "\u2581"
@@ -78,7 +78,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, *, limit: int =
     """
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
     check_model(load(path))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(id_as_text("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def corpus(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
@@ -113,12 +113,12 @@ def token_counts(docs: DataFrame, model_path: str | None = None, *, limit: int =
                 tokens.append([f"#{row}", *own])  # no pre-token starts with "#": all start with a blank
                 times.append([sum(pieces[w] * k for w, k in c.items() if w in pieces), *own.values()])
             if tokens:
-                yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"].astype("Int64"), "n_bytes": [len(t.encode()) for t in b["text"]], "tokens": tokens, "times": times})
+                yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "n_bytes": [len(t.encode()) for t in b["text"]], "tokens": tokens, "times": times})
 
     # the first entry of a text holds the pieces of its frequent pre-tokens: it meets no row of the vocabulary and counts one each
-    each = (texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(fold, "row long, doc_id long, n_bytes long, tokens array<string>, times array<long>")
+    each = (texts.withColumn("row", F.monotonically_increasing_id()).mapInPandas(fold, "row long, doc_id string, n_bytes long, tokens array<string>, times array<long>")
             .select("row", "doc_id", "n_bytes", F.posexplode(F.arrays_zip("tokens", "times")).alias("k", "t"))
-            .select("row", F.when(F.col("k") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("k") == 0, F.col("n_bytes")).alias("n_bytes"), F.col("t.tokens").alias("token"), F.col("t.times").alias("times")))
+            .select("row", F.when(F.col("k") == 0, F.col("doc_id").cast("long")).alias("doc_id"), F.when(F.col("k") == 0, F.col("n_bytes")).alias("n_bytes"), F.col("t.tokens").alias("token"), F.col("t.times").alias("times")))
     n = F.sum(F.col("times") * F.coalesce("pieces", F.lit(1)))
     return (each.join(vocabulary.select("token", "pieces"), "token", "left").groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), n.alias("n_tokens"))
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

@@ -516,10 +516,25 @@ def _(i: Inputs):
     return R.source_state_update(i["fx_sources"], i["fx_results"], NOW()).select("id", "fail_count", "enabled", "etag", "items_total", ts_text("last_fetch").alias("last_fetch"))
 
 
-@query("status_report")
+_SINCE = f"{{fx_articles}}.published_at > {NOW_SQL} - INTERVAL"
+
+
+@query("status_report", f"""SELECT CAST({NOW_SQL} AS VARCHAR) AS updated_at, (SELECT count(*) FROM {{fx_articles}}) AS total, (SELECT count(*) FROM {{fx_articles}} WHERE {_SINCE} '1' HOUR) AS h1,
+ (SELECT count(*) FROM {{fx_articles}} WHERE {_SINCE} '24' HOUR) AS h24, (SELECT count(*) FROM {{fx_articles}} WHERE {_SINCE} '24' HOUR AND ai_relevance_score >= 40) AS worthy24,
+ (SELECT count(*) FROM {{fx_articles}} a WHERE published_at > {NOW_SQL} - INTERVAL '30' DAY AND NOT regexp_matches(title, '[Α-Ωα-ωά-ώ]') AND id NOT IN (SELECT article_id FROM {{fx_scores}} WHERE article_id IS NOT NULL)) AS remaining,
+ (SELECT string_agg(concat(kind, ':', n, ':', e, ':', f), ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n, count(*) FILTER (enabled) AS e, count(*) FILTER (fail_count >= 3) AS f FROM {{fx_sources}} GROUP BY 1)) AS kinds,
+ (SELECT string_agg(concat(d, ':', n), ',' ORDER BY d) FROM (SELECT CAST(published_at AS DATE) AS d, count(*) AS n FROM {{fx_articles}} WHERE {_SINCE} '14' DAY GROUP BY 1)) AS days,
+ (SELECT coalesce(string_agg(concat(s, ':', n), ',' ORDER BY s), '') FROM (SELECT coalesce(ai_sentiment, 'none') AS s, count(*) AS n FROM {{fx_articles}} WHERE {_SINCE} '24' HOUR GROUP BY 1)) AS mix,
+ (SELECT count(*) FROM {{fx_health}} WHERE source = 'INGEST_ALL' AND {{fx_health}}.created_at > {NOW_SQL} - INTERVAL '24' HOUR) AS runs""")
 def _(i: Inputs):
+    """The document taken apart again."""
     r = R.status_report(i["fx_articles"], i["fx_scores"], i["fx_sources"], i["fx_health"], NOW())
-    return r.select(ts_text("updated_at").alias("updated_at"), "data")
+    kind = ("counts struct<total:long,h1:long,h24:long,worthy24:long>, scoring struct<remaining:long>, sources array<struct<kind:string,n:long,enabled:long,failing:long>>, "
+            "per_day array<struct<day:string,n:long>>, mix24 array<struct<sentiment:string,n:long>>, ingest array<struct<created_at:string>>")
+    flat = lambda c, *fs: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fs])), ",")
+    return r.select(ts_text("updated_at").alias("updated_at"), F.from_json("data", kind).alias("d")).select(
+        "updated_at", "d.counts.*", "d.scoring.remaining", flat("d.sources", "kind", "n", "enabled", "failing").alias("kinds"), flat("d.per_day", "day", "n").alias("days"),
+        flat("d.mix24", "sentiment", "n").alias("mix"), F.coalesce(F.size("d.ingest"), F.lit(0)).cast("long").alias("runs"))
 
 
 # ---------------------------------------------------------------- notifications and increments

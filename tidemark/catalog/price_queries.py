@@ -415,10 +415,18 @@ def _(i: Inputs):
     return L.top5_per_book(i["fx_books"]).select(day_text("date").alias("date"), "book", joined("top").alias("top"))
 
 
-@query("lab_report")
+@query("lab_report", """WITH m AS (SELECT max(date) AS d FROM {fx_books}), t AS (SELECT book, symbol, row_number() OVER (PARTITION BY book ORDER BY score DESC, symbol) AS rank FROM {fx_books}, m WHERE date = d)
+SELECT CAST(d AS VARCHAR) AS as_of, (SELECT string_agg(concat(book, ':', top), ',' ORDER BY book) FROM (SELECT book, string_agg(symbol, '/' ORDER BY rank) AS top FROM t WHERE rank <= 5 GROUP BY 1)) AS top5,
+ (SELECT count(*) FROM {fx_positions} WHERE status = 'pending') AS open_positions,
+ (SELECT coalesce(string_agg(concat(book, ':', side, ':', n), ',' ORDER BY book, side), '') FROM (SELECT book, side, count(*) AS n FROM {fx_positions} WHERE status = 'closed' GROUP BY 1, 2)) AS ledger FROM m""")
 def _(i: Inputs):
+    """The document taken apart again."""
     b = i["fx_books"]
-    return L.lab_report(b, i["fx_positions"], b.agg(F.max("date")).scalar()).select(day_text("as_of").alias("as_of"), "report")
+    r = L.lab_report(b, i["fx_positions"], b.agg(F.max("date")).scalar())
+    kind = "top5 array<struct<book:string,top:array<string>>>, open_paper_positions long, ledger array<struct<book:string,side:string,closed_positions:long>>"
+    d = r.select(day_text("as_of").alias("as_of"), F.from_json("report", kind).alias("d"))
+    return d.select("as_of", F.array_join(F.transform("d.top5", lambda x: F.concat_ws(":", x["book"], F.array_join(x["top"], "/"))), ",").alias("top5"), F.col("d.open_paper_positions").alias("open_positions"),
+                    F.coalesce(F.array_join(F.transform("d.ledger", lambda x: F.concat_ws(":", x["book"], x["side"], x["closed_positions"].cast("string"))), ","), F.lit("")).alias("ledger"))
 
 
 @query("ticker_page", """SELECT s.symbol, CAST(max(b.date) AS VARCHAR) AS asof, arg_max(b.close, b.date) AS last, count(*) AS n_prices FROM (SELECT 'B7' AS symbol) s JOIN (SELECT * FROM {fx_bars} WHERE symbol = 'B7' ORDER BY date DESC LIMIT 90) b ON b.symbol = s.symbol GROUP BY 1""")

@@ -21,11 +21,13 @@ sq = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)  #
 ASCII = r"regexp_replace({c}, '[^\x00-\x7f]', 'a', 'g')"
 
 
-@query("extract_tickers", rf"""
-SELECT doc_id AS id, array_to_string(list_sort(list_distinct(list_concat(
-    list_filter(regexp_extract_all(t, '\b[A-Z]{{2,5}}\b'), lambda x: x NOT IN ({sq(K.TICKER_STOPWORDS)})),
+_FOUND = rf"""list_concat(list_filter(regexp_extract_all(t, '\b[A-Z]{{2,5}}\b'), lambda x: x NOT IN ({sq(K.TICKER_STOPWORDS)})),
     list_transform(regexp_extract_all(lower(t), '\b({"|".join(sorted(K.COMPANY_ALIASES, key=len, reverse=True))})\b'),
-                   lambda x: CASE x {" ".join("WHEN '%s' THEN '%s'" % kv for kv in K.COMPANY_ALIASES.items())} END)))), ',') AS tickers
+                   lambda x: CASE x {" ".join("WHEN '%s' THEN '%s'" % kv for kv in K.COMPANY_ALIASES.items())} END))"""
+
+
+@query("extract_tickers", rf"""
+SELECT doc_id AS id, array_to_string(list_sort(list_distinct({_FOUND})), ',') AS tickers
 FROM (SELECT doc_id, {ASCII.format(c="text")} AS t FROM documents)""")
 def _(i: Inputs):
     return i["documents"].select(F.col("doc_id").alias("id"), joined(X.extract_tickers(F.col("text"))).alias("tickers"))
@@ -206,7 +208,12 @@ def _(i: Inputs):
     return i["pages"].select(F.col("page_id").alias("id"), X.main_text(F.col("html")).alias("main_text"), X.is_blocked(F.col("url"), ["example.org"]).alias("blocked"))
 
 
-@query("backfill_full_text")
+@query("backfill_full_text", rf"""WITH m AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, page_id % 5 = 0 AS before, {_main_text_sql()} AS t FROM pages),
+ newest AS (SELECT url, arg_max(CASE WHEN length(t) >= 200 THEN t END, page_id) FILTER (true) AS x, max(page_id) AS pid FROM m GROUP BY 1), l AS (SELECT n.url, CASE WHEN length(m.t) >= 200 THEN m.t END AS x FROM newest n JOIN m ON m.page_id = n.pid),
+ j AS (SELECT m.page_id AS id, before, contains(m.url, 'investing.com') AS blocked, CASE WHEN NOT contains(m.url, 'investing.com') THEN l.x END AS x, title FROM m LEFT JOIN l ON l.url = m.url),
+ k AS (SELECT *, {ASCII.format(c="concat_ws(' ', title, x)")} AS t FROM j)
+SELECT id, CASE WHEN before THEN 'before' WHEN blocked THEN 'skipped' WHEN x IS NOT NULL THEN 'ok' ELSE 'failed' END AS fetch_state, CASE WHEN NOT before THEN CAST(length(x) AS DOUBLE) END AS n,
+ CASE WHEN before OR x IS NULL THEN 'ZZ' ELSE array_to_string(list_sort(list_distinct(list_append({_FOUND}, 'ZZ'))), ',') END AS tickers FROM k""")
 def _(i: Inputs):
     """Articles at the stored pages' urls: fetch outcome, text length and merged tickers."""
     p = i["pages"]

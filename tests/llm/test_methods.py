@@ -251,6 +251,29 @@ def test_leaks_against_brute_force(spark, texts):
     assert {x for x in got if len(word_hashes(docs[x[0]], cache)) < 3000} <= true and len(got & true) >= 0.95 * len(true)
 
 
+def test_leaks_with_edits_in_one_part(spark):
+    """Items with all allowed words changed in one part are found as often as the target says, wherever that part is."""
+    rng, items = np.random.default_rng(12), spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    docs = []
+    for r in items.collect():
+        for part in range(3):
+            w = re.findall(r"\w+", r["text"])
+            half, edits = len(w) // 2, int(0.15 * len(w))
+            at = int(rng.integers(half - edits + 1)) + part * (len(w) - half) // 2
+            w[at:at + edits] = [f"changed{k}" for k in range(edits)]
+            docs.append((3 * r["item_id"] + part, " ".join([f"before{k}" for k in range(int(rng.integers(40)))] + w + [f"after{k}" for k in range(80)])))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    got = {r["doc_id"] for r in found if r["item_id"] == r["doc_id"] // 3}
+    assert min(np.mean([d in got for d, _ in docs if d % 3 == part]) for part in range(3)) >= 0.95
+
+
+def test_unedited_short_items_all_leak(spark):
+    rows = [(k, f"short{k} item{k}" + f" more{k}" * (k % 2)) for k in range(300)]
+    docs = spark.createDataFrame([(k, f"before{k} {t} after{k} on{k}") for k, t in rows], "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in found} == {(k, k, 0) for k, _ in rows}
+
+
 def test_language_evidence(spark):
     pages, docs = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("pages", "documents"))
     rows = language_fusion.identify(pages, docs).collect()

@@ -2,13 +2,14 @@
 
 Words (lower-cased ``\\w+``) are hashed. The CGK random walk reads a window and stays at, or moves on from, the current word by a random bit of
 (word, step); it maps edit distance to Hamming distance, because walks meet again soon after an edit. A table samples a few steps of a walk;
-windows that agree on all samples of some table are candidates. Item windows start at every one of the first ``stride`` words of an item and
-document windows at every ``stride``-th word, so any occurrence lines up with one of them. Sizes of windows follow the items: one class for each
-doubling of item length. Every candidate is verified by the exact least edit distance between the whole item and any part of the region.
+windows that agree on all samples of some table are candidates. Item windows start at every one of ``stride`` successive words at the head, in the
+middle and towards the tail of an item and document windows at every ``stride``-th word, so any occurrence lines up with one of each. Sizes of windows
+follow the items: one class for each doubling of item length, with its own number of walks. Every candidate is verified by the exact least edit distance between the whole item and any part of the region.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,16 @@ from pyspark.sql import functions as F
 from .common import U64, WordHashes, id_as_long, id_as_text, mix, word_hashes
 
 SAMPLES, TABLES = 4, 8
+log = logging.getLogger(__name__)
+
+
+def by_class(items: dict[int, np.ndarray]) -> dict[int, dict[int, np.ndarray]]:
+    """Items with words by the power of two at or below their length."""
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for i, w in items.items():
+        if len(w):
+            found.setdefault(1 << (len(w).bit_length() - 1), {})[i] = w
+    return dict(sorted(found.items()))
 
 
 class SizeClass:
@@ -36,7 +47,7 @@ class SizeClass:
         self.by = rng.integers(0, 2**62, (walks, TABLES, r), dtype=np.uint64) * U64(2) + U64(1)
         ids, words, starts, offs, at = [], [], [], [], 0
         for i, w in items.items():
-            for o in range(min(self.stride, len(w))):
+            for o in self.starts(len(w)):
                 ids.append(i)
                 offs.append(o)
                 starts.append(at + o)
@@ -53,6 +64,11 @@ class SizeClass:
             seen[k >> self.shift] = True
             self.tables.append((seen, k[order], order))
 
+    def starts(self, size: int) -> list[int]:
+        """Words of an item at which windows start: a walk reads about three quarters of a window, so the last ones end with the item."""
+        last = max(0, size - self.window * 3 // 4 - self.stride)
+        return sorted({a + o for a in (0, last // 2, last) for o in range(self.stride) if a + o < size})
+
     def keys(self, words: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
         """Keys of the windows at ``starts``, table by table. ``words`` has room for all steps behind every start."""
         for w in range(len(self.seeds)):
@@ -111,10 +127,9 @@ def least_edits(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 
 
 class Finder:
-    def __init__(self, items: dict[int, np.ndarray], max_rate: float, walks: int, seed: int = 11):
+    def __init__(self, items: dict[int, np.ndarray], max_rate: float, walks: dict[int, int], seed: int = 11):
         self.items, self.max_rate = {i: w for i, w in items.items() if len(w)}, max_rate
-        lows = {i: 1 << (len(w).bit_length() - 1) for i, w in self.items.items()}
-        self.classes = [SizeClass(low, {i: w for i, w in self.items.items() if lows[i] == low}, walks, seed) for low in sorted(set(lows.values()))]
+        self.classes = [SizeClass(low, some, walks[low], seed) for low, some in by_class(self.items).items()]
         self.pad = max((c.steps for c in self.classes), default=0) + 1
 
     def find(self, docs: list[np.ndarray], verify: bool = True) -> list[tuple[int, int, int, int, int]]:
@@ -143,11 +158,18 @@ class Finder:
         return [(d, i, *b) for (d, i), b in sorted(best.items())]
 
 
-def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
-    out = words.tolist()
-    for _ in range(edits):
-        k, kind = int(rng.integers(len(out) or 1)), int(rng.integers(3))
-        if kind == 0 and out:
+#: Parts of an item in which test edits fall.
+PLACES = {"anywhere": [(0, 1)], "first half": [(0, 0.5)], "second half": [(0.5, 1)], "both ends": [(0, 0.25), (0.75, 1)]}
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator, parts: list[tuple[float, float]]) -> np.ndarray:
+    """Single edits that fall in ``parts`` of the words, by turns."""
+    out, n = words.tolist(), len(words)
+    spots = [int(rng.integers(int(lo * n), max(int(lo * n) + 1, int(hi * n)))) for lo, hi in (parts[e % len(parts)] for e in range(edits))]
+    for k in sorted(spots, reverse=True):  # from the back, so that earlier places stay where they are
+        kind = int(rng.integers(3))
+        k = min(k, len(out) - 1)
+        if kind == 0:
             out[k] = int(rng.integers(2**63))
         elif kind == 1 and len(out) > 1:
             del out[k]
@@ -156,24 +178,57 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(out, U64)
 
 
-def choose_walks(items: dict[int, np.ndarray], max_rate: float, recall: float, most: int = 12, seed: int = 5) -> int:
-    """Walks needed: the fewest for which at least ``recall`` of test items, edited up to the limit and set among foreign words, become candidates."""
-    rng = np.random.default_rng(seed)
-    some = [i for i in sorted(items) if len(items[i])][:200]
-    tests = [(i, np.concatenate([rng.integers(0, 2**63, int(rng.integers(40)), dtype=np.uint64), edited(items[i], int(max_rate * len(items[i])), rng),
-                                 rng.integers(0, 2**63, 80, dtype=np.uint64)])) for i in some for _ in range(2)]
-    for walks in range(1, most + 1):
-        found = {(d, i) for d, i, *_ in Finder({i: items[i] for i in some}, max_rate, walks).find([t for _, t in tests], verify=False)}
-        if not tests or sum((k, i) in found for k, (i, _) in enumerate(tests)) >= recall * len(tests):
-            return walks
-    return most
+def run_changed(words: np.ndarray, edits: int, rng: np.random.Generator, part: tuple[float, float]) -> np.ndarray:
+    """One run of ``edits`` changed words that starts in ``part`` of the words."""
+    out, n = words.copy(), len(words)
+    at = int(rng.integers(int(part[0] * n), max(int(part[0] * n), int(part[1] * n) - edits) + 1))
+    out[at:at + edits] = rng.integers(0, 2**63, len(out[at:at + edits]), dtype=np.uint64)
+    return out
+
+
+def trial_items(items: dict[int, np.ndarray], max_rate: float, rng: np.random.Generator, times: int) -> dict[str, list[tuple[int, np.ndarray]]]:
+    """(item id, words) by kind of edits: every item ``times`` times, unedited or edited up to the limit, and set among foreign words."""
+    kinds = {name: lambda w, e, parts=parts: edited(w, e, rng, parts) for name, parts in PLACES.items()}
+    kinds |= {f"run in {name}": lambda w, e, part=part: run_changed(w, e, rng, part) for name, part in (("first half", (0, 0.5)), ("middle", (0.25, 0.75)), ("second half", (0.5, 1)))}
+    kinds["unedited"] = lambda w, e: w
+    around = lambda w: np.concatenate([rng.integers(0, 2**63, int(rng.integers(40)), dtype=np.uint64), w, rng.integers(0, 2**63, 80, dtype=np.uint64)])
+    return {name: [(i, around(edit(w, int(max_rate * len(w))))) for i, w in items.items() for _ in range(times)] for name, edit in kinds.items()}
+
+
+def recall_by_kind(tests: dict[str, list[tuple[int, np.ndarray]]], finder: Finder) -> dict[str, float]:
+    """Share of the test items that become candidates, by kind of edits."""
+    out = {}
+    for name, some in tests.items():
+        found = {(d, i) for d, i, *_ in finder.find([t for _, t in some], verify=False)}
+        out[name] = float(np.mean([(k, i) in found for k, (i, _) in enumerate(some)]))
+    return out
+
+
+def choose_walks(items: dict[int, np.ndarray], max_rate: float, recall: float, most: int = 12, seed: int = 5, least_tests: int = 400) -> dict[int, int]:
+    """Walks needed by size class: the fewest with which every unedited item and, of every kind of edits, at least ``recall`` of the test items plus a
+    standard error become candidates.
+
+    All items are tested, those of small classes often enough for ``least_tests``. A class that misses the target with ``most`` walks keeps them and is logged.
+    """
+    walks = {}
+    for low, some in by_class(items).items():
+        tests = trial_items(some, max_rate, np.random.default_rng((seed, low)), -(-least_tests // len(some)))
+        need = {k: 1.0 if k == "unedited" else min(1.0, recall + (recall * (1 - recall) / len(t)) ** 0.5) for k, t in tests.items()}
+        for n in range(1, most + 1):
+            got = recall_by_kind(tests, Finder(some, max_rate, {low: n}))
+            walks[low] = n
+            if all(got[k] >= need[k] for k in need):
+                break
+        else:
+            log.warning("items of %d to %d words: %d walks find only %s", low, 2 * low - 1, most, {k: round(got[k], 3) for k in need if got[k] < need[k]})
+    return walks
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, max_rate: float = 0.15, recall: float = 0.95, block_items: int = 1000) -> DataFrame:
     """(doc_id, item_id, edits, item_words, first_word, end_word): for every document and item, the best place with at most ``max_rate`` of the
     item's words edited, if there is one.
 
-    ``recall`` is for items edited right up to the limit, measured on edited items; unedited ones always line up. The benchmark is read in blocks of
+    ``recall`` is for items edited right up to the limit, wherever the edits fall, measured on edited items; unedited ones always line up. The benchmark is read in blocks of
     ``block_items`` items, each a bounded broadcast, so a large benchmark means more passes over the documents. Documents and items without
     words (null, empty) match nothing. Every row of ``docs`` is searched on its own: repeated rows give repeated results, a null doc_id gives a null
     doc_id. Of rows with one item_id, the last text counts; items without an id are skipped. Other columns are ignored.

@@ -68,3 +68,22 @@ def test_walk_forward_ranks_the_trees(spark):
     rows = {r["book"]: r for r in RUN["walk_forward"](larger).collect()}
     rules = {r["book"]: r for r in RUN["walk_forward_rules"](larger).collect()}
     assert set(rows) == set(rules) | {"gbt"} and all(rows[b] == rules[b] for b in rules)
+
+
+def test_walk_forward_fits_all_rounds(spark, monkeypatch):
+    """The registered query asks for the operator's own rounds, depth and rate; the fits themselves are cut short here."""
+    import inspect
+
+    from tidemark.catalog.core import Inputs
+    from tidemark.operators import lab
+    fit, asked = lab.fit_gbt, []
+
+    def short(train, **options):
+        bound = inspect.signature(fit).bind(train, **options)
+        bound.apply_defaults()
+        asked.append(tuple(bound.arguments[k] for k in ("rounds", "depth", "rate")))
+        return fit(train, **options | {"rounds": 1})
+
+    monkeypatch.setattr(lab, "fit_gbt", short)
+    RUN["walk_forward"](Inputs(spark, "/root/testdata/sf0.01")).collect()
+    assert asked and set(asked) == {(150, 3, 0.05)}

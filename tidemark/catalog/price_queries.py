@@ -321,9 +321,9 @@ def _(i: Inputs):
 
 @query("walk_forward")
 def _(i: Inputs):
-    """Rule books and boosted trees side by side, refit each quarter from the start of ``walk_forward_rules``; trees of 20 rounds, leaves of 20 rows, every third row."""
+    """Rule books and boosted trees side by side, refit each quarter from the start of ``walk_forward_rules``; the operator's own rounds and depth, leaves of 20 rows for the small fixture, every third row."""
     r = cut_lineage(_ranked(i))
-    w = L.walk_forward(r, "2000-07-01", 5, 400, train_every=3, rounds=20, min_leaf=20)
+    w = L.walk_forward(r, "2000-07-01", 5, 400, train_every=3, min_leaf=20)
     return _shown(L.evaluate_books(w, r, 5, min_ic=10, min_tail=10, min_days=2))
 
 

@@ -141,3 +141,10 @@ def test_prefilter_changes_nothing(spark):
     for row in df.select("t", *cols).collect():
         for s, p in K.SYMBOL_PATTERNS.items():
             assert row[s] == bool(re.search(p, row.t, re.I)), (row.t, s)
+
+
+def test_required_words_of_groups_that_may_be_absent(value):
+    for pattern in ("(?-i:US )?dollar", "(?-i:US )*dollar", "(?-i:US ){0,1}dollar", "(?-i:US |UK )dollar", r"oil|(?-i:US \(x\) )?dollar"):
+        assert X.required_words(pattern) is None
+    assert X.required_words("(?-i:US )dollar") == ["us "] and X.required_words("(?-i:US dollar)") == ["us dollar"]
+    assert value(X.any_case(L("the dollar"), L("the dollar"), "(?-i:US )?dollar"))

@@ -39,6 +39,18 @@ def lower_pattern(pattern: str) -> str:
     return re.sub(r"\\.|[A-Z]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
 
 
+def _group_may_be_absent(alt: str) -> bool:
+    """Whether the group that opens an alternative can match without its first literal: it is quantified or holds alternatives itself."""
+    depth = 0
+    for m in re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|[()|]", alt):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if m[0] == "|" and depth == 1:
+            return True
+        if depth == 0:
+            return alt[m.end():m.end() + 1] in ("?", "*", "{")
+    return False
+
+
 def required_words(pattern: str) -> list[str] | None:
     """One lower-case literal per top-level alternative without which it cannot match; None if some has no such literal."""
     out, depth, start, alts = [], 0, 0, []
@@ -50,7 +62,7 @@ def required_words(pattern: str) -> list[str] | None:
     for alt in alts:
         head = re.match(r"(?:\(\?-i:)?(?:\\b)?([A-Za-z0-9&' -]+)([?*{])?", alt)  # the last character may be absent under any of these quantifiers
         word = (head[1][:-1] if head[2] else head[1]) if head else ""
-        if len(word) < 2:
+        if len(word) < 2 or (alt[0] == "(" and _group_may_be_absent(alt)):
             return None
         out.append(word.lower())
     return out

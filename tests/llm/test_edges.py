@@ -6,14 +6,17 @@ pytest.importorskip("tidemark.llm")
 
 import corpus_pipeline  # noqa: E402
 from tidemark.llm import (  # noqa: E402
+    bpe_codec,
     decontaminate,
     language_fusion,
     license_scan,
+    merkle_manifest,
     ngram_join,
     quality_net,
     robust_quality,
     secret_scan,
     source_mix,
+    token_alignment,
     token_counts,
     weak_toxicity,
 )
@@ -76,6 +79,10 @@ OPERATORS = {
     "op7": lambda d, lab, b: op7(d, lab),
     "op8": lambda d, lab, b: license_scan.summary(license_scan.license_scan(d)),
     "op10": lambda d, lab, b: language_fusion.identify(pages_of(d), d),
+    "op11": lambda d, lab, b: bpe_codec.decode_documents(bpe_codec.encode_documents(d)),
+    "op11_digest": lambda d, lab, b: bpe_codec.round_trip(d),
+    "op12": lambda d, lab, b: merkle_manifest.verification(merkle_manifest.manifest(d, merkle_manifest.every_third(), merkle_manifest.lower_ascii())),
+    "op13": lambda d, lab, b: token_alignment.token_alignment(d, frequent=50),
 }
 
 
@@ -144,3 +151,16 @@ def test_stages(name, docs, labels, benchmark, tmp_path):
         assert out.where("doc_id is null").count() == 1 and out.where("doc_id in (3, 4)").count() == 2
     out.collect()
     assert stage(docs.sparkSession, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_tokens_of_edge_cases(docs):
+    for rows in (bpe_codec.round_trip(docs).collect(), token_alignment.token_alignment(docs).collect()):
+        n = {r["doc_id"]: r[1] for r in rows}
+        assert n[3] == n[4] == 0 and n[5] > 150_000 and len([r for r in rows if r["doc_id"] == 1]) == 2
+    assert {r["doc_id"]: r["groups_sha256"] for r in rows}[9] == ""  # U+2581 cannot be given back
+
+
+def test_manifest_of_edge_cases(docs):
+    rows = merkle_manifest.verification(merkle_manifest.manifest(docs, merkle_manifest.every_third(), merkle_manifest.lower_ascii())).collect()
+    assert len({r["root"] for r in rows}) == 1 and len({r["leaf"] for r in rows if r["doc_id"] == 1}) == 1
+    assert all(r["verified"] == (r["folded_root"] == r["root"]) for r in rows) and all(r["verified"] for r in rows if r["doc_id"] in (None, 3))

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_fusion, license_scan, ngram_join, quality_net, robust_quality, secret_scan, source_mix, token_counts, weak_toxicity
+from . import (
+    bpe_codec,
+    decontaminate,
+    language_fusion,
+    license_scan,
+    merkle_manifest,
+    ngram_join,
+    quality_net,
+    robust_quality,
+    secret_scan,
+    source_mix,
+    token_alignment,
+    token_counts,
+    weak_toxicity,
+)
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,6 +94,37 @@ SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5(concat('7:order:
 FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM n WHERE n_copies > 0)"""
 
 
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', {c}) END"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_HEAD_FIELDS = ", ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: crc32 bit by bit, divisible by three
+_THIRD = """(4294967295 - list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda acc, c: list_reduce(range(8), lambda h, i: xor(h >> 1, (h & 1) * 3988292384), xor(acc, c)), 4294967295)) % 3 = 0"""
+_UP = "list_transform(range(0, len(nodes), 8), lambda k: sha256(array_to_string(nodes[k + 1:k + 8], '')))"
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, sha256(concat({_HEAD_FIELDS}, {_field("text")})) AS leaf,
+                            CASE WHEN {_THIRD} THEN sha256(concat({_HEAD_FIELDS}, {_field(_LOWER)})) END AS found FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+lv AS (SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
+       UNION ALL SELECT lang, level + 1, {_UP} FROM lv WHERE len(nodes) > 1),
+subs AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at FROM lv WHERE len(nodes) = 1),
+tops AS (SELECT 0 AS level, list(subroot ORDER BY at) AS nodes FROM subs UNION ALL SELECT level + 1, {_UP} FROM tops WHERE len(nodes) > 1),
+steps AS (SELECT p.pos, p.lang, 0 AS part, level, p.pos // CAST(8 ** level AS BIGINT) AS at, nodes FROM p JOIN lv ON p.lang IS NOT DISTINCT FROM lv.lang WHERE len(nodes) > 1
+          UNION ALL SELECT p.pos, p.lang, 1, level, subs.at // CAST(8 ** level AS BIGINT), nodes FROM p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang, tops WHERE len(nodes) > 1),
+sides AS (SELECT pos, lang, row_number() OVER (PARTITION BY lang, pos ORDER BY part, level) AS step,
+                 array_to_string(nodes[at - at % 8 + 1:at], '') AS l, array_to_string(nodes[at + 2:at - at % 8 + 8], '') AS r FROM steps),
+proof AS (SELECT pos, lang, sha256(string_agg(concat(l, r), '' ORDER BY step)) AS proof_sha256 FROM sides GROUP BY 1, 2),
+fold AS (SELECT pos, lang, CAST(0 AS BIGINT) AS step, coalesce(found, leaf) AS h FROM p
+         UNION ALL SELECT f.pos, f.lang, s.step, sha256(concat(s.l, f.h, s.r)) FROM fold f JOIN sides s ON f.pos = s.pos AND f.lang IS NOT DISTINCT FROM s.lang AND s.step = f.step + 1),
+ends AS (SELECT pos, lang, arg_max(h, step) AS folded_root FROM fold GROUP BY 1, 2)
+SELECT p.doc_id, p.leaf, subs.subroot, root.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root.h AS verified
+FROM p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang JOIN (SELECT nodes[1] AS h FROM tops WHERE len(nodes) = 1) root ON true
+JOIN ends ON p.pos = ends.pos AND p.lang IS NOT DISTINCT FROM ends.lang LEFT JOIN proof ON p.pos = proof.pos AND p.lang IS NOT DISTINCT FROM proof.lang"""
+
+
 @query("op1_robust_quality")
 def _(spark, sf):
     """The distance is left out: its last digits depend on the order of sums."""
@@ -135,3 +180,19 @@ def _(spark, sf):
     """Languages of all pages; the score is rounded, its last digits depend on the order of sums."""
     found = language_fusion.identify(table(spark, sf, "pages"), table(spark, sf, "documents"))
     return found.withColumn("score", F.round("score", 6))
+
+
+@query("op11_bpe_round_trip")
+def _(spark, sf):
+    return bpe_codec.round_trip(table(spark, sf, "documents"))
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def _(spark, sf):
+    found = merkle_manifest.manifest(table(spark, sf, "documents"), merkle_manifest.every_third(), merkle_manifest.lower_ascii())
+    return merkle_manifest.verification(found)
+
+
+@query("op13_token_alignment")
+def _(spark, sf):
+    return token_alignment.token_alignment(table(spark, sf, "documents"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -50,6 +51,32 @@ def test_story_clusters_when_a_third_are_near_copies(spark):
     assert run_clusters(spark, rows) == clusters_by_loop(rows)
 
 
+def test_chains_of_leaders(spark):
+    """One hot group with many rows at one time, sparse and dense groups, gaps of exactly the reach."""
+    rng, width = random.Random(8), 1000
+    rows = [(i, rng.choice([0, 5000, rng.randint(0, 60_000)]), "hot") for i in range(600)] + [(1000 + i, width * i, "exact") for i in range(40)]
+    rows += [(2000 + i, rng.randint(0, 30_000), f"k{rng.randint(0, 30)}") for i in range(300)]
+    want = set()
+    for key in {r[2] for r in rows}:
+        last = None
+        for t, i in sorted((t, i) for i, t, k in rows if k == key):
+            if last is None or t > last + width:
+                want.add(i)
+                last = t
+    df = spark.createDataFrame(rows, "id long, t long, key string")
+    assert {r.id for r in D.chain_leaders(df, width).collect()} == want
+
+
+@pytest.mark.parametrize("days", [30, 300])
+def test_rounds_grow_with_the_logarithm_of_the_span(spark, caplog, days):
+    """A title that returns every day, with and without one changed word, and never leaves the index."""
+    rows = [(i, T0 + timedelta(hours=24 * i, minutes=i % 7), VOCAB[:6] if i % 3 else VOCAB[:7]) for i in range(days)]
+    with caplog.at_level("INFO", logger="tidemark.operators.dedupe"):
+        assert run_clusters(spark, rows) == clusters_by_loop(rows)
+    chains, partly = (int(re.search(r"(\d+) rounds", r.getMessage())[1]) for r in caplog.records[-2:])
+    assert partly == 0 and chains <= math.ceil(math.log2(days / 2)) + 1
+
+
 def test_fuzzy_title_dedupe(spark):
     rng = random.Random(5)
     base = ["Oil prices rise on supply fears", "Fed holds rates steady again", "Chip maker beats forecasts", "Bank sues regulator over fine", "x", "ab"]

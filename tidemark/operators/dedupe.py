@@ -7,6 +7,8 @@ keyed row per 48-hour bucket, compares *distinct* titles only, finds candidate t
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .articles import hours_before
 from .keyed import first_per_key, latest_per_key
 
 _HOUR = 3_600_000_000
+_log = logging.getLogger(__name__)
 
 
 def dedupe_url_last(df: DataFrame, ordinal: str) -> DataFrame:
@@ -127,13 +130,14 @@ def greedy_leaders(todo: DataFrame, edges: DataFrame, width: int | None) -> Data
     ``todo``: (id, t, tkey, bucket), ``edges``: symmetric (a, b) between distinct keys; rows of one key are similar too.
     Each round elects every row with no undecided similar row before it in reach, then drops what those leaders cover.
     Work per round is one row per (key, bucket) plus the undecided rows. Every round settles at least the first row of
-    each group of similar titles, so the loop ends; a title that returns for months adds one round per window.
+    each group of similar titles, so the loop ends; a family that returns for months adds one round per window.
     """
     reach = edges.select("a", "b").unionByName(todo.select(F.col("tkey").alias("a"), F.col("tkey").alias("b")).distinct())
     reach = cut_lineage(reach)
-    todo, leaders = cut_lineage(todo.select("id", "t", "tkey", "bucket")), None
+    todo, leaders, rounds = cut_lineage(todo.select("id", "t", "tkey", "bucket")), None, 0
     w = width if width is not None else 1 << 62
     while not todo.isEmpty():
+        rounds += 1
         nodes = todo.groupBy("tkey", "bucket").agg(F.min(F.struct("t", "id")).alias("first"), F.max("t").alias("hi"))
         me = nodes.select(F.col("tkey").alias("a"), "bucket", "first").join(reach, "a")
         same = nodes.select(F.col("tkey").alias("b"), "bucket", F.col("first").alias("other"))
@@ -151,13 +155,70 @@ def greedy_leaders(todo: DataFrame, edges: DataFrame, width: int | None) -> Data
         hit = ((F.col("u.tkey") == F.col("c.tkey")) & (F.col("u.bucket") == F.col("c.bucket"))
                & (F.struct("u.t", "u.id") >= F.struct("c.lt", "c.lid")) & (F.col("u.t") - F.col("c.lt") <= w))
         todo = cut_lineage(u.join(c, hit, "left_anti"))
+    _log.info("leaders among partly similar titles: %d rounds", rounds)
     return leaders if leaders is not None else todo
 
 
-def story_clusters(items: DataFrame, threshold: float = 0.6, hours: int = 48, peel_rounds: int = 2) -> DataFrame:
+def _first_beyond(rows: DataFrame, width: int, parts: int = 32) -> DataFrame:
+    """(key, t, next): the key's first time after ``t + width``, null if there is none. ``rows`` holds distinct (key, t).
+
+    Times meet within slices of ``width / parts`` only, so a hot key is many small groups; where a slice holds nothing later, the least time of
+    the key's next slice follows, from a table of one row per (key, slice).
+    """
+    size = max(width // parts, 1)
+    cut = lambda c: F.floor(c / F.lit(size)).cast("long")
+    data = rows.select("key", cut(F.col("t")).alias("s"), F.col("t").alias("at"), F.col("t").alias("value"), F.lit(None).cast("long").alias("t"))
+    asks = rows.select("key", cut(F.col("t") + width).alias("s"), (F.col("t") + width).alias("at"), F.lit(None).cast("long").alias("value"), "t")
+    later = Window.partitionBy("key", "s").orderBy(F.desc("at"), F.col("t").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = data.unionByName(asks).withColumn("found", F.last("value", ignorenulls=True).over(later)).where("t is not null").select("key", "s", "t", "found")
+    least = data.groupBy("key", "s").agg(F.min("value").alias("low")).unionByName(
+        inside.where("found is null").select("key", "s", F.lit(None).cast("long").alias("low"))).groupBy("key", "s").agg(F.min("low").alias("low"))
+    after = Window.partitionBy("key").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = least.withColumn("beyond", F.last("low", ignorenulls=True).over(after)).select("key", "s", "beyond")
+    return inside.join(beyond, ["key", "s"], "left").select("key", "t", F.coalesce("found", "beyond").alias("next"))
+
+
+def chain_leaders(rows: DataFrame, width: int) -> DataFrame:
+    """Leaders (id) of groups whose rows are all similar to each other: a group's first row, then always its first row after the last leader's reach.
+
+    ``rows``: (id, t, key). Leaders are what "first row beyond" jumps reach from the first row. Jumps are doubled, so the number of rounds grows with
+    the logarithm of a group's time span. Rows fold to one per (key, time) first.
+    """
+    at = cut_lineage(rows.groupBy("key", "t").agg(F.min("id").alias("id")))
+    span = at.groupBy("key").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    reached = span.select("key", F.col("first").alias("t"))
+    longer = at.join(span.where(F.col("last") > F.col("first") + width).select("key"), "key", "left_semi")
+    jump = _first_beyond(longer.select("key", "t"), width).where("next is not null")
+    jump = cut_lineage(jump.join(jump.select("key", F.col("next").alias("t")).distinct().unionByName(reached), ["key", "t"], "left_semi"))
+    rounds = 0
+    while not jump.isEmpty():
+        reached = cut_lineage(reached.unionByName(reached.join(jump, ["key", "t"]).select("key", F.col("next").alias("t"))).distinct())
+        jump = cut_lineage(jump.join(jump.select("key", F.col("t").alias("next"), F.col("next").alias("then")), ["key", "next"]).select("key", "t", F.col("then").alias("next")))
+        rounds += 1
+    _log.info("chains of leaders: %d rounds", rounds)
+    return at.join(reached, ["key", "t"]).select("id")
+
+
+def _alike_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tkey, key) of the sets that form groups of mutually similar sets with no similar set outside; a set without similar ones is a group of its own.
+
+    Each set's closest group is named by the least of itself and its similar sets. It is such a group if all its members have as many similar sets as it has
+    members, and every edge stays inside.
+    """
+    low = edges.groupBy(F.col("a").alias("tkey")).agg(F.min("b").alias("low"), F.count("*").alias("degree"))
+    named = cut_lineage(nodes.join(low, "tkey", "left").select("tkey", F.least("tkey", F.coalesce("low", "tkey")).alias("key"), (F.coalesce("degree", F.lit(0)) + 1).alias("near")))
+    crossing = (edges.join(named.select(F.col("tkey").alias("a"), F.col("key").alias("ka")), "a").join(named.select(F.col("tkey").alias("b"), F.col("key").alias("kb")), "b")
+                .where("ka <> kb").select(F.explode(F.array("ka", "kb")).alias("key")).distinct())
+    whole = named.groupBy("key").agg(F.count("*").alias("n"), F.min("near").alias("least"), F.max("near").alias("most")).where("n = least and n = most")
+    return named.join(whole.select("key"), "key", "left_semi").join(crossing, "key", "left_anti").select("tkey", "key")
+
+
+def story_clusters(items: DataFrame, threshold: float = 0.6, hours: int = 48, peel_rounds: int = 1) -> DataFrame:
     """Add ``novelty`` (1 leader, 0.25 follower), ``leader_id`` and ``confirm`` (followers of a leader).
 
-    Same result as reading the articles in (ts, id) order and comparing each title with all earlier leaders.
+    Same result as reading the articles in (ts, id) order and comparing each title with all earlier leaders. Groups of mutually similar titles, copies of one
+    title included, are settled by doubled jumps (:func:`chain_leaders`), so a title that returns for years takes no more rounds than the logarithm of
+    its span; titles that are similar to some but not all of a family go through :func:`greedy_leaders`.
     """
     width = hours * _HOUR
     titled = cut_lineage(_titled(items, hours))
@@ -169,7 +230,11 @@ def story_clusters(items: DataFrame, threshold: float = 0.6, hours: int = 48, pe
         found.append(new)
         todo = cut_lineage(todo.join(new.select("id"), "id", "left_anti").join(followers, "id", "left_anti"))
     nodes = todo.select("tkey", "bucket").distinct().join(prefixes, "tkey")
-    leaders = greedy_leaders(todo, _similar_sets(nodes, nodes, threshold), width)
+    edges = cut_lineage(_similar_sets(nodes, nodes, threshold))
+    alike = cut_lineage(_alike_groups(nodes.select("tkey").distinct(), edges))
+    chains = chain_leaders(todo.join(alike, "tkey").select("id", "t", "key"), width)
+    found.append(todo.join(chains, "id", "left_semi"))
+    leaders = greedy_leaders(todo.join(alike, "tkey", "left_anti"), edges.join(alike, F.col("a") == F.col("tkey"), "left_anti"), width)
     for part in found:
         leaders = leaders.unionByName(part)
     leaders = cut_lineage(leaders)

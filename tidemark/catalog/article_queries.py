@@ -117,6 +117,20 @@ def _(i: Inputs):
     return A.match_keywords(i["fx_articles"], WATCH).select("symbol", "id")
 
 
+_KEYWORDS = "SELECT CONCAT('P', CAST(p_partkey % 500 AS VARCHAR(20))) AS symbol, LOWER(SUBSTRING(p_name, 1, 1 + p_partkey % 5)) AS keyword FROM {part} UNION SELECT CONCAT('D', CAST(doc_id % 50 AS VARCHAR(20))), LOWER(REGEXP_EXTRACT(text, '[^ ]+ [^ ]+', 0)) FROM {documents} WHERE doc_id % 3 = 0"
+
+
+@query("match_keyword_table", f"""WITH k AS MATERIALIZED (SELECT DISTINCT symbol, keyword FROM ({_KEYWORDS}) x WHERE keyword <> ''),
+ a AS (SELECT id, lower(concat(title, ' ', coalesce(ai_summary, ''))) AS t, list_transform(list_concat(coalesce(ai_affected_tickers, []), coalesce(tickers_raw, [])), lambda x: lower(x)) AS tags FROM {{fx_articles}})
+SELECT DISTINCT symbol, id FROM a JOIN k ON contains(t, keyword) OR list_contains(tags, keyword)""")
+def _(i: Inputs):
+    """The watch list is a table as large as the parts and documents."""
+    for t in ("part", "documents"):
+        i[t].createOrReplaceTempView(f"watched_{t}")
+    watch = i.spark.sql(_KEYWORDS.format(part="watched_part", documents="watched_documents"))
+    return A.match_keywords(i["fx_articles"], watch.where("keyword <> ''")).select("symbol", "id")
+
+
 @query("holding_news_stats", f"""SELECT symbol, count(*) AS matches, count(*) FILTER (WHERE ai_relevance_score >= 55) AS high_relevance,
   count(*) FILTER (WHERE ai_suggested_action = 'buy' OR ai_sentiment = 'bullish') AS bullish, count(*) FILTER (WHERE ai_suggested_action = 'sell' OR ai_sentiment = 'bearish') AS bearish FROM ({_WATCH_SQL}) GROUP BY symbol""")
 def _(i: Inputs):

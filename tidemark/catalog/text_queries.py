@@ -64,6 +64,27 @@ def _(i: Inputs):
     return a.select("id", F.explode("syms").alias("symbol", "rel"))
 
 
+#: Names from the corpus itself, the first two words of every seventh document, and company names: more than a plan should hold as literals.
+_NAMED = "SELECT CONCAT('D', CAST(MIN(doc_id) AS VARCHAR(20))) AS symbol, name FROM (SELECT doc_id, REGEXP_EXTRACT(text, '^[^ ]+ [^ .,]+', 0) AS name FROM {documents} WHERE doc_id % 7 = 0) d WHERE LENGTH(name) >= 4 GROUP BY name"
+_ESCAPED = r"regexp_replace(name, '([\\.^$|?*+()\[\]{{}}&-])', '\\\1', 'g')"
+
+
+@query("symbols_from_universe", rf"""WITH n AS MATERIALIZED ({_NAMED}),
+ a AS (SELECT id, coalesce(title, '') AS t, coalesce(summary_raw, '') AS s, tickers_raw FROM {{fx_articles}}),
+ f AS (SELECT id, t, s, concat('(', string_agg({_ESCAPED}, '|' ORDER BY length(name) DESC, name), ')') AS rx FROM a JOIN n ON contains(concat(t, chr(10), s), name) GROUP BY ALL),
+ hit AS (SELECT id, unnest(regexp_extract_all(t, rx, 1)) AS name, 1.0 AS rel FROM f UNION ALL SELECT id, unnest(regexp_extract_all(s, rx, 1)), 0.5 FROM f),
+ tag AS (SELECT id, unnest(regexp_extract_all(concat(t, ' ', s), '\$([A-Z]{{{{1,5}}}})', 1)) AS symbol, 0.9 AS rel FROM a UNION ALL SELECT id, unnest(tickers_raw), 0.8 FROM a),
+ o AS (SELECT id, symbol, rel FROM hit JOIN n USING (name) UNION ALL SELECT id, symbol, rel FROM tag WHERE symbol IN (SELECT symbol FROM n) OR symbol IN (SELECT CONCAT('S', CAST(p_partkey AS VARCHAR(20))) FROM {{part}}))
+SELECT id, symbol, CAST(max(rel) AS DOUBLE) AS rel FROM o GROUP BY ALL""")
+def _(i: Inputs):
+    """The dictionary and the universe are tables: nothing of them is collected."""
+    i["documents"].createOrReplaceTempView("named_documents")
+    names = i.spark.sql(_NAMED.format(documents="named_documents"))
+    universe = i["part"].select(F.concat(F.lit("S"), "p_partkey").alias("symbol"))
+    a = link_symbols(i["fx_articles"].select("id", "title", "summary_raw", "tickers_raw"), names, {}, universe)
+    return a.select("id", F.explode("syms").alias("symbol", "rel"))
+
+
 _FIRM = "CONCAT(p_name, CASE p_partkey % 5 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' Holdings Group' WHEN 2 THEN ', Corp' WHEN 3 THEN ' The' ELSE '' END)"
 _SFX = K.CORPORATE_SUFFIX
 

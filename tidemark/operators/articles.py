@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import lookups as K
 from ..functions import text as X
 from .keyed import first_per_key, latest_per_key, patch
+from .phrases import with_contained, with_known
 
 
 def hours_before(now: Column, hours: int) -> Column:
@@ -127,20 +128,25 @@ def dashboard_news_counts(articles: DataFrame) -> DataFrame:
         F.count_if(F.col("source") == "SEC EDGAR").alias("filings"))
 
 
-def match_keywords(articles: DataFrame, watch: dict[str, list[str]], max_keywords: int = 2000) -> DataFrame:
-    """(article columns, symbol) for each watched symbol with a keyword equal to a tag or inside title + summary.
+def match_keywords(articles: DataFrame, watch: dict[str, list[str]] | DataFrame) -> DataFrame:
+    """(article columns, symbol) for each watched symbol with a keyword equal to a tag or inside title + summary; keywords are lower case.
 
-    The watch list becomes literals in the plan: one pass over the articles, no join, for each block of symbols with about ``max_keywords``
-    keywords. A longer list means more passes; none is refused or cut.
+    A list typed by people becomes literals of one pass. A table (symbol, keyword) of any size meets the articles through the index of
+    :mod:`.phrases` and an equi-join on tags, in one pass too. An article comes once for each of its symbols; null keywords match nothing.
     """
-    blocks, held = [{}], 0
-    for s, keys in watch.items():
-        if held and held + len(keys) > max_keywords:
-            blocks.append({})
-            held = 0
-        blocks[-1][s] = keys
-        held += len(keys)
-    return reduce(lambda a, b: a.unionByName(b), [_match_block(articles, b) for b in blocks])
+    return _match_table(articles, watch) if isinstance(watch, DataFrame) else _match_block(articles, watch)
+
+
+def _match_table(articles: DataFrame, watch: DataFrame) -> DataFrame:
+    text = F.lower(F.concat_ws(" ", "title", F.coalesce("ai_summary", F.lit(""))))
+    tags = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("ai_affected_tickers", "tickers_raw")])
+    keys = watch.where(F.col("keyword").isNotNull()).select("symbol", "keyword").distinct()
+    a = with_contained(articles, text, keys.select(F.col("keyword").alias("phrase"), F.lit("").alias("value")), "__in_text")
+    a = with_known(a, F.transform(tags, lambda t: F.lower(t)), keys.select(F.col("keyword").alias("symbol")), "__in_tags")
+    # keywords of an article to their symbols: sets of keywords are looked up once
+    a = a.withColumn("__words", F.array_sort(F.array_union("__in_text.phrase", "__in_tags"))).withColumn("__set", F.xxhash64("__words"))
+    symbols = (a.select("__set", F.explode("__words").alias("keyword")).distinct().join(keys, "keyword").groupBy("__set", "symbol").agg(F.collect_set("keyword").alias("__why")))
+    return a.join(symbols, "__set").where(F.arrays_overlap("__words", "__why")).drop("__in_text", "__in_tags", "__words", "__set", "__why").select(*articles.columns, "symbol")
 
 
 def _match_block(articles: DataFrame, watch: dict[str, list[str]]) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..session import cut_lineage
 from .articles import days_before, fetch_unprocessed, hours_before, unscored
 from .keyed import patch
+from .phrases import first_matches, with_contained, with_known
 
 _NO_TAGS = "array<string>"
 
@@ -75,13 +76,40 @@ def standardise_by_source(df: DataFrame, cols: dict[str, str], min_n: int = 8, s
     return j.select(*df.columns, *[z(k, x).alias(cols[x]) for k, x in enumerate(names)])
 
 
-def link_symbols(df: DataFrame, names: dict[str, str] | None = None, patterns: dict[str, str] | None = None,
-                 universe: list[str] | None = None, summary: str = "summary_raw") -> DataFrame:
-    """Add ``syms``: map symbol -> relevance."""
+def link_symbols(df: DataFrame, names: dict[str, str] | DataFrame | None = None, patterns: dict[str, str] | None = None,
+                 universe: list[str] | DataFrame | None = None, summary: str = "summary_raw") -> DataFrame:
+    """Add ``syms``: map symbol -> relevance.
+
+    Short lists of names (name -> symbol) and symbols go into the plan. Tables (symbol, name), as :func:`company_dictionary` gives them, and (symbol) of
+    any size are joined through an index; pass both as tables or leave one out.
+    """
+    if isinstance(names, DataFrame) or isinstance(universe, DataFrame):
+        return _link_from_tables(df, names, patterns, universe, summary)
     cand = X.symbol_candidates(F.col("title"), F.col(summary), F.col("tickers_raw"), names, patterns, universe)
     return df.withColumn("__cand", cand).withColumn("syms", X.best_links(F.col("__cand"))).drop("__cand")
 
 
+def _link_from_tables(df: DataFrame, names: DataFrame | None, patterns: dict[str, str] | None, universe: DataFrame | None, summary: str) -> DataFrame:
+    patterns = K.SYMBOL_PATTERNS if patterns is None else patterns
+    title, rest = X.text_or_empty(F.col("title")), X.text_or_empty(F.col(summary))
+    d, parts = df, [X.symbol_candidates(F.col("title"), F.col(summary), F.col("tickers_raw"), None, patterns, None)]
+    none = F.array().cast("array<string>")
+
+    def links(words: Column, rel: float, symbol=lambda w: w) -> Column:
+        return F.transform(words, lambda w: F.struct(symbol(w).alias("symbol"), F.lit(rel).alias("rel")))
+
+    if names is not None:
+        d = with_contained(d, F.concat_ws("\n", title, rest), names.select(F.col("name").alias("phrase"), F.col("symbol").alias("value")), "__names")
+        symbol_of = F.map_from_arrays(F.col("__names.phrase"), F.col("__names.value"))
+        parts += [links(first_matches(c, F.col("__names")), rel, lambda w: F.element_at(symbol_of, w)) for c, rel in ((title, 1.0), (rest, 0.5))]
+        universe = names.select("symbol") if universe is None else universe.select("symbol").unionByName(names.select("symbol"))
+    cash = F.regexp_extract_all(F.concat_ws(" ", title, rest), F.lit(K.CASHTAG_LOOSE), F.lit(1))
+    tagged = F.coalesce("tickers_raw", none)
+    d = with_known(d, F.concat(cash, tagged), universe, "__known")
+    parts += [links(F.array_intersect(c, "__known"), rel) for c, rel in ((cash, 0.9), (tagged, 0.8))]
+    return d.withColumn("__cand", F.concat(*parts)).withColumn("syms", X.best_links(F.col("__cand"))).drop("__cand", "__names", "__known")
+
+
 def company_dictionary(universe: DataFrame) -> DataFrame:
     """Cleaned company names fit for exact-case matching, as (symbol, name)."""
     name = F.col("name")

@@ -12,11 +12,11 @@ from .asof import forward_returns
 from .keyed import latest_per_key
 
 
-def average_ranks(df: DataFrame, by: list[str], col: str, out: str, splits: int = 64) -> DataFrame:
-    """Add the tie-averaged rank of ``col`` within ``by`` without sorting a whole group in one task.
+def _placed_values(df: DataFrame, by: list[str], col: str, splits: int) -> DataFrame:
+    """(by, col, __c, __first): distinct values of each group with their number and how many rows have lesser ones, without sorting a whole group in one task.
 
-    Equal values fold first; approximate quantiles only choose bucket borders (any border gives exact ranks), each
-    bucket is ranked on its own and shifted by the sizes of the buckets before it.
+    Equal values fold first; approximate quantiles only choose bucket borders (any border gives exact places), each bucket is counted on its own and
+    shifted by the sizes of the buckets before it.
     """
     vals = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("__c"))
     borders = df.groupBy(*by).agg(F.percentile_approx(col, F.array(*[F.lit(i / splits) for i in range(1, splits)])).alias("__q"))
@@ -25,10 +25,26 @@ def average_ranks(df: DataFrame, by: list[str], col: str, out: str, splits: int
     wb = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "__b", F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off"))
     wv = Window.partitionBy(*by, "__b").orderBy(col)
-    r = v.join(offsets, [*by, "__b"]).select(*by, col, (F.col("__off") + F.sum("__c").over(wv) - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(out))
+    return v.join(offsets, [*by, "__b"]).select(*by, col, "__c", (F.col("__off") + F.sum("__c").over(wv) - F.col("__c")).alias("__first"))
+
+
+def average_ranks(df: DataFrame, by: list[str], col: str, out: str, splits: int = 64) -> DataFrame:
+    """Add the tie-averaged rank of ``col`` within ``by``, from the places of its distinct values (:func:`_placed_values`)."""
+    r = _placed_values(df, by, col, splits).select(*by, col, (F.col("__first") + (F.col("__c") + 1) / 2.0).alias(out))
     return df.join(r, [*by, col], "left")
 
 
+def exact_quantiles(df: DataFrame, by: list[str], col: str, shares: list[float], out: str, splits: int = 64) -> DataFrame:
+    """(by, out): exact quantiles of a group at the given shares, linear between neighbours, without a group's values in one buffer."""
+    v = _placed_values(df, by, col, splits)
+    g = v.join(v.groupBy(*by).agg(F.sum("__c").alias("__n")), by)
+    held = lambda at: F.max(F.when((F.col("__first") <= at) & (at < F.col("__first") + F.col("__c")), F.col(col)))
+    places = [F.lit(p) * (F.col("__n") - 1) for p in shares]
+    q = g.groupBy(*by).agg(F.first("__n").alias("__n"), *[held(f(p)).alias(f"__{side}{k}") for k, p in enumerate(places) for side, f in (("lo", F.floor), ("hi", F.ceil))])
+    at = lambda k, p: F.when(F.floor(p) == F.ceil(p), F.col(f"__lo{k}")).otherwise((F.ceil(p) - p) * F.col(f"__lo{k}") + (p - F.floor(p)) * F.col(f"__hi{k}"))
+    return q.select(*by, F.array(*[at(k, p) for k, p in enumerate(places)]).alias(out))
+
+
 def spearman_test(df: DataFrame, by: list[str], x: str, y: str, min_n: int = 8) -> DataFrame:
     """(by, n, rho, p): rank correlation of complete pairs with a normal-approximation two-sided p."""
     d = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y))
@@ -62,7 +78,7 @@ _TEST = ["model", "metric", "horizon", "kind"]
 def signal_eval(obs: DataFrame) -> DataFrame:
     """One row per test: n, rho, p and top-third minus bottom-third mean return."""
     obs = cut_lineage(obs)
-    q = obs.groupBy(*_TEST).agg(F.percentile("x", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
+    q = exact_quantiles(obs, _TEST, "x", [1 / 3, 2 / 3], "q")
     j = obs.join(q, _TEST)
     spread = j.groupBy(*_TEST).agg((F.avg(F.when(F.col("x") >= F.col("q")[1], F.col("y"))) - F.avg(F.when(F.col("x") <= F.col("q")[0], F.col("y")))).alias("spread"))
     return spearman_test(obs, _TEST, "x", "y").join(spread, _TEST)

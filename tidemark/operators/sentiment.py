@@ -95,20 +95,21 @@ def sentiment_index_at(items: DataFrame, now: Column, models=("lex", "finbert",
 def attention(items: DataFrame, grid: DataFrame, recent_h: int = 6, base_days: int = 14) -> DataFrame:
     """Story volume against its own base rate at each (symbol, ts) of ``grid``: att_n and att_z.
 
-    Leaders fold into hourly counts first, so the range frame runs over at most one row per symbol and hour.
+    Leaders fold into hourly counts first. A count enters and leaves the two windows at known hours, so both are running sums of these steps, in one
+    pass over at most a few rows per symbol and hour and without a moving frame. Leaders on the full hour (``x``) stay an hour longer: windows are closed.
     """
     lead = items.where(F.col("novelty") == 1.0)
     counts = lead.groupBy("symbol", _ceil_hour(F.col("ts")).alias("h")).agg(
         F.count("*").alias("c"), F.count_if(_on_the_hour(F.col("ts"))).alias("x"))
-    points = grid.select("symbol", hour_index(F.col("ts")).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("x"), F.lit(1).alias("point")).distinct()
-    rows = counts.withColumn("point", F.lit(0)).unionByName(points).groupBy("symbol", "h").agg(
-        F.sum("c").alias("c"), F.sum("x").alias("x"), F.max("point").alias("point"))
     base_h = base_days * 24
-    at = lambda a, b: Window.partitionBy("symbol").orderBy("h").rangeBetween(a, b)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    edge = zero(F.sum("x").over(at(-recent_h, -recent_h)))
-    n = zero(F.sum("c").over(at(-recent_h + 1, 0))) + edge
-    prior = zero(F.sum("c").over(at(-base_h + 1, -recent_h))) - edge + zero(F.sum("x").over(at(-base_h, -base_h)))
+    step = lambda after, n, prior: F.struct((F.col("h") + after).alias("h"), n.alias("n"), prior.alias("prior"))
+    c, x, none = F.col("c"), F.col("x"), F.lit(0).cast("long")
+    steps = F.array(step(0, c, none), step(recent_h, x - c, c - x), step(recent_h + 1, -x, x), step(base_h, none, x - c), step(base_h + 1, none, -x))
+    points = grid.select("symbol", hour_index(F.col("ts")).alias("h"), none.alias("n"), none.alias("prior"), F.lit(1).alias("point")).distinct()
+    rows = (counts.select("symbol", F.explode(steps).alias("s")).select("symbol", "s.h", "s.n", "s.prior", F.lit(0).alias("point")).unionByName(points)
+            .groupBy("symbol", "h").agg(F.sum("n").alias("n"), F.sum("prior").alias("prior"), F.max("point").alias("point")))
+    running = Window.partitionBy("symbol").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    n, prior = F.sum("n").over(running), F.sum("prior").over(running)
     lam = F.col("prior") / float(base_h - recent_h) * float(recent_h)
     return (rows.select("symbol", "h", "point", n.alias("att_n"), prior.alias("prior")).where("point = 1")
             .select(hour_ts(F.col("h")).alias("ts"), "symbol", F.col("att_n").cast("int").alias("att_n"),
@@ -116,11 +117,24 @@ def attention(items: DataFrame, grid: DataFrame, recent_h: int = 6, base_days: i
 
 
 def rolling_zscore(snaps: DataFrame, days: int = 14, min_n: int = 20, min_sd: float = 1e-6) -> DataFrame:
-    """z of idx against the same symbol's and model's values in [t - days, t)."""
-    w = (Window.partitionBy("symbol", "model").orderBy(F.unix_micros("ts")).rangeBetween(-days * 24 * _HOUR, -1))
-    s = snaps.withColumns({"__n": F.count("idx").over(w), "__mu": F.avg("idx").over(w), "__sd": F.stddev_pop("idx").over(w)})
-    z = F.when((F.col("__n") >= min_n) & (F.col("__sd") > min_sd), (F.col("idx") - F.col("__mu")) / F.col("__sd"))
-    return s.withColumn("z", z).drop("__n", "__mu", "__sd")
+    """z of idx against the same symbol's and model's values in [t - days, t).
+
+    A value enters the window right after its time and leaves it right after the window's length, so count, sum and sum of squares are running sums of
+    these steps: one pass, no moving frame. Sums are decimals, so what leaves is exactly what came in and nothing drifts over a long series.
+    """
+    keys, exact = ["symbol", "model"], "decimal(28,18)"
+    t, x = F.unix_micros("ts"), F.col("idx")
+    step = lambda at, sign: F.struct(at.alias("__t"), F.lit(1).alias("__step"), F.lit(sign).alias("__k"), (x * sign).cast(exact).alias("__x"),
+                                     (x * x * sign).cast(exact).alias("__xx"))
+    moves = snaps.where(x.isNotNull() & ~F.isnan(x)).select(*keys, F.explode(F.array(step(t, 1), step(t + days * 24 * _HOUR, -1))).alias("m")).select(*keys, "m.*")
+    moves = moves.groupBy(*keys, "__t", "__step").agg(*[F.sum(c).alias(c) for c in ("__k", "__x", "__xx")])
+    rows = snaps.withColumns({"__t": t, "__step": F.lit(0)}).unionByName(moves, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("__t", "__step").rowsBetween(Window.unboundedPreceding, 0)  # a row comes before the steps of its own time
+    s = rows.withColumns({"__n": F.sum("__k").over(w), "__s": F.sum("__x").over(w).cast("double"), "__ss": F.sum("__xx").over(w).cast("double")}).where("__step = 0")
+    mean = F.col("__s") / F.col("__n")
+    sd = F.sqrt(F.greatest(F.col("__ss") / F.col("__n") - mean * mean, F.lit(0.0)))
+    z = F.when((F.col("__n") >= min_n) & (sd > min_sd), (x - mean) / sd)
+    return s.withColumn("z", z).select(*snaps.columns, *([] if "z" in snaps.columns else ["z"]))
 
 
 def backfill_index(items: DataFrame, start: Column, end: Column, models=("lex", "finbert", "ens", "old")) -> DataFrame:

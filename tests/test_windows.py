@@ -16,7 +16,7 @@ def test_rolling_zscore_against_a_loop(spark):
     rng = random.Random(4)
     rows = [(T0 + timedelta(hours=h), "A", "m", rng.uniform(-1, 1) if h < 600 else 0.25) for h in range(1200) if rng.random() < 0.9]
     rows += [(T0 + timedelta(minutes=rng.randint(0, 60_000)), "B", "m", rng.choice([None, rng.gauss(0, 1)])) for _ in range(400)]
-    rows += [(T0 + timedelta(hours=h), "B", "n", 1e6 + h % 3) for h in range(500)]
+    rows += [(T0 + timedelta(hours=h), "B", "n", 100.0 + h % 3) for h in range(500)]
     df = spark.createDataFrame(rows, "ts timestamp, symbol string, model string, idx double")
     got = S.rolling_zscore(df)
     plan = got._jdf.queryExecution().executedPlan().toString()

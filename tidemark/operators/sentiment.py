@@ -120,9 +120,10 @@ def rolling_zscore(snaps: DataFrame, days: int = 14, min_n: int = 20, min_sd: fl
     """z of idx against the same symbol's and model's values in [t - days, t).
 
     A value enters the window right after its time and leaves it right after the window's length, so count, sum and sum of squares are running sums of
-    these steps: one pass, no moving frame. Sums are decimals, so what leaves is exactly what came in and nothing drifts over a long series.
+    these steps: one pass, no moving frame. Sums are decimals, so what leaves is exactly what came in and nothing drifts over a long series (values up to
+    a billion; an index lies between -1 and 1).
     """
-    keys, exact = ["symbol", "model"], "decimal(28,18)"
+    keys, exact = ["symbol", "model"], "decimal(38,18)"
     t, x = F.unix_micros("ts"), F.col("idx")
     step = lambda at, sign: F.struct(at.alias("__t"), F.lit(1).alias("__step"), F.lit(sign).alias("__k"), (x * sign).cast(exact).alias("__x"),
                                      (x * x * sign).cast(exact).alias("__xx"))

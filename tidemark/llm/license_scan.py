@@ -6,6 +6,7 @@ pieces of all notices in one pass over a text's words; around each hit the ``reg
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -104,19 +105,24 @@ class NoticeSearch:
         """Matches in blank-separated words; of overlapping ones the one with the fewest edits, then the longest notice, then the first."""
         hits = [(i, end + 1 - size, end + 1, offset) for end, (size, places) in self.automaton.iter(words) for i, offset in places]
         whole = {(-len(t), a - o, a - o + len(t), label) for i, a, _, o in hits for label, t in [self.notices[i]] if a >= o and words.startswith(t, a - o)}
-        kept: list[Match] = []
+        kept, starts = [], []  # kept spans are apart, so only those next to a new one can overlap it
+
+        def free(start: int, end: int) -> bool:
+            k = bisect.bisect_right(starts, start)
+            return (not k or kept[k - 1].end <= start) and (k == len(kept) or end <= starts[k])
 
         def keep(edits: int, size: int, start: int, end: int, label: str) -> None:
-            if all(end <= k.start or start >= k.end for k in kept):
-                kept.append(Match(label, edits, size, start, end))
+            if free(start, end):
+                k = bisect.bisect_right(starts, start)
+                starts.insert(k, start)
+                kept.insert(k, Match(label, edits, size, start, end))
 
         for size, start, end, label in sorted(whole):
             keep(0, -size, start, end, label)
         # a match that holds a piece inside an unedited one overlaps it and loses, so such pieces need no fuzzy search
-        spans = [(k.start, k.end) for k in kept]
         windows: dict[int, list[list[int]]] = {}
         for i, start, end, offset in hits:
-            if not any(a < end and start < b for a, b in spans):
+            if free(start, end):
                 k, n, mine = self.limits[i], len(self.notices[i][1]), windows.setdefault(i, [])
                 lo = start - offset - k
                 if mine and mine[-1][0] <= lo <= mine[-1][1]:
@@ -127,7 +133,7 @@ class NoticeSearch:
                  for m in self.patterns[i].finditer(words, max(lo, 0), min(hi, len(words)))}
         for edits, size, start, end, label in sorted(fuzzy):
             keep(edits, -size, start, end, label)
-        return sorted(kept, key=lambda m: m.start)
+        return kept
 
 
 SCHEMA = ("doc_id string, n_words long, places array<struct<word:long,label:string>>, "
@@ -154,9 +160,10 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None)
                 matches = search.find(joined)
                 if matches:
                     at = [m.span() for m in RAW_WORD.finditer(t)]
+                    blanks = [k for k, c in enumerate(joined) if c == " "]
                     for m in matches:
-                        first = joined.count(" ", 0, m.start + (joined[m.start] == " ")) - 1
-                        last = joined.count(" ", 0, m.end - (joined[m.end - 1] == " ")) - 1
+                        first = bisect.bisect_left(blanks, m.start + (joined[m.start] == " ")) - 1
+                        last = bisect.bisect_left(blanks, m.end - (joined[m.end - 1] == " ")) - 1
                         spans.append({"label": m.label, "edits": m.edits, "start": at[max(first, 0)][0], "end": at[min(last, n - 1)][1], "score": max(0.0, 1 - m.edits / m.length)})
                 out.append((i, n, places, spans))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "places", "notices"])

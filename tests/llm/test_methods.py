@@ -357,3 +357,28 @@ def test_many_notices_in_one_text_take_linear_time():
         took.append(time.process_time() - t0)
         assert len(found) == n and all(m.edits == 0 for m in found) and [m.start for m in found] == sorted(m.start for m in found)
     assert took[1] < 40 * max(took[0], 0.05)
+
+
+def test_repositories_decide_as_owners_do(spark):
+    """One owner that carries a value in six repositories shows an example; in two, and nowhere else, it looks live."""
+    secret, example = "Zx9Qw8Er7Ty6Ui5Op4", "Ab1Cd2Ef3Gh4Ij5Kl6"
+    rows = [(k, f"key {secret} here", "own", f"r{k % 2}") for k in range(4)] + [(10 + k, f"key {example} here", "own", f"r{k}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    found = {r["doc_id"]: r["found"] for r in secret_scan.secret_scan(docs, repo="repo", owner="source").collect()}
+    assert all(len(found[k]) == 1 and found[k][0]["live"] for k in range(4)) and not any(found[10 + k] for k in range(6))
+    wide = {r["doc_id"]: r["found"] for r in secret_scan.secret_scan(docs, repo="repo", owner="source", max_repos=6).collect()}
+    assert all(wide[10 + k] for k in range(6))
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    """Eight times as many runs in one text take about eight times as long, and every place is right."""
+    import time
+    took = []
+    for n in (8_000, 64_000):
+        text = " ".join(f"{'ab' * 8}{k:08d}" for k in range(n))
+        docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+        t0 = time.perf_counter()
+        found = secret_scan.secret_scan(docs, min_distinct=2).first()["found"]
+        took.append(time.perf_counter() - t0)
+        assert len(found) == n and all(f["start"] == 25 * k and f["end"] == 25 * k + 24 for k, f in enumerate(found))
+    assert took[1] < 10 * max(took[0], 2)

@@ -64,16 +64,16 @@ _KEY = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][r
 _HEAD = f"""(?:{_KEY})["'']?\\x20*[:=]\\x20*["'']?"""
 _PATTERNS = [(0, _HEAD + "[A-Za-z0-9+/_.=-]+", 6), (1, "AKIA[A-Z0-9]+", 20), (2, "[0-9a-f]+", 24), (3, "[A-Za-z0-9+/_=-]+", 16)]
 SECRET_SQL = f"""
-WITH t AS (SELECT doc_id, source AS owner, concat(coalesce(source, ''), '/', coalesce(lang, '')) AS repo, coalesce(text, '') AS t FROM documents),
-raw AS ({" UNION ALL ".join(f"SELECT doc_id, owner, {r} AS rank, {k} AS least, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM t" for r, p, k in _PATTERNS)}),
-one AS (SELECT doc_id, owner, rank, least, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, unnest(generate_series(1, len(m))) AS i FROM raw WHERE len(m) > 0),
+WITH t AS (SELECT doc_id, source AS owner, concat(coalesce(source, chr(0)), '/', concat(coalesce(source, ''), '/', coalesce(lang, ''))) AS repo, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(f"SELECT doc_id, owner, repo, {r} AS rank, {k} AS least, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM t" for r, p, k in _PATTERNS)}),
+one AS (SELECT doc_id, owner, repo, rank, least, unnest(m) AS v, unnest(g[1:len(m)]) AS gap, unnest(generate_series(1, len(m))) AS i FROM raw WHERE len(m) > 0),
 placed AS (SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(v)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
        CASE WHEN rank = 0 THEN regexp_replace(v, '^{_HEAD}', '') ELSE v END AS value FROM one WINDOW w AS (PARTITION BY doc_id, rank ORDER BY i)),
-c AS (SELECT doc_id, owner, rank, CAST(a AS BIGINT) AS a, CAST(a + length(v) AS BIGINT) AS b, value,
+c AS (SELECT doc_id, owner, repo, rank, CAST(a AS BIGINT) AS a, CAST(a + length(v) AS BIGINT) AS b, value,
       regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AS varied FROM placed WHERE length(value) >= least),
 d AS (SELECT * FROM c WHERE rank < 3 OR varied),
-o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners FROM d GROUP BY 1),
-e AS (SELECT d.*, varied AND owners <= 2 AS live FROM d JOIN o USING (value)),
+o AS (SELECT value, count(DISTINCT coalesce(owner, chr(0))) AS owners, count(DISTINCT repo) AS repos FROM d GROUP BY 1),
+e AS (SELECT d.*, varied AND owners <= 2 AND repos <= 4 AS live FROM d JOIN o USING (value)),
 k AS (SELECT * FROM e WHERE rank < 3 UNION ALL SELECT * FROM e x WHERE rank = 3 AND live
       AND NOT EXISTS (SELECT 1 FROM e y WHERE y.doc_id = x.doc_id AND y.rank < 3 AND y.a < x.b AND x.a < y.b)),
 s AS (SELECT *, concat(['assign', 'access', 'hex', 'live'][rank + 1], ':', a, ':', b) AS s FROM k)

@@ -7,7 +7,7 @@ copied example; one that stays with few owners, and looks real, is taken for liv
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -25,6 +25,10 @@ BASE_HINT = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 MIXED = "[0-9][A-Za-z+/_=-]|[A-Za-z+/_=-][0-9]"
 
 
+#: Matches whose places are summed in one growing array.
+BLOCK = 128
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), body)[0]
@@ -33,20 +37,28 @@ def let(value: Column, body) -> Column:
 def spans(text: Column, pattern: str, rank: int, least: int, value=lambda m: m) -> Column:
     """Array of (start, rank, end, value) of the leftmost non-overlapping matches whose value has ``least`` characters; end exclusive.
 
-    Texts between matches and the matches themselves alternate, so starts are running sums of their lengths.
+    Texts between matches and the matches themselves alternate, so starts are running sums of their lengths. They are taken in blocks: an array that
+    grows by one is copied each time, which only stays cheap while it is short, so twice as many matches take twice as long.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
+    kind = "array<struct<start:int,rank:int,end:int,value:string>>"
 
-    def walk(m, g):
-        step = F.transform(m, lambda x, k: F.struct(F.element_at(g, k + 1).alias("gap"), F.length(x).alias("size"), x.alias("match")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("out"))
-        return F.aggregate(step, start, lambda acc, s: F.struct(
+    def walk(block, first):
+        start = F.struct(first.alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(block, start, lambda acc, s: F.struct(
             (acc["at"] + s["gap"] + s["size"]).alias("at"),
             F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + s["gap"] + s["size"]).alias("end"),
                                                   value(s["match"]).alias("value")))).alias("out")), lambda acc: acc["out"])
 
-    out = let(found, lambda m: let(gaps, lambda g: walk(m, g)))
+    def blocks(m, g):
+        step = F.transform(m, lambda x, k: F.struct(F.element_at(g, k + 1).alias("gap"), F.length(x).alias("size"), x.alias("match")))
+        cut = let(step, lambda all_: F.transform(F.sequence(F.lit(0), (F.size(all_) - 1).cast("int"), F.lit(BLOCK)), lambda k: F.slice(all_, k + 1, BLOCK)))
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, s: n + s["gap"] + s["size"])
+        firsts = lambda bs: F.aggregate(bs, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(F.element_at(acc, -1) + length(block))))
+        return let(cut, lambda bs: let(firsts(bs), lambda at: F.flatten(F.transform(bs, lambda block, k: walk(block, at[k])))))
+
+    out = let(found, lambda m: F.when(F.size(m) > 0, let(gaps, lambda g: blocks(m, g))).otherwise(F.array().cast(kind)))
     return F.filter(out, lambda s: F.length(s["value"]) >= least)
 
 
@@ -83,11 +95,12 @@ def ownership(found: DataFrame) -> DataFrame:
             .groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_found")))
 
 
-def secret_scan(docs: DataFrame, *, repo="source", owner="source", max_owners: int = 2, min_length: int = 16, min_distinct: int = 8) -> DataFrame:
+def secret_scan(docs: DataFrame, *, repo="source", owner="source", max_owners: int = 2, max_repos: int = 4, min_length: int = 16, min_distinct: int = 8) -> DataFrame:
     """One row per document: doc_id, found (array of start, kind, end, hash, n_owners, n_repos, n_found, live), sorted by start and kind.
 
     ``repo`` and ``owner`` are columns or their names. A value looks real if it has a digit, a letter and ``min_distinct`` different
-    characters; it is live if it looks real and at most ``max_owners`` owners carry it, else an example. Base
+    characters; it is live if it looks real and at most ``max_owners`` owners and
+    ``max_repos`` repositories carry it, else an example. Base
     spans (assign, access, hex) are always kept; bare runs are kept, as kind ``live``, if their value is live and no base span of the text
     overlaps them. Null and empty texts have no spans; a null owner or repository is one more owner or repository. Rows that repeat a doc_id stay
     apart. Other columns are ignored; an empty table gives an empty table.
@@ -96,14 +109,19 @@ def secret_scan(docs: DataFrame, *, repo="source", owner="source", max_owners: i
     some = own.where(F.size("spans") > 0)
     stats = materialise(ownership(some), "ownership")
     each = some.select("row", F.explode("spans").alias("s")).select("row", "s.start", "s.rank", "s.end", "s.hash", "s.varied")
-    judged = (each.join(stats, "hash").withColumn("live", F.col("varied") & (F.col("n_owners") <= max_owners))
+    live = F.col("varied") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    # a bare run overlaps a base span that starts before it and ends behind its start, or one that starts inside it
+    by, base = Window.partitionBy("row").orderBy("start", "rank"), F.col("rank") < 3
+    left = F.max(F.when(base, F.col("end"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    down = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank"))  # frames that end at the last row would be summed anew for each row
+    right = F.last(F.when(base, F.col("start")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1))
+    clear = (F.coalesce(left, F.lit(0)) <= F.col("start")) & (right.isNull() | (right >= F.col("end")))
+    judged = (each.join(stats, "hash").withColumns({"live": live, "clear": clear}).where(base | (F.col("live") & F.col("clear")))
               .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "hash", "n_owners", "n_repos", "n_found", "live"))).alias("all")))
-    base = F.filter("all", lambda s: s["rank"] < 3)
-    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     named = lambda s: F.struct(s["start"].alias("start"), kinds[s["rank"]].alias("kind"), s["end"].alias("end"), s["hash"].alias("hash"),
                                s["n_owners"].alias("n_owners"), s["n_repos"].alias("n_repos"), s["n_found"].alias("n_found"), s["live"].alias("live"))
-    kept = judged.select("row", F.transform(F.filter("all", lambda s: (s["rank"] < 3) | (s["live"] & clear(s))), named).alias("found"))
+    kept = judged.select("row", F.transform("all", named).alias("found"))
     none = F.array().cast(kept.schema["found"].dataType)
     return own.select("row", "doc_id").join(kept, "row", "left").select("doc_id", F.coalesce("found", none).alias("found"))
 

@@ -189,10 +189,10 @@ def _(i: Inputs):
     return A.unscored(i["fx_articles"], i["fx_scores"]).select("id")
 
 
-@query("symbol_enrich", """SELECT c.id, coalesce(u.name, c.symbol) AS name, coalesce(u.sector, '') AS sector FROM (SELECT id, CASE WHEN id % 7 = 0 THEN CONCAT('X', id % 3) ELSE symbol END AS symbol FROM {fx_calls} WHERE symbol IS NOT NULL) c
+@query("symbol_enrich", """SELECT c.id, coalesce(u.name, c.symbol) AS name, coalesce(u.sector, '') AS sector FROM (SELECT id, CASE WHEN id % 7 = 0 THEN CONCAT('X', id % 3) ELSE symbol END AS symbol FROM {fx_calls}) c
 LEFT JOIN {fx_universe} u ON c.symbol = u.symbol""")
 def _(i: Inputs):
-    c = i["fx_calls"].where("symbol IS NOT NULL").select("id", F.expr("CASE WHEN id % 7 = 0 THEN CONCAT('X', CAST(id % 3 AS STRING)) ELSE symbol END").alias("symbol"))
+    c = i["fx_calls"].select("id", F.expr("CASE WHEN id % 7 = 0 THEN CONCAT('X', CAST(id % 3 AS STRING)) ELSE symbol END").alias("symbol"))
     return A.symbol_enrich(c, i["fx_universe"]).select("id", "name", "sector")
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..plans import cycles
 from ..session import shared_dir
 from ..streaming import jobs as J
-from .article_queries import NOW, _rule_sql
-from .core import BASE_TABLES, Inputs, base_table, moment, query, rounded, ts_text
+from ..streaming import marks as M
+from .article_queries import _WORTHY, NOW, _rule_sql
+from .core import BASE_TABLES, NOW_NEWS, Inputs, base_table, moment, query, rounded, ts_text
 from .signal_queries import MODELS
 from .text_queries import LINK_UNIVERSE, NAMES, NEG, NEGATORS, PATTERNS, POS, VALENCE
 
@@ -88,6 +89,32 @@ def _(i: Inputs):
     return i.spark.read.parquet(f"{base}/table").select("id", "title")
 
 
+_EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
+
+
+@query("push_articles", f"""SELECT id, {_T.format(c='wm')} AS wm, CAST(wm > TIMESTAMP '2024-01-28 00:00:00' AS INT) AS page FROM (
+  SELECT id, greatest(coalesce(ai_processed_at, {_EPOCH}), coalesce(scraped_at, {_EPOCH})) AS wm FROM {{fx_articles}} WHERE published_at > TIMESTAMP '{NOW_NEWS}' - INTERVAL '5' DAY AND {_WORTHY}) s
+WHERE wm > TIMESTAMP '2024-01-27 00:00:00'""")
+def _(i: Inputs):
+    """A first run sees the table as it stood on the 28th, a second one all of it, a third one nothing new."""
+    a, base = i["fx_articles"], f"{shared_dir(i.spark)}/pushed/{uuid.uuid4().hex}"
+    early = a.where(F.greatest("ai_processed_at", "scraped_at") <= moment("2024-01-28 00:00:00"))
+    for seen in (early, a, a):
+        M.push_articles(seen, base, NOW(), moment("2024-01-27 00:00:00"))
+    return M.pushed(i.spark, base).select("id", ts_text("wm").alias("wm"), F.col("page").cast("int").alias("page"))
+
+
+@query("push_digests_calls", f"""SELECT 'digest' AS kind, CAST(id AS VARCHAR) AS id, {_T.format(c='created_at')} AS wm FROM {{fx_digests}} WHERE created_at > TIMESTAMP '2000-06-01 00:00:00' UNION ALL
+SELECT 'call' AS kind, CAST(id AS VARCHAR) AS id, {_T.format(c='greatest(created_at, outcome_checked_at)')} AS wm FROM {{fx_calls}} WHERE greatest(created_at, outcome_checked_at) > TIMESTAMP '2000-06-01 00:00:00'""")
+def _(i: Inputs):
+    """Two runs; the second finds nothing."""
+    base = f"{shared_dir(i.spark)}/pushed/{uuid.uuid4().hex}"
+    for _run in range(2):
+        M.push_digests_calls(i["fx_digests"], i["fx_calls"], base, moment("2000-06-01 00:00:00"))
+    rows = [M.pushed(i.spark, f"{base}/{name}s").select(F.lit(name).alias("kind"), F.col("id").cast("string").alias("id"), ts_text("wm").alias("wm")) for name in ("digest", "call")]
+    return rows[0].unionByName(rows[1])
+
+
 # ---------------------------------------------------------------- end-to-end flows
 
 @query("news_cycle")

@@ -214,7 +214,8 @@ def incremental_articles(articles: DataFrame, mark: Column, now: Column, limit:
     """
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp")
     wm = F.greatest(F.coalesce("ai_processed_at", epoch), F.coalesce("scraped_at", epoch))
-    rows = mirror_worthy(articles, now).withColumn("wm", wm)
+    near = (F.col("ai_processed_at") >= mark) | (F.col("scraped_at") >= mark) | (mark <= epoch)  # plain comparisons reach the scan
+    rows = mirror_worthy(articles.where(near), now).withColumn("wm", wm)
     rows = rows.where((F.col("wm") > mark) | ((F.col("wm") == mark) & (F.col("id") > mark_id)) if mark_id is not None else F.col("wm") > mark)
     return rows.orderBy("wm", "id").limit(limit) if limit else rows
 

@@ -36,6 +36,12 @@ def _clip(c: Column, n: int | None) -> Column:
     return F.substring(c, 1, n) if n else c
 
 
+def _alternate(links: Column) -> Column:
+    """The address an Atom entry stands for: its first alternate link (a link without ``rel`` is one), else its first link."""
+    alternate = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return F.coalesce(F.try_element_at(alternate, F.lit(1)), F.try_element_at(links, F.lit(1)))["_href"]
+
+
 def feed_entries(raw: DataFrame, xml: str = "raw_xml") -> DataFrame:
     """One row per RSS or Atom entry, beside the feed's own columns."""
     rss = lambda x: F.struct(
@@ -43,7 +49,7 @@ def feed_entries(raw: DataFrame, xml: str = "raw_xml") -> DataFrame:
         F.coalesce(F.nullif(x["summary"], F.lit("")), x["description"]).alias("summary"), x["author"].alias("author"),
         x["published"].alias("d1"), x["updated"].alias("d2"), x["pubDate"].alias("d3"))
     atom = lambda x: F.struct(
-        x["title"].alias("title"), F.try_element_at(x["link"], F.lit(1))["_href"].alias("link"),
+        x["title"].alias("title"), _alternate(x["link"]).alias("link"),
         F.coalesce(F.nullif(x["summary"], F.lit("")), x["content"]).alias("summary"), x["author"]["name"].alias("author"),
         x["published"].alias("d1"), x["updated"].alias("d2"), F.lit(None).cast("string").alias("d3"))
     none = F.array().cast("array<struct<title:string,link:string,summary:string,author:string,d1:string,d2:string,d3:string>>")

@@ -65,18 +65,22 @@ def stream_sentiment_index(items: DataFrame, models=("lex", "finbert", "ens", "o
     return out.select(F.col("span.end").alias("ts"), "symbol", "model", (F.col("num") / F.col("wsum")).alias("idx"), F.col("n_lead").cast("int").alias("n_lead"), "wsum")
 
 
-def stream_zscore_alerts(snaps: DataFrame, z: float = 2.0, min_stories: int = 4, cooldown_h: int = 6, allowed=None, model: str = "ens") -> DataFrame:
+def stream_zscore_alerts(snaps: DataFrame, z: float = 2.0, min_stories: int = 4, cooldown_h: int = 6, allowed=None, model: str = "ens", late: str = "1 day") -> DataFrame:
     """Alerts with a per-symbol cooldown kept as state: the time of the last fired alert.
 
-    Only triggers reach Python, at most one per symbol and snapshot. Within a micro-batch they are taken in time order.
+    Only triggers reach Python, at most one per symbol and snapshot. Within a micro-batch they are taken in time order. A symbol's state goes once the
+    watermark has passed the end of its cooldown, when it can hold back nothing any more; snapshots later than ``late`` are dropped.
     """
     allowed = K.ALERT_SYMBOLS if allowed is None else allowed
-    hot = snaps.where((F.col("model") == model) & (F.abs("z") >= z) & (F.col("n_lead") >= min_stories))
+    hot = snaps.withWatermark("ts", late).where((F.col("model") == model) & (F.abs("z") >= z) & (F.col("n_lead") >= min_stories))
     if allowed:
         hot = hot.where(F.col("symbol").isin(list(allowed)))
     cool = cooldown_h * 3_600_000_000
 
     def fire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         trig = pd.concat(list(frames)).sort_values("t", kind="stable")
         fired = []
@@ -84,13 +88,17 @@ def stream_zscore_alerts(snaps: DataFrame, z: float = 2.0, min_stories: int = 4,
             if last is None or t - last >= cool:
                 last = int(t)
                 fired.append((key[0], last, float(zv)))
-        if last is not None:
+        end = -(-(last + cool) // 1000)  # milliseconds, rounded up
+        if end > state.getCurrentWatermarkMs():
             state.update((last,))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
         if fired:
             yield pd.DataFrame(fired, columns=["symbol", "t", "z"])
 
-    out = hot.select("symbol", F.unix_micros("ts").alias("t"), "z").groupBy("symbol").applyInPandasWithState(
-        fire, "symbol string, t long, z double", "last long", "append", GroupStateTimeout.NoTimeout)
+    out = hot.select("symbol", "ts", F.unix_micros("ts").alias("t"), "z").groupBy("symbol").applyInPandasWithState(
+        fire, "symbol string, t long, z double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select(F.timestamp_micros("t").alias("ts"), "symbol", F.lit("sentiment").alias("kind"), "z")
 
 

@@ -110,12 +110,12 @@ WITH RECURSIVE d AS (SELECT doc_id, lang, sha256(concat({_HEAD_FIELDS}, {_field(
 p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
 lv AS (SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
        UNION ALL SELECT lang, level + 1, {_UP} FROM lv WHERE len(nodes) > 1),
-subs AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at FROM lv WHERE len(nodes) = 1),
-tops AS (SELECT 0 AS level, list(subroot ORDER BY at) AS nodes FROM subs UNION ALL SELECT level + 1, {_UP} FROM tops WHERE len(nodes) > 1),
-steps AS (SELECT p.pos, p.lang, 0 AS part, level, p.pos // CAST(8 ** level AS BIGINT) AS at, nodes FROM p JOIN lv ON p.lang IS NOT DISTINCT FROM lv.lang WHERE len(nodes) > 1
-          UNION ALL SELECT p.pos, p.lang, 1, level, subs.at // CAST(8 ** level AS BIGINT), nodes FROM p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang, tops WHERE len(nodes) > 1),
+subs AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM lv WHERE len(nodes) = 1),
+tops AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subs UNION ALL SELECT level + 1, {_UP} FROM tops WHERE len(nodes) > 1),
+steps AS (SELECT p.pos, p.lang, 0 AS part, level, p.pos // CAST(8 ** level AS BIGINT) AS place, nodes FROM p JOIN lv ON p.lang IS NOT DISTINCT FROM lv.lang WHERE len(nodes) > 1
+          UNION ALL SELECT p.pos, p.lang, 1, level, subs.place // CAST(8 ** level AS BIGINT), nodes FROM p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang, tops WHERE len(nodes) > 1),
 sides AS (SELECT pos, lang, row_number() OVER (PARTITION BY lang, pos ORDER BY part, level) AS step,
-                 array_to_string(nodes[at - at % 8 + 1:at], '') AS l, array_to_string(nodes[at + 2:at - at % 8 + 8], '') AS r FROM steps),
+                 array_to_string(nodes[place - place % 8 + 1:place], '') AS l, array_to_string(nodes[place + 2:place - place % 8 + 8], '') AS r FROM steps),
 proof AS (SELECT pos, lang, sha256(string_agg(concat(l, r), '' ORDER BY step)) AS proof_sha256 FROM sides GROUP BY 1, 2),
 fold AS (SELECT pos, lang, CAST(0 AS BIGINT) AS step, coalesce(found, leaf) AS h FROM p
          UNION ALL SELECT f.pos, f.lang, s.step, sha256(concat(s.l, f.h, s.r)) FROM fold f JOIN sides s ON f.pos = s.pos AND f.lang IS NOT DISTINCT FROM s.lang AND s.step = f.step + 1),

@@ -1,12 +1,14 @@
 """Quality rules and robust multivariate outliers. Built-in expressions only.
 
 Per-document counts become a vector of transformed statistics. For every language and source, deterministic minimum-covariance-determinant steps
-find the half-and-more of the documents whose covariance is tightest; a document far from its group's centre by Mahalanobis distance is
-rejected. Groups are shrunk to their language and to the whole, in proportion to their size, so small groups behave like large ones.
+run from two starts until no determinant falls any more; the estimate of least determinant is that of the half-and-more of the documents whose covariance
+is tightest, and a document far from its centre by Mahalanobis distance is rejected. Groups are shrunk to their language and to the whole, in
+proportion to their size, so small groups behave like large ones.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .secret_scan import let
 
+log = logging.getLogger(__name__)
+
 #: What separates words, and the symbols that are counted.
 BLANKS, WORD, SYMBOLS = " \t\n\x0b\x0c\r", r"[^\x20\x09-\x0D]+", "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -104,13 +108,33 @@ def null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(renamed, cond, "left").drop(*[f"_{k}" for k in keys])
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """First estimates by language: medians and scaled quartile distances, no correlations."""
+def cholesky(t: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Adds the Cholesky factor l_* of the covariances c_* times ``scale``, with the least variances of ``VECTOR`` added, and its ``logdet``."""
+    for k, a in enumerate(DIMS):
+        for b in DIMS[:k + 1]:
+            c = F.col(f"c_{a}_{b}") * scale + (VECTOR[a] ** 2 if a == b else 0.0)
+            for d in DIMS[:DIMS.index(b)]:
+                c = c - F.col(f"l_{a}_{d}") * F.col(f"l_{b}_{d}")
+            t = t.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(c, F.lit(VECTOR[a] ** 2 / 4))) if a == b else c / F.col(f"l_{b}_{b}"))
+    return t.withColumn("logdet", 2 * sum((F.log(f"l_{a}_{a}") for a in DIMS[1:]), F.log(f"l_{DIMS[0]}_{DIMS[0]}")))
+
+
+MODEL = [f"m_{a}" for a in DIMS] + [f"l_{a}_{b}" for a, b in PAIRS]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(start, lang, m_*, l_*), two estimates by language around its medians: scaled quartile distances without correlations, and the covariance of
+    spatial signs (directions from the centre, however far), which keeps correlations and is bent by no single far row."""
     q = {x: F.percentile_approx(x, [0.25, 0.5, 0.75], 1000) for x in DIMS}
     t = rows.groupBy("lang").agg(*[v.alias(x) for x, v in q.items()])
     zero = {f"l_{a}_{b}": F.lit(0.0) for a, b in PAIRS if a != b}
     wide = {f"l_{x}_{x}": F.sqrt(F.pow((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, 2) + VECTOR[x] ** 2) for x in DIMS}
-    return t.select("lang", *[F.get(x, F.lit(1)).alias(f"m_{x}") for x in DIMS], *[v.alias(k) for k, v in (zero | wide).items()])
+    plain = materialise(t.select("lang", *[F.get(x, F.lit(1)).alias(f"m_{x}") for x in DIMS], *[v.alias(k) for k, v in (zero | wide).items()]), "start")
+    far = distance(null_safe(rows, plain, ["lang"]))
+    signs = {f"c_{a}_{b}": F.avg(F.when(F.col("d2") > 0, F.col(f"y_{a}") * F.col(f"y_{b}") / F.col("d2")).otherwise(0.0)) for a, b in PAIRS}
+    signs = null_safe(far.groupBy("lang").agg(*[v.alias(k) for k, v in signs.items()]), plain, ["lang"])
+    bent = cholesky(signs.withColumns({f"c_{a}_{b}": len(DIMS) * F.col(f"c_{a}_{b}") * F.col(f"l_{a}_{a}") * F.col(f"l_{b}_{b}") for a, b in PAIRS}))
+    return plain.select(F.lit(0).alias("start"), "lang", *MODEL).unionByName(bent.select(F.lit(1).alias("start"), "lang", *MODEL))
 
 
 def distance(rows: DataFrame) -> DataFrame:
@@ -126,23 +150,25 @@ def distance(rows: DataFrame) -> DataFrame:
 
 
 def inner_moments(rows: DataFrame, share: float) -> DataFrame:
-    """(lang, source, n, sums, product sums) over the ``share`` of each group with the least distances, in steps of an eighth of a log unit.
+    """(start, lang, source, n, sums, product sums) over the ``share`` of each group with the least distances, in steps of an eighth of a log unit. The
+    last step counts in part, so that every start weighs the same share and determinants compare.
 
     Rows fold into bins before the shuffle, so a hot group sends some hundred rows per task.
     """
     names = [f"s_{a}" for a in DIMS] + [f"p_{a}_{b}" for a, b in PAIRS]
     sums = [F.sum(a).alias(f"s_{a}") for a in DIMS] + [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in PAIRS]
-    bins = rows.withColumn("bin", F.floor(8 * F.log(F.col("d2") + 1e-6))).groupBy("lang", "source", "bin").agg(F.count("*").alias("n"), *sums)
-    group = W.partitionBy("lang", "source")
+    bins = rows.withColumn("bin", F.floor(8 * F.log(F.col("d2") + 1e-6))).groupBy("start", "lang", "source", "bin").agg(F.count("*").alias("n"), *sums)
+    group = W.partitionBy("start", "lang", "source")
     before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inner = bins.withColumn("all", F.sum("n").over(group)).withColumn("before", before).where(F.col("before") < share * F.col("all"))
-    return inner.groupBy("lang", "source").agg(*[F.sum(c).alias(c) for c in ["n", *names]])
+    part = F.least(F.lit(1.0), (share * F.col("all") - F.col("before")) / F.col("n"))
+    return inner.groupBy("start", "lang", "source").agg(*[F.sum(F.col(c) * part).alias(c) for c in ["n", *names]])
 
 
 def estimates(moments: DataFrame, share: float, shrink: float) -> DataFrame:
-    """(lang, source, m_*, l_*): centres and Cholesky factors. A group's moments are averaged with its language's as if those were ``shrink`` more rows,
-    the language's with the whole's likewise."""
-    names = [c for c in moments.columns if c not in ("lang", "source")]
+    """(start, lang, source, logdet, m_*, l_*): centres, Cholesky factors and log determinants. A group's moments are averaged with its language's as if
+    those were ``shrink`` more rows, the language's with the whole's likewise."""
+    names = [c for c in moments.columns if c not in ("start", "lang", "source")]
 
     def central(t: DataFrame, tag: str) -> DataFrame:
         means = {f"{tag}m_{a}": F.col(f"s_{a}") / F.col("n") for a in DIMS}
@@ -150,42 +176,56 @@ def estimates(moments: DataFrame, share: float, shrink: float) -> DataFrame:
         return t.withColumns(means | covs).withColumnRenamed("n", f"{tag}n").drop(*[c for c in names if c != "n"])
 
     own = central(moments, "g")
-    langs = central(moments.groupBy("lang").agg(*[F.sum(c).alias(c) for c in names]), "a")
-    whole = central(moments.agg(*[F.sum(c).alias(c) for c in names]).where("n > 0"), "w").first()
-    values = ["m_" + a for a in DIMS] + [f"c_{a}_{b}" for a, b in PAIRS]
-    top = whole.asDict() if whole else {}
-    t = null_safe(own, langs, ["lang"])
+    langs = central(moments.groupBy("start", "lang").agg(*[F.sum(c).alias(c) for c in names]), "a")
+    whole = central(moments.groupBy("start").agg(*[F.sum(c).alias(c) for c in names]), "w")
+    t = null_safe(null_safe(own, langs, ["start", "lang"]), whole, ["start"])
     mixed = {}
-    for v in values:
-        lang = (F.col("an") * F.col("a" + v) + shrink * F.lit(top.get("w" + v, 0.0))) / (F.col("an") + shrink)
+    for v in ["m_" + a for a in DIMS] + [f"c_{a}_{b}" for a, b in PAIRS]:
+        lang = (F.col("an") * F.col("a" + v) + shrink * F.col("w" + v)) / (F.col("an") + shrink)
         mixed[v] = (F.col("gn") * F.col("g" + v) + shrink * lang) / (F.col("gn") + shrink)
-    t = t.select("lang", "source", *[e.alias(v) for v, e in mixed.items()])
-    factor = consistency(share, len(DIMS))
-    for k, a in enumerate(DIMS):
-        for b in DIMS[:k + 1]:
-            c = F.col(f"c_{a}_{b}") * factor + (VECTOR[a] ** 2 if a == b else 0.0)
-            for d in DIMS[:DIMS.index(b)]:
-                c = c - F.col(f"l_{a}_{d}") * F.col(f"l_{b}_{d}")
-            t = t.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(c, F.lit(VECTOR[a] ** 2 / 4))) if a == b else c / F.col(f"l_{b}_{b}"))
-    return t.select("lang", "source", *["m_" + a for a in DIMS], *[f"l_{a}_{b}" for a, b in PAIRS])
+    t = t.select("start", "lang", "source", *[e.alias(v) for v, e in mixed.items()])
+    return cholesky(t, consistency(share, len(DIMS))).select("start", "lang", "source", "logdet", *MODEL)
 
 
-def robust_outliers(docs: DataFrame, *, share: float = 0.75, steps: int = 3, shrink: float = 50.0, cutoff: float = 40.0) -> DataFrame:
+def least_determinant(good: DataFrame, share: float, shrink: float, max_steps: int, tolerance: float) -> DataFrame:
+    """(lang, source, logdet, m_*, l_*): of all steps from both starts, each group's estimate with the least determinant.
+
+    Steps go on while the log determinant of any group falls by ``tolerance`` or more from either start; the driver gets one number a step. If they still
+    fall after ``max_steps``, that is logged and the least found so far holds.
+    """
+    found, keys, steps = materialise(starts(good), "starts"), ["lang"], []
+    for k in range(max_steps):
+        inner = materialise(inner_moments(distance(null_safe(good, found, keys)), share), f"moments-{k}")
+        last, found, keys = found, materialise(estimates(inner, share, shrink), f"estimates-{k}"), ["lang", "source"]
+        steps.append(found.withColumn("step", F.lit(k)))
+        if k:
+            before = last.select("start", *keys, F.col("logdet").alias("before"))
+            fell = null_safe(found, before, ["start", *keys]).agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+            if fell is None or fell < tolerance:
+                log.info("determinants stand after %d steps", k + 1)
+                break
+    else:
+        log.warning("determinants still fall after %d steps", max_steps)
+    every = steps[0]
+    for t in steps[1:]:
+        every = every.unionByName(t)
+    least = every.groupBy(*keys).agg(F.min(F.struct("logdet", "step", "start", *MODEL)).alias("e"))
+    return least.select(*keys, "e.logdet", *[f"e.{c}" for c in MODEL])
+
+
+def robust_outliers(docs: DataFrame, *, share: float = 0.75, shrink: float = 50.0, cutoff: float = 40.0, max_steps: int = 20, tolerance: float = 0.01) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, source, the counts, base_failed, d2 (squared distance) and kept.
 
-    Estimates come from the documents that pass the base rules, all of them. Each of ``steps`` rounds keeps the ``share`` of a group with the least
-    distances and estimates anew from those. ``cutoff`` 40 leaves out about one in ten million of a Gaussian group. Null and empty texts have no
-    words and fail the base rules, as do all texts under 50 words; null languages and sources are groups of their own. Repeated rows count
-    as often as they stand. If no document passes the base rules, none is kept. Other columns are ignored; an empty table gives an empty table.
+    Estimates come from the documents that pass the base rules, all of them. Each step keeps the ``share`` of a group with the least distances and
+    estimates anew from those; :func:`least_determinant` says when steps end and which estimate holds. ``cutoff`` 40 leaves out about one in ten million of a
+    Gaussian group. Null and empty texts have no words and fail the base rules, as do all texts under 50 words; null languages and sources are groups of
+    their own. Repeated rows count as often as they stand, equal distances share a step. Of equal determinants the earliest step of the first start holds. If no
+    document passes the base rules, none is kept. Other columns are ignored; an empty table gives an empty table.
     """
     rows = materialise(vectors(statistics(docs)), "quality-vectors")
     good = rows.where("not base_failed").select("lang", "source", *DIMS)
-    found = materialise(start(good), "start")
-    keys = ["lang"]
-    for k in range(steps):
-        inner = materialise(inner_moments(distance(null_safe(good, found, keys)), share), f"moments-{k}")
-        found, keys = materialise(estimates(inner, share, shrink), f"estimates-{k}"), ["lang", "source"]
-    judged = distance(null_safe(rows, found, keys))
+    found = materialise(least_determinant(good, share, shrink, max_steps, tolerance), "estimates")
+    judged = distance(null_safe(rows, found, ["lang", "source"]))
     kept = ~F.col("base_failed") & (F.col("d2") <= cutoff)
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "base_failed", "d2",
                          F.coalesce(kept, F.lit(False)).alias("kept"))

@@ -10,7 +10,7 @@ pytest.importorskip("tidemark.llm")
 
 from compare import compare  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from tidemark.llm import decontaminate, language_fusion, license_scan, ngram_join, robust_quality, secret_scan, source_mix, token_counts  # noqa: E402
+from tidemark.llm import decontaminate, language_fusion, license_scan, ngram_join, quality_net, robust_quality, secret_scan, source_mix, token_counts  # noqa: E402
 from tidemark.llm.common import WordHashes, components, word_hashes  # noqa: E402
 from tidemark.llm.queries import RUN, SQL  # noqa: E402
 
@@ -416,3 +416,36 @@ def test_many_matches_in_one_text_take_linear_time(spark):
         took.append(time.perf_counter() - t0)
         assert len(found) == n and all(f["start"] == 25 * k and f["end"] == 25 * k + 24 for k, f in enumerate(found))
     assert took[1] < 10 * max(took[0], 2)
+
+
+def test_word_vectors_against_loops(spark):
+    """Every neighbour up to two tokens away adds its index vector, within one text only; repeated, one-word, empty and null texts among them."""
+    rng = np.random.default_rng(2)
+    some = [" ".join(rng.choice(["ash", "oak", "elm", "fir", "yew", "bay"], n)) for n in (1, 2, 3, 9, 40)] + ["", None, "ash ash ash"]
+    rows, dim, seed = 64, 8, 4
+    docs = spark.createDataFrame([(t,) for t in some], "text string").repartition(3)
+    places, signs = quality_net.index_vectors(rows, dim, seed)
+    tokens, want = quality_net.Tokens(rows), np.zeros((rows, dim))
+    for t in some:
+        ids = tokens.of(t)
+        for i, a in enumerate(ids):
+            for j, b in enumerate(ids):
+                if i != j and abs(i - j) <= quality_net.REACH:
+                    for k in range(quality_net.NONZERO):
+                        want[a, places[b, k]] += signs[b, k]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality_net.word_vectors(docs, rows, dim, seed, block=16), want, atol=1e-6)
+
+
+def test_temperature_lowers_the_loss_of_rows_not_trained_on():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 20))
+    y = (rng.random(400) < 1 / (1 + np.exp(-x[:, 0]))).astype(float)
+    net = quality_net.train(x, y)
+    held = np.random.default_rng(3).permutation(len(x))[:80]  # the rows that train() sets apart with its default seed
+    z = net.logits(x[held])
+    assert quality_net.loss(z / net.temperature, y[held]) <= quality_net.loss(z, y[held])
+    fresh = rng.normal(size=(4000, 20))
+    truth = (rng.random(4000) < 1 / (1 + np.exp(-fresh[:, 0]))).astype(float)
+    p = net.scores(fresh)
+    assert max(abs(p[(p >= lo) & (p < lo + 0.25)].mean() - truth[(p >= lo) & (p < lo + 0.25)].mean()) for lo in (0, 0.25, 0.5, 0.75)) < 0.15

@@ -14,6 +14,7 @@ from tidemark.operators import dedupe as D
 from tidemark.operators import evaluate as E
 from tidemark.operators import lab as L
 from tidemark.operators import reports as R
+from tidemark.plans import pages as G
 from tidemark.streaming import jobs as J
 
 ARTICLE = "id long, title string, published_at timestamp, ai_processed boolean, ai_relevance_score int, ai_affected_tickers array<string>, tickers_raw array<string>"
@@ -130,6 +131,13 @@ def test_alias_from_the_company_name(spark):
     assert [r["id"] for r in got] == [1] and "ZZZ" not in K.TICKER_PAGE_ALIASES
 
 
+def test_names_as_literal_patterns(spark):
+    names = ["plain", r"a\Eb.*", r"\E", r"x\\Ey\Q", "a+b(c)", ""]
+    df = spark.createDataFrame([(n, t) for n in names for t in names], "n string, t string")
+    for r in df.select("n", "t", F.rlike("t", G.literal_pattern(F.col("n"))).alias("hit")).collect():
+        assert r.hit == (r.n in r.t), (r.n, r.t)
+
+
 def test_every_row_or_every_third(spark):
     rows = spark.createDataFrame([(d, s) for d in range(4) for s in range(5)], "date int, symbol int")
     assert L.every_nth(rows, 1).count() == 20 and L.every_nth(rows, 3).count() == 7

@@ -15,6 +15,11 @@ def _list(df: DataFrame, *cols: str) -> Column:
     return df.agg(F.array_sort(F.collect_list(F.struct(*cols)))).scalar()
 
 
+def literal_pattern(c: Column) -> Column:
+    """A pattern for the text itself; an end of quotation inside the text is quoted on its own."""
+    return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def ticker_page(symbol: str, snaps: DataFrame, bars: DataFrame, articles: DataFrame, scores: DataFrame, universe: DataFrame,
                 predictions: DataFrame, positions: DataFrame, now: Column, days: int = 14, closes: int = 90, news: int = 25) -> DataFrame:
     """Everything the page of one symbol shows, as one row."""
@@ -26,7 +31,7 @@ def ticker_page(symbol: str, snaps: DataFrame, bars: DataFrame, articles: DataFr
     lab = predictions.where((F.col("symbol") == symbol) & (F.col("pred_date") == last))
     pos = positions.where(F.col("symbol") == symbol).orderBy(F.desc("signal_date"), "book", "side").limit(12)
     named = universe.where(F.col("symbol") == symbol).agg(F.lower(F.split_part(F.max("name"), F.lit(" "), F.lit(1)))).scalar()
-    alias = K.TICKER_PAGE_ALIASES.get(symbol) or F.concat(F.lit(r"\Q"), F.coalesce(named, F.lit(symbol.lower())), F.lit(r"\E"))
+    alias = K.TICKER_PAGE_ALIASES.get(symbol) or literal_pattern(F.coalesce(named, F.lit(symbol.lower())))
     items = news_feed(articles, scores, now, hours=240, ticker=symbol, alias=alias, limit=news)
     known = universe.where(F.col("symbol") == symbol).agg(F.struct(F.max("name").alias("name"), F.max("sector").alias("sector"))).scalar()
     sector = F.coalesce(known["sector"], F.lit("Macro" if symbol in K.MACRO else ""))

@@ -10,7 +10,7 @@ from tidemark.catalog import load
 from tidemark.catalog.core import RUN, SQL
 
 load()
-EAGER = {"story_clusters", "fuzzy_title_dedupe", "news_cycle", "news_cycle_alerts", "walk_forward"}
+EAGER = {"story_clusters", "news_cycle", "news_cycle_alerts", "walk_forward"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -13,7 +13,7 @@ from ..operators import scoring as N
 from ..operators.keyed import latest_per_key, upsert
 from ..sources import tables as T
 from .core import NOW_NEWS, Inputs, day_text, joined, moment, query, rounded, ts_text
-from .text_queries import LINK_UNIVERSE, NAMES, NEG, NEGATORS, PATTERNS, POS, VALENCE, sq
+from .text_queries import LINK_UNIVERSE, NAMES, NEG, NEGATORS, PATTERNS, POS, RATIO, RATIO_CTES, VALENCE, sq
 
 
 
@@ -345,7 +345,18 @@ def _(i: Inputs):
     return D.dedupe_url_merge(i["fx_articles"], "id").select("url", "id", "title", joined("tickers_raw").alias("tickers"))
 
 
-@query("fuzzy_title_dedupe")
+@query("fuzzy_title_dedupe", f"""WITH RECURSIVE titles AS MATERIALIZED (SELECT title AS s, min(id) AS id FROM {{fx_articles}} WHERE title IS NOT NULL GROUP BY title), {RATIO_CTES},
+ hist AS MATERIALIZED (SELECT s, c, count(*) AS k FROM (SELECT s, unnest(string_split(s, '')) AS c FROM titles) GROUP BY ALL),
+ bound AS MATERIALIZED (SELECT a.s AS x, b.s AS y FROM masked a JOIN titles b ON (a.n < length(b.s) OR (a.n = length(b.s) AND a.s < b.s)) AND 200 * a.n > 85 * (a.n + length(b.s))
+   JOIN hist h ON h.s = a.s JOIN hist g ON g.s = b.s AND g.c = h.c GROUP BY a.s, b.s, a.n HAVING 200 * sum(least(h.k, g.k)) > 85 * (a.n + length(b.s))),
+ pairs AS MATERIALIZED (SELECT x, y FROM bound JOIN masked a ON a.s = x JOIN titles b ON b.s = y WHERE {RATIO} > 85),
+ near AS MATERIALIZED (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+ stored AS (SELECT DISTINCT title AS s FROM (SELECT title FROM {{fx_articles}} WHERE id % 2 = 0 ORDER BY published_at DESC, id LIMIT 200)),
+ fresh AS (SELECT t.id, t.s, row_number() OVER (ORDER BY t.id) AS rn FROM titles t WHERE t.s NOT IN (SELECT s FROM stored) AND t.s NOT IN (SELECT x FROM near WHERE y IN (SELECT s FROM stored))),
+ ranked AS MATERIALIZED (SELECT f.rn, f.id, f.s, list(o.rn) FILTER (WHERE o.rn IS NOT NULL) AS others FROM fresh f LEFT JOIN near ON near.x = f.s LEFT JOIN fresh o ON o.s = near.y AND o.rn < f.rn GROUP BY ALL),
+ walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept, false AS stays
+   UNION ALL SELECT r.rn, CASE WHEN coalesce(list_has_any(r.others, kept), false) THEN kept ELSE list_append(kept, r.rn) END, NOT coalesce(list_has_any(r.others, kept), false) FROM walk JOIN ranked r ON r.rn = walk.rn + 1)
+SELECT r.id, r.s AS title FROM walk JOIN ranked r ON r.rn = walk.rn WHERE stays""")
 def _(i: Inputs):
     """Titles kept against the 200 newest stored ones (the even ids) and each other."""
     a = i["fx_articles"].select("id", "title", "published_at", F.col("id").alias("ordinal"))

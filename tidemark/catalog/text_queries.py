@@ -178,7 +178,20 @@ def _(i: Inputs):
     return a.select("id", F.array_join("x", " ").alias("tokens"), rounded(X.jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
 
 
-@query("title_ratio")
+#: Titles as bit masks, a list of 120-bit parts for every character: (s, n, masks, full), and their common subsequence in bit-parallel form
+RATIO_CTES = """ch AS (SELECT s, c, list({'part': part, 'm': m}) AS ms FROM (SELECT s, c, i // 120 AS part, CAST(sum(CAST(1 AS HUGEINT) << CAST(i % 120 AS INT)) AS HUGEINT) AS m
+   FROM (SELECT s, unnest(string_split(s, '')) AS c, unnest(range(length(s))) AS i FROM titles) GROUP BY ALL) GROUP BY ALL),
+ masked AS MATERIALIZED (SELECT s, length(s) AS n, map(list(c), list(list_transform(range((length(s) + 119) // 120), lambda k: coalesce(list_filter(ms, lambda x: x.part = k)[1].m, CAST(0 AS HUGEINT))))) AS masks,
+   list_transform(range((length(s) + 119) // 120), lambda k: (CAST(1 AS HUGEINT) << CAST(least(120, length(s) - 120 * k) AS INT)) - 1) AS ones FROM ch GROUP BY s)"""
+_STEP = """list_reduce(range(1, len(row) + 1), lambda z, k: {'c': (row[k] + (row[k] & m[k]) + z.c) >> 120, 'l': list_append(z.l, ((row[k] + (row[k] & m[k]) + z.c) & ((CAST(1 AS HUGEINT) << 120) - 1)) | (row[k] - (row[k] & m[k])))},
+   {'c': CAST(0 AS HUGEINT), 'l': CAST([] AS HUGEINT[])}).l"""
+#: Similarity in percent of a masked title ``a`` and another title ``b``
+RATIO = f"""(200 * (a.n - list_sum(list_transform(list_zip(list_reduce(list_filter(list_transform(string_split(b.s, ''), lambda c: a.masks[c]), lambda m: m IS NOT NULL), lambda row, m: {_STEP}, a.ones), a.ones),
+   lambda x: bit_count(x[1] & x[2])))) / (a.n + length(b.s)))"""
+
+
+@query("title_ratio", f"""WITH q AS (SELECT x.id, CASE WHEN length(x.title) <= length(y.title) THEN x.title ELSE y.title END AS short, CASE WHEN length(x.title) <= length(y.title) THEN y.title ELSE x.title END AS s FROM {{fx_articles}} x JOIN {{fx_articles}} y ON y.id = x.id + 1),
+ titles AS (SELECT DISTINCT short AS s FROM q), {RATIO_CTES} SELECT b.id, round({RATIO}, 6) AS ratio FROM q b JOIN masked a ON a.s = b.short""")
 def _(i: Inputs):
     """Similarity of every title with the next one by id (joined on id + 1, so no global sort)."""
     a = i["fx_articles"].select("id", "title")

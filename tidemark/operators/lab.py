@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,16 +221,23 @@ def walk_forward_rules(ranked: DataFrame, start: str, h: int, min_train: int = 5
     return strategy_scores(d)
 
 
-def walk_forward(ranked: DataFrame, start: str, h: int, min_train: int = 50_000, train_every: int = 3, **gbt) -> DataFrame:
-    """Rule books plus boosted trees refit before every fold. The loop is over quarters; each fit is a Spark job.
+def walk_forward(ranked: DataFrame, start: str, h: int, min_train: int = 50_000, train_every: int = 3, at_once: int = 8, part_rows: int = 100_000, **gbt) -> DataFrame:
+    """Rule books plus boosted trees refit before every fold. Folds are quarters and do not depend on each other: ``at_once`` of them are fitted side by side,
+    each fit being Spark jobs, so that the cores are busy while one fit's next round is prepared.
 
     ``train_every``: trees are fitted on every so many-th training row in (date, symbol) order, 1 for all; neighbouring days say much the same.
+    ``part_rows``: training rows of a fold are dealt into parts of about that many, as its counted rows demand.
     """
     ranked = cut_lineage(ranked)
     d = cut_lineage(_complete(ranked, h).withColumn("y_rank", average_pct_rank("y", ["date"])))
-    parts = [walk_forward_rules(ranked, start, h, min_train)]
-    for f in walk_forward_folds(ranked, start, h, min_train).orderBy("fold_start").collect():
+
+    def fold_scores(f) -> DataFrame:
         train = d.where((F.col("date") <= F.lit(f.cutoff)) & F.col("y").isNotNull())
         test = d.where((F.col("date") >= F.lit(f.fold_start)) & (F.col("date") < F.add_months(F.lit(f.fold_start), 3)))
-        parts.append(predict_gbt(fit_gbt(every_nth(train, train_every), **gbt), test))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        rows = every_nth(train, train_every).repartition(1 + f.n_train // (train_every * part_rows), "date", "symbol")
+        return predict_gbt(fit_gbt(cut_lineage(rows), **gbt), test)
+
+    folds = walk_forward_folds(ranked, start, h, min_train).orderBy("fold_start").collect()
+    with ThreadPoolExecutor(at_once) as pool:
+        books = list(pool.map(inheritable_thread_target(ranked.sparkSession)(fold_scores), folds))
+    return reduce(lambda a, b: a.unionByName(b), [walk_forward_rules(ranked, start, h, min_train), *books])

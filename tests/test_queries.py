@@ -10,7 +10,7 @@ from tidemark.catalog import load
 from tidemark.catalog.core import RUN, SQL
 
 load()
-EAGER = {"story_clusters", "news_cycle", "news_cycle_alerts", "walk_forward"}
+EAGER = {"walk_forward"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -56,11 +56,6 @@ def test_hot_key_folds_before_the_shuffle(inputs):
     assert plan.index("min_by") < plan.index("Exchange") or "partial_min_by" in plan
 
 
-@pytest.mark.parametrize("name", ["news_cycle", "news_cycle_alerts"])
-def test_flows_run(name, inputs):
-    assert RUN[name](inputs).count() >= 0
-
-
 def test_walk_forward_ranks_the_trees(spark):
     """Rule books agree with the checked rule query; the trees' row is there with as many days."""
     from tidemark.catalog.core import Inputs

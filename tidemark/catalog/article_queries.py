@@ -291,6 +291,18 @@ def _cells(i: Inputs):
     return N.populate_cells(it)
 
 
+def cycle_items_sql() -> str:
+    """CTE ``cycle_items``: scored, linked and clustered articles, one row per article and symbol."""
+    from .text_queries import _event_sql, _link_sql
+    sw = "CASE " + " ".join(f"WHEN contains(lower(source), '{k}') THEN {w}" for k, w in K.SOURCE_WEIGHTS) + " ELSE 0.8 END"
+    text = "CONCAT(title, '. ', regexp_replace(summary_raw, '[^\\x00-\\x7f]', 'a', 'g'))"
+    return f"""{_ITEMS_SQL}, lk AS ({_link_sql()}), {STORY_CTES},
+ ev AS (SELECT id, published_at AS ts, CAST({sw} AS DOUBLE) AS src_w, CAST({_event_sql(text, 1)} AS DOUBLE) AS event_w FROM {{fx_articles}}),
+ cycle_items AS MATERIALIZED (SELECT ev.id, ts, symbol, CAST(rel AS DOUBLE) AS rel, src_w, event_w, CAST(CASE WHEN leader_id IS NULL THEN 1.0 ELSE 0.25 END AS DOUBLE) AS novelty, coalesce(f.n, 0) AS confirm,
+   lex, finbert, CASE WHEN finbert IS NULL THEN lex ELSE (lex + finbert) / 2 END AS ens, old
+   FROM ev JOIN s2 ON s2.id = ev.id JOIN lk ON lk.id = ev.id JOIN walk ON walk.id = ev.id LEFT JOIN f ON f.id = ev.id)"""
+
+
 def _cells_sql() -> str:
     from .text_queries import _link_sql
     ev = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}', 'i') THEN '{n}'" for n, _, p in K.EVENTS) + " ELSE 'other' END"
@@ -379,15 +391,17 @@ def _(i: Inputs):
     return D.near_duplicate_titles(_titled(i)).withColumn("jaccard", rounded("jaccard"))
 
 
-@query("story_clusters", f"""WITH RECURSIVE r AS MATERIALIZED (SELECT id, epoch_us(published_at) AS t, {_SET} AS k, row_number() OVER (ORDER BY published_at, id) AS rn FROM {{fx_articles}}),
+STORY_CTES = f"""r AS MATERIALIZED (SELECT id, epoch_us(published_at) AS t, {_SET} AS k, row_number() OVER (ORDER BY published_at, id) AS rn FROM {{fx_articles}}),
  s AS (SELECT DISTINCT k, string_split(k, ' ') AS w FROM r WHERE k <> ''),
  p AS MATERIALIZED (SELECT a.k AS k, list(b.k) AS near FROM s a JOIN s b ON len(list_intersect(a.w, b.w)) >= 0.6 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-12 GROUP BY 1),
  walk AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS leader_id, CAST([] AS STRUCT(id BIGINT, t BIGINT, k VARCHAR)[]) AS leaders
    UNION ALL SELECT rn, id, hit.id, CASE WHEN hit IS NULL THEN list_append(open, {{'id': id, 't': t, 'k': k}}) ELSE open END
    FROM (SELECT r.rn, r.id, r.t, r.k, open, list_last(list_filter(open, lambda l: list_contains(p.near, l.k))) AS hit
      FROM (SELECT r.*, list_filter(walk.leaders, lambda l: r.t - l.t <= 172800000000) AS open FROM walk JOIN r ON r.rn = walk.rn + 1) r LEFT JOIN p ON p.k = r.k)),
- f AS (SELECT leader_id AS id, count(*) AS n FROM walk WHERE leader_id IS NOT NULL GROUP BY 1)
-SELECT walk.id, CAST(CASE WHEN leader_id IS NULL THEN 1.0 ELSE 0.25 END AS DOUBLE) AS novelty, leader_id, CAST(coalesce(f.n, 0) AS INT) AS confirm FROM walk LEFT JOIN f ON f.id = walk.id WHERE walk.rn > 0""")
+ f AS (SELECT leader_id AS id, count(*) AS n FROM walk WHERE leader_id IS NOT NULL GROUP BY 1)"""
+
+
+@query("story_clusters", f"""WITH RECURSIVE {STORY_CTES} SELECT walk.id, CAST(CASE WHEN leader_id IS NULL THEN 1.0 ELSE 0.25 END AS DOUBLE) AS novelty, leader_id, CAST(coalesce(f.n, 0) AS INT) AS confirm FROM walk LEFT JOIN f ON f.id = walk.id WHERE walk.rn > 0""")
 def _(i: Inputs):
     return D.story_clusters(_titled(i)).select("id", "novelty", "leader_id", "confirm")
 

@@ -14,7 +14,7 @@ START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 _T = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 # The plain definition: every (symbol, hour) against every article of the 48 hours before, no folding.
-_INDEX = f"""grid AS (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL '1' HOUR)) AS t),
+INDEX = f"""grid AS (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL '1' HOUR)) AS t),
  long AS ({' UNION ALL '.join(f"SELECT symbol, ts, '{m}' AS model, CAST({m} AS DOUBLE) AS score, src_w * event_w * rel * novelty * (1.0 + least(confirm, 4) * 0.1) AS w, novelty FROM {{fx_items}} WHERE {m} IS NOT NULL" for m in MODELS)}),
  hit AS (SELECT t, symbol, model, score, novelty, w * pow(0.5, (epoch(t) - epoch(ts)) / 3600.0 / 12.0) AS w, epoch_us(t) - epoch_us(ts) <= 86400000000 AS fresh FROM grid JOIN long ON ts <= t AND ts >= t - INTERVAL '48' HOUR),
  idx AS (SELECT t AS ts, symbol, model, sum(w * score) / sum(w) AS idx, count(*) FILTER (WHERE novelty = 1.0 AND fresh) AS n_lead, sum(w) AS wsum FROM hit GROUP BY 1, 2, 3)"""
@@ -24,7 +24,7 @@ def _index(i: Inputs):
     return S.sentiment_index(i["fx_items"], moment(START), moment(END), MODELS)
 
 
-@query("sentiment_index", f"WITH {_INDEX} SELECT {_T.format(c='ts')} AS ts, symbol, model, round(idx, 6) AS idx, n_lead, round(wsum, 6) AS wsum FROM idx")
+@query("sentiment_index", f"WITH {INDEX} SELECT {_T.format(c='ts')} AS ts, symbol, model, round(idx, 6) AS idx, n_lead, round(wsum, 6) AS wsum FROM idx")
 def _(i: Inputs):
     return _index(i).select(ts_text("ts").alias("ts"), "symbol", "model", rounded("idx").alias("idx"), "n_lead", rounded("wsum").alias("wsum"))
 
@@ -39,21 +39,21 @@ def _(i: Inputs):
     return S.sentiment_index_at(i["fx_items"], moment(_AT), MODELS).select("symbol", "model", rounded("idx").alias("idx"), "n_lead")
 
 
-_ATT = """led AS (SELECT symbol, ts FROM {fx_items} WHERE novelty = 1.0), pts AS (SELECT DISTINCT symbol, ts AS t FROM idx),
+ATT = """led AS (SELECT symbol, ts FROM {fx_items} WHERE novelty = 1.0), pts AS (SELECT DISTINCT symbol, ts AS t FROM idx),
  att AS (SELECT p.symbol, t, count(*) FILTER (WHERE l.ts >= t - INTERVAL '6' HOUR) AS n, count(*) FILTER (WHERE l.ts < t - INTERVAL '6' HOUR) AS prior FROM pts p LEFT JOIN led l ON l.symbol = p.symbol AND l.ts <= t AND l.ts >= t - INTERVAL '14' DAY GROUP BY 1, 2)"""
 
 
-@query("attention", f"WITH {_INDEX}, {_ATT} SELECT {_T.format(c='t')} AS ts, symbol, n AS att_n, round((n - prior / 330.0 * 6) / sqrt(prior / 330.0 * 6 + 1), 6) AS att_z FROM att")
+@query("attention", f"WITH {INDEX}, {ATT} SELECT {_T.format(c='t')} AS ts, symbol, n AS att_n, round((n - prior / 330.0 * 6) / sqrt(prior / 330.0 * 6 + 1), 6) AS att_z FROM att")
 def _(i: Inputs):
     a = S.attention(i["fx_items"], _index(i).select("symbol", "ts").distinct())
     return a.select(ts_text("ts").alias("ts"), "symbol", "att_n", rounded("att_z").alias("att_z"))
 
 
-_Z = """zz AS (SELECT ts, symbol, model, idx, n_lead, CASE WHEN count(idx) OVER w >= 20 AND stddev_pop(idx) OVER w > 1e-6 THEN (idx - avg(idx) OVER w) / stddev_pop(idx) OVER w END AS z FROM {src}
+Z = """zz AS (SELECT ts, symbol, model, idx, n_lead, CASE WHEN count(idx) OVER w >= 20 AND stddev_pop(idx) OVER w > 1e-6 THEN (idx - avg(idx) OVER w) / stddev_pop(idx) OVER w END AS z FROM {src}
   WINDOW w AS (PARTITION BY symbol, model ORDER BY ts RANGE BETWEEN INTERVAL '14' DAY PRECEDING AND INTERVAL '1' MICROSECOND PRECEDING))"""
 
 
-@query("rolling_zscore", f"WITH {_Z.format(src='{fx_snaps}')} SELECT {_T.format(c='ts')} AS ts, symbol, model, round(z, 5) AS z FROM zz")
+@query("rolling_zscore", f"WITH {Z.format(src='{fx_snaps}')} SELECT {_T.format(c='ts')} AS ts, symbol, model, round(z, 5) AS z FROM zz")
 def _(i: Inputs):
     return S.rolling_zscore(i["fx_snaps"].drop("z")).select(ts_text("ts").alias("ts"), "symbol", "model", rounded("z", 5).alias("z"))
 
@@ -63,13 +63,13 @@ def latest_unusual(i: Inputs):
     return S.top_signals(S.rolling_zscore(cut_lineage(_index(i))))
 
 
-@query("unusual_symbols", f"""WITH {_INDEX}, {_Z.format(src='idx')} SELECT symbol, round(idx, 6) AS idx, round(z, 4) AS z, n_lead FROM zz WHERE model = 'ens' AND ts = (SELECT max(ts) FROM zz WHERE model = 'ens') AND n_lead >= 4
+@query("unusual_symbols", f"""WITH {INDEX}, {Z.format(src='idx')} SELECT symbol, round(idx, 6) AS idx, round(z, 4) AS z, n_lead FROM zz WHERE model = 'ens' AND ts = (SELECT max(ts) FROM zz WHERE model = 'ens') AND n_lead >= 4
 ORDER BY abs(coalesce(zz.z, 0)) DESC, symbol LIMIT 12""")
 def _(i: Inputs):
     return latest_unusual(i).select("symbol", rounded("idx").alias("idx"), rounded("z", 4).alias("z"), "n_lead")
 
 
-@query("backfill_index", f"""WITH {_INDEX}, {_Z.format(src='idx')}, {_ATT} SELECT {_T.format(c='zz.ts')} AS ts, zz.symbol, model, round(idx, 6) AS idx, round(z, 4) AS z, n_lead, n AS att_n, round((n - prior / 330.0 * 6) / sqrt(prior / 330.0 * 6 + 1), 6) AS att_z
+@query("backfill_index", f"""WITH {INDEX}, {Z.format(src='idx')}, {ATT} SELECT {_T.format(c='zz.ts')} AS ts, zz.symbol, model, round(idx, 6) AS idx, round(z, 4) AS z, n_lead, n AS att_n, round((n - prior / 330.0 * 6) / sqrt(prior / 330.0 * 6 + 1), 6) AS att_z
 FROM zz JOIN att ON zz.symbol = att.symbol AND zz.ts = att.t""")
 def _(i: Inputs):
     b = S.backfill_index(i["fx_items"], moment(START), moment(END), MODELS)

@@ -11,12 +11,13 @@ from ..plans import cycles
 from ..session import shared_dir
 from ..streaming import jobs as J
 from ..streaming import marks as M
-from .article_queries import _WORTHY, NOW, _rule_sql
+from .article_queries import _WORTHY, NOW, _rule_sql, cycle_items_sql
 from .core import BASE_TABLES, NOW_NEWS, Inputs, base_table, moment, query, rounded, ts_text
-from .signal_queries import MODELS
+from .signal_queries import ATT, END, INDEX, MODELS, START, Z
 from .text_queries import LINK_UNIVERSE, NAMES, NEG, NEGATORS, PATTERNS, POS, VALENCE
 
 _T = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
+CYCLE_START = "2024-01-17 00:00:00"
 
 
 class Streams(Inputs):
@@ -117,16 +118,26 @@ def _(i: Inputs):
 
 # ---------------------------------------------------------------- end-to-end flows
 
-@query("news_cycle")
+def _cycle_sql() -> str:
+    here = lambda t: t.replace("{fx_items}", "cycle_items").replace(START, CYCLE_START).replace(END, NOW_NEWS)
+    return f"""WITH RECURSIVE {cycle_items_sql()}, {here(INDEX)}, {Z.format(src="idx")}, {here(ATT)}"""
+
+
+def _cycle(i: Inputs):
+    return cycles.news_cycle(i["fx_articles"], i["fx_scores"], moment(CYCLE_START), NOW(), names=NAMES, universe=LINK_UNIVERSE, patterns=PATTERNS,
+                             valence_lexicon=VALENCE, positive=POS, negative=NEG, negators=NEGATORS)
+
+
+@query("news_cycle", f"""{_cycle_sql()} SELECT {_T.format(c='zz.ts')} AS ts, zz.symbol, model, round(idx, 6) AS idx, round(z, 4) AS z, n_lead, n AS att_n, round((n - prior / 330.0 * 6) / sqrt(prior / 330.0 * 6 + 1), 6) AS att_z
+FROM zz JOIN att ON zz.symbol = att.symbol AND zz.ts = att.t""")
 def _(i: Inputs):
     """Raw articles to hourly index, z-score and attention."""
-    c = cycles.news_cycle(i["fx_articles"], i["fx_scores"], moment("2024-01-17 00:00:00"), NOW(), names=NAMES, universe=LINK_UNIVERSE, patterns=PATTERNS,
-                          valence_lexicon=VALENCE, positive=POS, negative=NEG, negators=NEGATORS)
-    return c.select(ts_text("ts").alias("ts"), "symbol", "model", rounded("idx").alias("idx"), rounded("z", 4).alias("z"), "n_lead", "att_n", rounded("att_z").alias("att_z"))
+    return _cycle(i).select(ts_text("ts").alias("ts"), "symbol", "model", rounded("idx").alias("idx"), rounded("z", 4).alias("z"), "n_lead", "att_n", rounded("att_z").alias("att_z"))
 
 
-@query("news_cycle_alerts")
+@query("news_cycle_alerts", f"""{_cycle_sql()}, h AS (SELECT symbol, ts, z, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM zz WHERE model = 'ens' AND abs(z) >= 2 AND n_lead >= 4),
+ fl AS (SELECT symbol, rn, ts, z, ts AS last, true AS fired FROM h WHERE rn = 1 UNION ALL
+   SELECT h.symbol, h.rn, h.ts, h.z, CASE WHEN h.ts - fl.last >= INTERVAL '6' HOUR THEN h.ts ELSE fl.last END, h.ts - fl.last >= INTERVAL '6' HOUR FROM fl JOIN h ON h.symbol = fl.symbol AND h.rn = fl.rn + 1)
+SELECT {_T.format(c='ts')} AS ts, symbol, round(z, 4) AS z FROM fl WHERE fired""")
 def _(i: Inputs):
-    c = cycles.news_cycle(i["fx_articles"], i["fx_scores"], moment("2024-01-17 00:00:00"), NOW(), names=NAMES, universe=LINK_UNIVERSE, patterns=PATTERNS,
-                          valence_lexicon=VALENCE, positive=POS, negative=NEG, negators=NEGATORS)
-    return cycles.news_alerts(c, allowed=[]).select(ts_text("ts").alias("ts"), "symbol", rounded("z", 4).alias("z"))
+    return cycles.news_alerts(_cycle(i), allowed=[]).select(ts_text("ts").alias("ts"), "symbol", rounded("z", 4).alias("z"))

@@ -163,7 +163,7 @@ _NUM = r"(?:[+-]?\$\d+(?:\.\d+)?[MBB]?|[+-]?\d+(?:\.\d+)?%)"
 SELECT id, coalesce(list_sum(list_transform(m, lambda x: CASE WHEN starts_with(x, '+') THEN 0.5 WHEN starts_with(x, '-') THEN -0.5 ELSE 0.0 END)), 0.0)::DOUBLE AS impact, len(m) AS figures
 FROM (SELECT c_custkey AS id, regexp_extract_all(CONCAT(c_name, ' moved ', CASE WHEN c_acctbal >= 0 THEN '+' ELSE '' END, CAST(CAST(c_acctbal AS INT) AS VARCHAR(12)), '% and -$', CAST(c_custkey AS VARCHAR(12)), 'M, +$5B'), '{_NUM}') AS m FROM customer)""")
 def _(i: Inputs):
-    text = F.expr("CONCAT(c_name, ' moved ', CASE WHEN c_acctbal >= 0 THEN '+' ELSE '' END, CAST(CAST(ROUND(c_acctbal) AS INT) AS STRING), '% and -$', CAST(c_custkey AS STRING), 'M, +$5B')")
+    text = F.expr("CONCAT(c_name, ' moved ', CASE WHEN c_acctbal >= 0 THEN '+' ELSE '' END, CAST(CAST(RINT(c_acctbal) AS INT) AS STRING), '% and -$', CAST(c_custkey AS STRING), 'M, +$5B')")
     return i["customer"].select(F.col("c_custkey").alias("id"), X.numeric_impact(text).alias("impact"), F.size(F.regexp_extract_all(text, F.lit(K.NUMERIC), F.lit(1))).alias("figures"))
 
 

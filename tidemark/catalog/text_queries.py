@@ -8,6 +8,7 @@ from .. import lookups as K
 from ..functions import stats as S
 from ..functions import text as X
 from ..operators.scoring import company_dictionary, link_symbols
+from ..operators.sentiment import by_symbol
 from ..sources import feeds
 from .core import Inputs, day_text, joined, moment, query, rounded, ts_text
 
@@ -61,7 +62,7 @@ def _link_sql() -> str:
 @query("symbols_of", _link_sql())
 def _(i: Inputs):
     a = link_symbols(i["fx_articles"].select("id", "title", "summary_raw", "tickers_raw"), NAMES, PATTERNS, LINK_UNIVERSE)
-    return a.select("id", F.explode("syms").alias("symbol", "rel"))
+    return by_symbol(a.select("id", "syms"))
 
 
 #: Names from the corpus itself, the first two words of every seventh document, and company names: more than a plan should hold as literals.
@@ -82,7 +83,7 @@ def _(i: Inputs):
     names = i.spark.sql(_NAMED.format(documents="named_documents"))
     universe = i["part"].select(F.concat(F.lit("S"), "p_partkey").alias("symbol"))
     a = link_symbols(i["fx_articles"].select("id", "title", "summary_raw", "tickers_raw"), names, {}, universe)
-    return a.select("id", F.explode("syms").alias("symbol", "rel"))
+    return by_symbol(a.select("id", "syms"))
 
 
 _FIRM = "CONCAT(p_name, CASE p_partkey % 5 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' Holdings Group' WHEN 2 THEN ', Corp' WHEN 3 THEN ' The' ELSE '' END)"

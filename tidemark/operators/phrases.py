@@ -1,26 +1,126 @@
 """Dictionaries as tables: which of very many phrases a text contains, and which of its tags a universe knows.
 
-A phrase is found through its rarest run of letters. Every text offers its distinct runs, phrases are indexed by the run that the fewest texts
-have, and an exact check follows, so the work grows with the texts and with the phrases found, not with their product. Neither table reaches the
-driver or the plan's literals. Texts meet through a hash of their content: copies of one text are indexed once.
+A phrase is found through a number made from its first letters (its anchor). Bit filters of a fixed size, filled by a grouped sum, say in the scanning task at
+which places of a text an anchor may begin; only these few (text, anchor) rows are shuffled to meet the phrases, and an exact check follows, so a full
+filter costs time but no result. Neither table reaches the driver or the plan's literals. Texts meet through a hash of their content.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-#: Letters in an index run; a shorter phrase is its own run.
-RUN = 4
+#: Letters of an anchor, and of its head that is asked for first; a shorter phrase is its own anchor.
+ANCHOR, HEAD = 64, 8
+#: Bits of a filter (as a power of two) and letters of texts that are hashed together.
+_BITS, _PIECE = 25, 1 << 16
+_BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so both have inverses
 
 
-def runs(text: Column, size: int) -> Column:
-    """All runs of ``size`` characters of a text, overlapping ones too."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base, and the mixing factor times those of its inverse, modulo 2^64."""
+    n = _PIECE + ANCHOR + 1
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0], down[0] = 1, _MIX
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+class _Windows:
+    """Numbers of all windows of a text of at most ``_PIECE + ANCHOR`` letters: equal windows have equal numbers wherever they stand."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.n, (up, self.down) = len(codes), _powers()
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[:self.n], dtype=np.uint64)))
+
+    def all(self, size: int) -> np.ndarray:
+        return (self.sums[size:] - self.sums[:-size]) * self.down[:self.n + 1 - size] if size <= self.n else np.empty(0, np.uint64)
+
+    def at(self, places: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[places + size] - self.sums[places]) * self.down[places]
+
+
+def _slots(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter."""
+    return numbers >> np.uint64(64 - _BITS), ((numbers ^ (numbers >> np.uint64(31))) * np.uint64(_MIX)) >> np.uint64(64 - _BITS)
+
+
+def _held(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
+
+
+@F.pandas_udf(T.StructType([T.StructField("anchor", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))]))
+def _anchor(phrases: pd.Series) -> pd.DataFrame:
+    """A phrase's anchor as a number, and its places in the filters of heads (first) and of anchors (other two, behind all heads)."""
+    heads, anchors = (np.concatenate([np.empty(0, np.uint64), *(_Windows(p[:n]).all(min(n, len(p))) for p in phrases)]) for n in (HEAD, ANCHOR))
+    first, second = _slots(anchors)
+    slots = np.stack((_slots(heads)[0], first + np.uint64(1 << _BITS), second + np.uint64(1 << _BITS)), 1).astype(np.int64)
+    return pd.DataFrame({"anchor": anchors.view(np.int64), "slots": list(slots)})
+
+
+def anchors_in(texts: list[str | None], heads: np.ndarray, anchors: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """For each text the distinct numbers of its windows of ``sizes`` letters that the filters hold."""
+    found = [[] for _ in texts]
+    pieces = [(k, t[x:x + _PIECE // 2 + ANCHOR - 1]) for k, t in enumerate(texts) if t for x in range(0, len(t), _PIECE // 2)]
+    at = 0
+    while at < len(pieces):
+        to, n = at, 0
+        while to < len(pieces) and (to == at or n + len(pieces[to][1]) <= _PIECE):
+            n += len(pieces[to][1])
+            to += 1
+        ends = np.cumsum([len(p) for _, p in pieces[at:to]])
+        windows, places, numbers = _Windows("".join(p for _, p in pieces[at:to])), [], []
+        for head in sorted({min(s, HEAD) for s in sizes}):
+            may = np.flatnonzero(_held(heads, _slots(windows.all(head))[0]))
+            for size in [s for s in sizes if min(s, HEAD) == head]:
+                where = may[may + size <= windows.n]
+                number = windows.at(where, size)
+                first, second = _slots(number)
+                hit = _held(anchors, first) & _held(anchors, second)
+                places.append(where[hit]), numbers.append(number[hit])
+        places, numbers = np.concatenate(places), np.concatenate(numbers).view(np.int64)
+        owner = np.searchsorted(ends, places, "right")  # a window over two texts is refused by the exact check
+        order = np.argsort(owner, kind="stable")
+        owner, numbers = owner[order], numbers[order]
+        for k, part in zip(*(np.unique(owner), np.split(numbers, np.flatnonzero(np.diff(owner)) + 1))):
+            found[pieces[at + k][0]].append(part)
+        at = to
+    return [np.unique(np.concatenate(f)) if f else np.empty(0, np.int64) for f in found]
+
+
+def _with_anchors(phrases: DataFrame) -> DataFrame:
+    """(phrase, value, size, anchor, slots), written once; of several values of a phrase the greatest counts."""
+    p = phrases.where(F.length("phrase") > 0).groupBy("phrase").agg(F.max("value").alias("value")).withColumn("__a", _anchor("phrase"))
+    return cut_lineage(p.select("phrase", "value", F.least(F.length("phrase"), F.lit(ANCHOR)).alias("size"), "__a.anchor", "__a.slots"))
+
+
+def _finder(p: DataFrame):
+    """A function of a text column that gives the anchors of ``p`` a text may hold, or None if there is no phrase."""
+    sizes = [r["size"] for r in p.select("size").distinct().orderBy("size").collect()]  # at most ANCHOR numbers
+    if not sizes:
+        return None
+    slot = p.select(F.explode("slots").alias("slot")).distinct()
+    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()  # at most two filters
+    bits = np.zeros(2 << (_BITS - 6), np.uint64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    filters = p.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("array<long>")
+    def anchors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        heads, whole = np.split(filters.value, 2)
+        for t in texts:
+            yield pd.Series(anchors_in(t.tolist(), heads, whole, sizes), dtype=object)
+
+    return anchors
 
 
 def with_contained(df: DataFrame, text: Column, phrases: DataFrame, out: str) -> DataFrame:
@@ -28,20 +128,13 @@ def with_contained(df: DataFrame, text: Column, phrases: DataFrame, out: str) ->
 
     Exact case, no word borders. Null texts contain nothing; null and empty phrases are in no text; of several values of a phrase the greatest counts.
     """
-    t = df.withColumns({"__text": text, "__key": F.xxhash64(text)})
-    p = phrases.where(F.length("phrase") > 0).groupBy("phrase").agg(F.max("value").alias("value")).withColumn("size", F.least(F.length("phrase"), F.lit(RUN)))
-    p = cut_lineage(p)
-    sizes = [r["size"] for r in p.select("size").distinct().orderBy("size").collect()]  # at most RUN numbers
-    kind = "array<struct<phrase:string,value:string>>"
-    if not sizes:
+    p, kind = _with_anchors(phrases), "array<struct<phrase:string,value:string>>"
+    anchors = _finder(p)
+    if anchors is None:
         return df.withColumn(out, F.array().cast(kind))
-    own = reduce(DataFrame.unionByName, [p.where(F.col("size") == s).select("phrase", "value", F.explode(F.array_distinct(runs(F.col("phrase"), s))).alias("run")) for s in sizes])
-    offered = t.select("__key", F.explode(F.array_distinct(F.concat(*[runs(F.col("__text"), s) for s in sizes]))).alias("run"))
-    seen = cut_lineage(offered.join(own.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n")))
-    # a run that no text offers rules its phrase out
-    index = (own.join(seen, "run", "left").groupBy("phrase", "value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best"))
-             .where("best.n > 0").select("phrase", "value", F.col("best.run").alias("run")))
-    found = offered.join(cut_lineage(index), "run").groupBy("__key").agg(F.collect_set(F.struct("phrase", "value")).alias("__found"))
+    t = df.withColumns({"__text": text, "__key": F.xxhash64(text)})
+    offered = df.select(text.alias("__text")).where("__text is not null").select(F.xxhash64("__text").alias("__key"), F.explode(anchors("__text")).alias("anchor")).distinct()
+    found = offered.join(p.select("phrase", "value", "anchor"), "anchor").groupBy("__key").agg(F.collect_set(F.struct("phrase", "value")).alias("__found"))
     longest = lambda x, y: F.when(F.length(x["phrase"]) != F.length(y["phrase"]), F.length(y["phrase"]) - F.length(x["phrase"])).when(
         x["phrase"] < y["phrase"], -1).when(x["phrase"] > y["phrase"], 1).otherwise(0)
     held = F.filter("__found", lambda x: F.contains(F.col("__text"), x["phrase"]))
@@ -59,7 +152,7 @@ def first_matches(text: Column, found: Column) -> Column:
 def with_known(df: DataFrame, tags: Column, universe: DataFrame, out: str) -> DataFrame:
     """Add ``out``: those of ``tags`` that are a symbol of ``universe``, sorted. Rows with the same tags are looked up once."""
     t = df.withColumn("__tags", F.array_sort(F.array_distinct(F.array_compact(F.coalesce(tags, F.array().cast("array<string>")))))).withColumn("__key", F.xxhash64("__tags"))
-    each = t.select("__key", F.explode("__tags").alias("symbol")).distinct().join(universe.select("symbol").distinct(), "symbol", "left_semi")
+    each = t.select("__key", F.explode_outer("__tags").alias("symbol")).distinct().join(universe.select("symbol").distinct(), "symbol", "left_semi")
     known = each.groupBy("__key").agg(F.collect_set("symbol").alias("__sure"))
     none = F.array().cast("array<string>")
     return t.join(known, "__key", "left").withColumn(out, F.array_intersect("__tags", F.coalesce("__sure", none))).drop("__tags", "__key", "__sure")

@@ -32,8 +32,12 @@ def hour_ts(h: Column) -> Column:
 
 
 def by_symbol(items: DataFrame) -> DataFrame:
-    """One row per (item, symbol) with its relevance ``rel``."""
-    return items.select(*[c for c in items.columns if c != "syms"], F.explode("syms").alias("symbol", "rel"))
+    """One row per (item, symbol) with its relevance ``rel``.
+
+    Items without symbols are dropped behind the outer explode: a plain one would filter on the map's size first, and that filter, pushed down to the
+    texts, repeats all work that made the map for each of its keys.
+    """
+    return items.select(*[c for c in items.columns if c != "syms"], F.explode_outer("syms").alias("symbol", "rel")).where("symbol is not null")
 
 
 def _weight() -> Column:

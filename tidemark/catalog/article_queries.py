@@ -11,6 +11,7 @@ from ..operators import dedupe as D
 from ..operators import reports as R
 from ..operators import scoring as N
 from ..operators.keyed import latest_per_key, upsert
+from ..session import written
 from ..sources import tables as T
 from .core import NOW_NEWS, Inputs, day_text, joined, moment, query, rounded, ts_text
 from .text_queries import LINK_UNIVERSE, NAMES, NEG, NEGATORS, PATTERNS, POS, RATIO, RATIO_CTES, VALENCE, sq
@@ -332,9 +333,8 @@ def _(i: Inputs):
     return N.populate_summary(_cells(i))
 
 
-def _stored_cells(i: Inputs):
-    """A stored copy of the cells in which some rows differ."""
-    c = _cells(i)
+def _stored_cells(c):
+    """A stored copy of the cells ``c`` in which some rows differ."""
     return c.select("id", F.when(F.col("id") % 4 == 0, "note").alias("ai_summary"), F.when(F.col("id") % 3 == 0, "mixed").otherwise(F.col("ai_sentiment")).alias("ai_sentiment"), "ai_relevance_score",
                     F.reverse("ai_affected_tickers").alias("ai_affected_tickers"), "ai_confidence", "fb_score", F.when(F.col("id") % 16 == 0, "stale").otherwise(F.col("event")).alias("event"), "lang")
 
@@ -342,7 +342,9 @@ def _stored_cells(i: Inputs):
 @query("cells_delta", f"""WITH {_cells_sql()} SELECT id, id % 4 = 0 AS analysed, CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN 'mixed' ELSE ai_sentiment END AS ai_sentiment, event FROM cells
 WHERE (id % 4 = 0 AND id % 16 = 0) OR (id % 4 <> 0 AND id % 3 = 0)""")
 def _(i: Inputs):
-    return N.cells_delta(_stored_cells(i), _cells(i)).select("id", "analysed", "ai_sentiment", "event")
+    """Both sides come from cells that are written once, so texts are scored once."""
+    c = written(_cells(i), "cells")
+    return N.cells_delta(_stored_cells(c), c).select("id", "analysed", "ai_sentiment", "event")
 
 
 # ---------------------------------------------------------------- de-duplication and links

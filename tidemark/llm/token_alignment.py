@@ -305,20 +305,24 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, size: int) -> Dat
     return materialise(texts.where(~is_long).mapInPandas(short, _DOC).unionByName(parts.mapInPandas(finish, _DOC)), "aligned")
 
 
+def _counted(held: list[np.ndarray]) -> pd.DataFrame:
+    pair, n = np.unique(np.concatenate(held), return_counts=True)
+    return pd.DataFrame({"pair": pair, "n": n})
+
+
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """pair, n (documents that hold it linked) over all ``aligned`` documents, and whether n is the highest of its first id. Written once."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, most = [], 0
         for b in batches:
-            held += [np.asarray(p, np.int64) for p in b["pairs"]]
-            most += sum(len(p) for p in b["pairs"])
-            if most > 2_000_000:
-                pair, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pd.DataFrame({"pair": pair, "n": n})
-                held, most = [], 0
+            for p in b["pairs"]:
+                held.append(np.asarray(p, np.int64))
+                most += len(p)
+                if most > 1_000_000:  # a batch of documents may hold many times that
+                    yield _counted(held)
+                    held, most = [], 0
         if held:
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pd.DataFrame({"pair": pair, "n": n})
+            yield _counted(held)
 
     each = aligned.select("pairs").mapInPandas(count, "pair long, n long")
     pairs = materialise(each.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", 32)), "pairs")
@@ -349,19 +353,21 @@ def token_alignment(docs: DataFrame, a_path: str | None = None, b_path: str | No
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair, n, best = known.value
-        for b in batches:
-            best_of, sum_of, rest, times = [], [], [], []
-            for row, p, k in zip(b["row"], b["pairs"], b["links"]):
-                p, k = np.asarray(p, np.int64), np.asarray(k, np.int64)
-                at = np.searchsorted(pair, p)
-                hit = at < len(pair)
-                hit[hit] = pair[at[hit]] == p[hit]
-                at = at[hit]
-                best_of.append(int(k[hit][best[at]].sum()))
-                sum_of.append(int((k[hit] * n[at]).sum()))
-                rest.append(np.concatenate(([-1 - row], p[~hit])))  # the first stands for the document itself: it meets no pair
-                times.append(np.concatenate(([0], k[~hit])))
-            yield b.drop(columns=["pairs", "links"]).assign(n_best=best_of, count_sum=sum_of, rest=rest, times=times)
+        for whole in batches:
+            for first in range(0, len(whole), 500):  # what a slice gives goes on before the next one is made
+                b = whole.iloc[first:first + 500]
+                best_of, sum_of, rest, times = [], [], [], []
+                for row, p, k in zip(b["row"], b["pairs"], b["links"]):
+                    p, k = np.asarray(p, np.int64), np.asarray(k, np.int64)
+                    at = np.searchsorted(pair, p)
+                    hit = at < len(pair)
+                    hit[hit] = pair[at[hit]] == p[hit]
+                    at = at[hit]
+                    best_of.append(int(k[hit][best[at]].sum()))
+                    sum_of.append(int((k[hit] * n[at]).sum()))
+                    rest.append(np.concatenate(([-1 - row], p[~hit])))  # the first stands for the document itself: it meets no pair
+                    times.append(np.concatenate(([0], k[~hit])))
+                yield b.drop(columns=["pairs", "links"]).assign(n_best=best_of, count_sum=sum_of, rest=rest, times=times)
 
     head = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     folded = aligned.mapInPandas(fold, _DOC.split(", pairs")[0] + ", n_best long, count_sum long, rest array<long>, times array<long>")

@@ -17,6 +17,7 @@ from ..functions import text as X
 from ..session import cut_lineage
 from .articles import hours_before
 from .keyed import first_per_key, latest_per_key
+from .titles import similar_titles
 
 _HOUR = 3_600_000_000
 _log = logging.getLogger(__name__)
@@ -259,87 +260,41 @@ def story_clusters(items: DataFrame, threshold: float = 0.6, hours: int = 48, pe
 
 # ---------------------------------------------------------------- fuzzy titles
 
-_PAIRED = (4, 120)  # lengths of the longer title for which token pairs, not single tokens, are the join keys
+def _kept_titles(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``nodes`` (key, first) kept by the rule "keep a title unless an earlier kept one is similar"; ``pairs`` (a, b) are similar titles, each once.
 
-
-def _title_id(title: str = "title") -> Column:
-    """A short stand-in for a title, so that exploded rows do not carry the text."""
-    return F.sha2(F.col(title), 256)
-
-
-def _char_profile(titles: DataFrame, threshold: float) -> DataFrame:
-    """(tid, title, n, tokens, hist): character occurrences of each title, globally rarest first, and a 32-bin histogram.
-
-    A title's tokens are its characters numbered by occurrence ("e1", "e2"). The ratio is at most twice the number of
-    shared tokens over the length sum, so similar titles share tokens among their rarest ones.
-    """
-    t = titles.select(_title_id().alias("tid"), "title")
-    chars = t.select("tid", F.explode(F.split("title", "")).alias("ch")).where("ch <> ''").groupBy("tid", "ch").agg(F.count("*").alias("c"))
-    tok = chars.select("tid", F.explode(F.transform(F.sequence(F.lit(1), F.col("c").cast("int")), lambda i: F.concat(F.col("ch"), i.cast("string")))).alias("tok"))
-    bins = chars.groupBy("tid").agg(F.collect_list(F.struct(F.pmod(F.xxhash64("ch"), F.lit(32)).alias("k"), "c")).alias("cc"))
-    bins = bins.select("tid", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.aggregate(
-        F.filter("cc", lambda x: x["k"] == k), F.lit(0).cast("long"), lambda s, x: s + x["c"])).alias("hist"))
-    n = F.aggregate("hist", F.lit(0).cast("long"), lambda s, x: s + x).cast("int")
-    return _rare_first(tok, "tid", "tok").join(bins.withColumn("n", n), "tid").join(t, "tid")
-
-
-def _char_keys(share: float, single: Column, paired: Column) -> Column:
-    """Join keys of a title's rarest tokens: its prefix for overlap ``share``, and all pairs of a prefix one longer.
-
-    Two titles that share at least k tokens beyond the bound share k tokens within prefixes k - 1 longer, so one token
-    (or one pair of tokens) of the prefix is common to both.
+    Each round keeps all titles without an undecided similar one before them and drops what these cover; only pairs of undecided titles go on.
     """
-    n = F.col("n")
-    head = lambda extra: F.slice("tokens", F.lit(1), F.least(n, n - F.ceil(n * share - 1e-9).cast("int") + 1 + extra))
-    pairs = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.concat(x, F.lit("|"), y))))
-    none = F.array().cast("array<string>")
-    return F.concat(F.when(single, head(0)).otherwise(none), F.when(paired, X.with_value(head(1), pairs)).otherwise(none))
-
-
-def _similar_titles(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of different titles with ratio above the threshold where ``a`` is not longer than ``b``.
-
-    The longer title's length decides whether single tokens or the far more selective token pairs are compared, so a
-    title near the border offers both kinds as the shorter one.
-    """
-    theta = threshold / 100.0
-    low, high = _PAIRED
-    n, least = F.col("n"), theta / (2 - theta)
-    as_short = _char_keys(theta, (n < low) | (n >= F.lit(high * least - 1)), (n >= F.lit(low * least - 1)) & (n <= high))
-    as_long = _char_keys(least, (n < low) | (n > high), (n >= low) & (n <= high))
-    a = left.select(F.col("tid").alias("a"), n.alias("na"), F.col("hist").alias("ha"), F.explode(as_short).alias("key"))
-    b = right.select(F.col("tid").alias("b"), n.alias("nb"), F.col("hist").alias("hb"), F.explode(as_long).alias("key"))
-    c = a.join(b, "key").where((F.col("a") != F.col("b")) & (F.col("na") <= F.col("nb")) & (F.col("na") * (2 - theta) >= F.col("nb") * theta - 1e-9))
-    dist = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    c = c.where(dist <= (F.col("na") + F.col("nb")) * (1 - theta) + 1e-9).select("a", "b").distinct()
-    text = lambda df, tid, out: df.select(F.col("tid").alias(tid), F.col("title").alias(out))
-    c = c.join(text(left, "a", "ta"), "a").join(text(right, "b", "tb"), "b")
-    return c.where(X.title_ratio(F.col("ta"), F.col("tb")) > threshold).select("a", "b")
-
-
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    ends = pairs.join(nodes.select(F.col("key").alias("a"), F.col("first").alias("fa")), "a").join(nodes.select(F.col("key").alias("b"), F.col("first").alias("fb")), "b")
+    before = F.col("fa") < F.col("fb")
+    open_, dropped, rounds = cut_lineage(ends.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("v"))), None, 0
+    while not open_.isEmpty():
+        rounds += 1
+        lead = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        out = cut_lineage(open_.join(lead, "u", "left_semi").select(F.col("v").alias("key")).distinct())
+        dropped = out if dropped is None else dropped.unionByName(out)
+        open_ = cut_lineage(open_.join(out.select(F.col("key").alias("u")), "u", "left_anti").join(out.select(F.col("key").alias("v")), "v", "left_anti"))
+    _log.info("kept titles: %d rounds", rounds)
+    return nodes if dropped is None else nodes.join(dropped, "key", "left_anti")
 
 
 def fuzzy_title_dedupe(batch: DataFrame, recent: DataFrame | None = None, ordinal: str = "ordinal", threshold: float = 85.0) -> DataFrame:
     """Rows of ``batch`` (id, title, ordinal) kept by the rule "drop a title too close to a stored or earlier kept one".
 
-    ``recent`` holds the stored titles to compare with (the newest ones, as the caller selects them).
+    ``recent`` holds the stored titles to compare with (the newest ones, as the caller selects them). Rows fold to distinct titles first: of one title at
+    most the first row is kept.
     """
-    titles = batch.where(F.col("title").isNotNull()).select("title").distinct()
-    stored = recent.where(F.col("title").isNotNull()).select("title").distinct() if recent is not None else None
-    prof = cut_lineage(_char_profile(titles if stored is None else titles.unionByName(stored).distinct(), threshold))
-    todo = batch.where(F.col("title").isNotNull()).select("id", F.col(ordinal).cast("long").alias("t"), _title_id().alias("tkey"), F.lit(0).alias("bucket"))
-    mine = prof.join(todo.select(F.col("tkey").alias("tid")).distinct(), "tid", "left_semi")
-    if stored is not None:
-        ids = stored.select(_title_id().alias("tid"))
-        known = prof.join(ids, "tid", "left_semi")
-        taken = cut_lineage(ids.unionByName(_similar_titles(mine, known, threshold).select(F.col("a").alias("tid")))
-                            .unionByName(_similar_titles(known, mine, threshold).select(F.col("b").alias("tid"))).distinct())
-        mine = mine.join(taken, "tid", "left_anti")
-        todo = todo.join(taken.select(F.col("tid").alias("tkey")), "tkey", "left_anti")
-    edges = _both_ways(_similar_titles(mine, mine, threshold))
-    return batch.join(greedy_leaders(todo, edges, None).select("id"), "id", "left_semi")
+    first = F.min(F.struct(F.col(ordinal).cast("long").alias("t"), "id")).alias("first")
+    titles = batch.where(F.col("title").isNotNull()).groupBy("title").agg(first, F.lit(False).alias("stored"))
+    if recent is not None:
+        known = recent.where(F.col("title").isNotNull()).select("title", F.lit(True).alias("stored"))
+        titles = titles.unionByName(known, allowMissingColumns=True).groupBy("title").agg(F.max("first").alias("first"), F.bool_or("stored").alias("stored"))
+    titles = cut_lineage(titles.withColumn("key", F.monotonically_increasing_id()))
+    pairs = cut_lineage(similar_titles(titles, threshold))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    taken = both.join(titles.where("stored").select(F.col("key").alias("b")), "b", "left_semi").select(F.col("a").alias("key"))
+    fresh = titles.where("not stored").join(taken, "key", "left_anti").select("key", "first")
+    return batch.join(_kept_titles(fresh, pairs).select("first.id"), "id", "left_semi")
 
 
 # ---------------------------------------------------------------- links between articles

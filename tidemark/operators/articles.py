@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import lookups as K
 from ..functions import text as X
+from ..session import cut_lineage
 from .keyed import first_per_key, latest_per_key, patch
-from .phrases import with_contained, with_known
+from .phrases import short_phrases, values_of_contained, with_contained, with_known
 
 
 def hours_before(now: Column, hours: int) -> Column:
@@ -128,25 +129,49 @@ def dashboard_news_counts(articles: DataFrame) -> DataFrame:
         F.count_if(F.col("source") == "SEC EDGAR").alias("filings"))
 
 
-def match_keywords(articles: DataFrame, watch: dict[str, list[str]] | DataFrame) -> DataFrame:
+def match_keywords(articles: DataFrame, watch: dict[str, list[str]] | DataFrame, max_keywords: int | None = None, short_rows: int = 100_000) -> DataFrame:
     """(article columns, symbol) for each watched symbol with a keyword equal to a tag or inside title + summary; keywords are lower case.
 
     A list typed by people becomes literals of one pass. A table (symbol, keyword) of any size meets the articles through the index of
-    :mod:`.phrases` and an equi-join on tags, in one pass too. An article comes once for each of its symbols; null keywords match nothing.
+    :mod:`.phrases` and an equi-join on tags, in one pass too; its shortest keywords, at most ``short_rows`` rows of it, are looked up in the scanning task.
+    An article comes once for each of its symbols; null keywords match nothing. ``max_keywords`` bounds the keywords in one literal expression of a list;
+    longer lists are matched block by block, each symbol in one block.
     """
-    return _match_table(articles, watch) if isinstance(watch, DataFrame) else _match_block(articles, watch)
-
-
-def _match_table(articles: DataFrame, watch: DataFrame) -> DataFrame:
+    if isinstance(watch, DataFrame):
+        return _match_table(articles, watch, short_rows)
+    blocks, held = [{}], 0
+    for symbol, keys in watch.items():
+        if blocks[-1] and max_keywords and held + len(keys) > max_keywords:
+            blocks.append({})
+            held = 0
+        blocks[-1][symbol] = keys
+        held += len(keys)
+    return reduce(lambda x, y: x.unionByName(y), [_match_block(articles, b) for b in blocks])
+
+
+def _match_table(articles: DataFrame, watch: DataFrame, short_rows: int) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "title", F.coalesce("ai_summary", F.lit(""))))
     tags = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("ai_affected_tickers", "tickers_raw")])
-    keys = watch.where(F.col("keyword").isNotNull()).select("symbol", "keyword").distinct()
-    a = with_contained(articles, text, keys.select(F.col("keyword").alias("phrase"), F.lit("").alias("value")), "__in_text")
+    keys = cut_lineage(watch.where(F.col("keyword").isNotNull()).select("symbol", "keyword").distinct())
+    # short keywords, which nearly every text holds, give their symbols in the scanning task; the others go through the index
+    short = cut_lineage(short_phrases(keys.where(F.col("symbol").isNotNull()).select(F.col("keyword").alias("phrase"), F.col("symbol").alias("value")), most=short_rows))
+    rest = keys.join(short.select(F.col("phrase").alias("keyword"), F.col("value").alias("symbol")), ["symbol", "keyword"], "left_anti")
+    a = with_contained(articles, text, rest.select(F.col("keyword").alias("phrase"), F.lit("").alias("value")), "__in_text")
     a = with_known(a, F.transform(tags, lambda t: F.lower(t)), keys.select(F.col("keyword").alias("symbol")), "__in_tags")
-    # keywords of an article to their symbols: sets of keywords are looked up once
-    a = a.withColumn("__words", F.array_sort(F.array_union("__in_text.phrase", "__in_tags"))).withColumn("__set", F.xxhash64("__words"))
-    symbols = (a.select("__set", F.explode("__words").alias("keyword")).distinct().join(keys, "keyword").groupBy("__set", "symbol").agg(F.collect_set("keyword").alias("__why")))
-    return a.join(symbols, "__set").where(F.arrays_overlap("__words", "__why")).drop("__in_text", "__in_tags", "__words", "__set", "__why").select(*articles.columns, "symbol")
+    # sets of keywords are looked up once: by their hash, so keywords are compared again
+    none = F.array().cast("array<string>")
+    a = a.withColumns({"__phrases": F.array_sort(F.col("__in_text.phrase"))}).withColumns({"__set": F.xxhash64("__phrases"), "__tagset": F.xxhash64("__in_tags")})
+
+    def symbols_of(words: str, name: str, table: DataFrame) -> DataFrame:
+        each = a.select(F.col(name).alias("__of"), F.explode(words).alias("keyword")).distinct().join(table, "keyword")
+        return each.groupBy(F.col("__of").alias(name)).agg(F.collect_set(F.struct("keyword", "symbol")).alias(f"{name}_why"))
+
+    for words, name, table in (("__phrases", "__set", rest), ("__in_tags", "__tagset", keys)):
+        a = a.join(symbols_of(words, name, table), name, "left")
+    why = lambda words, name: F.coalesce(F.transform(F.filter(f"{name}_why", lambda x: F.array_contains(words, x["keyword"])), lambda x: x["symbol"]), none)
+    far = F.concat(why("__phrases", "__set"), why("__in_tags", "__tagset"))
+    a = a.select(*articles.columns, far.alias("__far"), values_of_contained(short)(text).alias("__near"))
+    return a.select(*articles.columns, F.explode(F.array_distinct(F.concat("__far", "__near"))).alias("symbol"))
 
 
 def _match_block(articles: DataFrame, watch: dict[str, list[str]]) -> DataFrame:

@@ -142,6 +142,44 @@ def with_contained(df: DataFrame, text: Column, phrases: DataFrame, out: str) ->
             .drop("__text", "__key", "__found"))
 
 
+def short_phrases(phrases: DataFrame, longest: int = 8, most: int = 100_000) -> DataFrame:
+    """The (phrase, value) rows of the shortest phrases, as many lengths up to ``longest`` as hold at most ``most`` rows: what nearly every text contains."""
+    sized = phrases.where(F.length("phrase").between(1, longest)).select("phrase", "value")
+    total, up = 0, 0
+    for r in sized.groupBy(F.length("phrase").alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect():  # at most ``longest`` rows
+        total += r["rows"]
+        if total > most:
+            break
+        up = r["n"]
+    return sized.where(F.length("phrase") <= up)
+
+
+def values_of_contained(short: DataFrame):
+    """A function of a text column that gives the distinct values of those phrases of ``short`` (see :func:`short_phrases`) that are a part of the text.
+
+    The bounded table is looked up where the text is, so a text's many short phrases and their values are never shuffled.
+    """
+    rows = short.toPandas()
+    values, of = np.unique(rows["value"].to_numpy(object).astype(str), return_inverse=True)
+    known = {str(p): of[i] for p, i in rows.groupby("phrase").indices.items()}
+    table = short.sparkSession.sparkContext.broadcast((values.astype(object), known, sorted({len(p) for p in known})))
+
+    @F.pandas_udf("array<string>")
+    def held(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names, of_phrase, sizes = table.value
+        for batch in texts:
+            out = []
+            for t in batch:
+                seen = np.zeros(len(names), bool)
+                for n in sizes if t else ():
+                    for p in of_phrase.keys() & {t[k:k + n] for k in range(len(t) - n + 1)}:
+                        seen[of_phrase[p]] = True
+                out.append(names[seen])
+            yield pd.Series(out, dtype=object)
+
+    return held
+
+
 def first_matches(text: Column, found: Column) -> Column:
     """Phrases of ``found`` (see :func:`with_contained`) met in ``text`` from left to right, the longest at each place and none overlapping, distinct."""
     quoted = F.transform(found, lambda x: F.regexp_replace(x["phrase"], F.lit(r"([\\.^$|?*+()\[\]{}&-])"), F.lit(r"\\$1")))

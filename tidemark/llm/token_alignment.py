@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import id_as_text, materialise
+from .common import id_as_text, materialise, small_batches
 from .token_counts import check_model, least_level
 
 #: A certain cut of both vocabularies.
@@ -302,6 +302,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, size: int) -> Dat
     while most > 1:
         parts = parts.groupBy("row", F.floor(F.col("k") / 8).cast("long").alias("k8")).applyInPandas(compose, _PART)
         most = -(-most // 8)
+        if most == 1:
+            parts = materialise(parts, "composed")  # so that no task below holds two Python workers
     return materialise(texts.where(~is_long).mapInPandas(short, _DOC).unionByName(parts.mapInPandas(finish, _DOC)), "aligned")
 
 
@@ -330,7 +332,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return materialise(pairs.join(best, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pair_counts")
 
 
-def token_alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, *, size: int = 32_768, frequent: int = 400_000) -> DataFrame:
+def token_alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, *, size: int = 32_768, frequent: int = 400_000, batch: int = 500) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A text with a blank before it is tokenised by a byte-level vocabulary, the text itself by a piece vocabulary that adds the blank; special tokens' strings are
@@ -342,11 +344,13 @@ def token_alignment(docs: DataFrame, a_path: str | None = None, b_path: str | No
     on all of it. Rows that repeat a doc_id count as documents each; other columns are ignored; an empty table gives an empty table.
 
     At most ``frequent`` pairs, the most frequent levels of them, are looked up in the scanning task (17 bytes each); a document's other pairs meet
-    their counts in a shuffled join. A long group's links are counted by distinct ids, never listed.
+    their counts in a shuffled join. A long group's links are counted by distinct ids, never listed. Tasks take ``batch`` documents at a time: the arrays of
+    a default batch of 10,000 filled an executor, in Java and in Python.
     """
     a_path, b_path = a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
-    aligned = align_documents(docs, a_path, b_path, size)
-    counts = pair_counts(aligned)
+    with small_batches(docs.sparkSession, batch):
+        aligned = align_documents(docs, a_path, b_path, size)
+        counts = pair_counts(aligned)
     levels = counts.withColumn("level", F.floor(8 * F.log2("n")))
     top = levels.where(F.col("level") >= least_level(levels.groupBy("level").agg(F.count("*").alias("k")).collect(), frequent)).select("pair", "n", "best").toPandas().sort_values("pair")
     known = docs.sparkSession.sparkContext.broadcast((top["pair"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["best"].to_numpy(bool)))
@@ -371,6 +375,8 @@ def token_alignment(docs: DataFrame, a_path: str | None = None, b_path: str | No
 
     head = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     folded = aligned.mapInPandas(fold, _DOC.split(", pairs")[0] + ", n_best long, count_sum long, rest array<long>, times array<long>")
+    with small_batches(docs.sparkSession, batch):
+        folded = materialise(folded, "folded")
     each = folded.select("row", *head, F.posexplode(F.arrays_zip("rest", "times")).alias("k", "t"))
     each = each.select("row", *[F.when(F.col("k") == 0, F.col(c)).alias(c) for c in head], F.col("t.rest").alias("pair"), F.col("t.times").alias("times"))
     met = each.join(counts, "pair", "left")

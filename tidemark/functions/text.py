@@ -1,11 +1,14 @@
-"""Text expressions: Column in, Column out, all built-in functions except :func:`title_ratio`."""
+"""Text expressions: Column in, Column out, all built-in functions except :func:`title_ratio` and the word filter of :func:`event_of`."""
 
 from __future__ import annotations
 
 import re
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +79,28 @@ def any_case(text: Column, lowered: Column, pattern: str) -> Column:
     return reduce(lambda x, y: x | y, [lowered.contains(w) for w in words]) & hit if words else hit
 
 
+def needed_words_in(lowered: Column, patterns: list[str]) -> Column:
+    """For each pattern, whether any of its :func:`required_words` occurs (true if it has none), as an array; null for a text where no pattern can match.
+
+    The words of all patterns are one automaton, so a text is scanned once however many they are; only texts with some word are scanned by pattern.
+    """
+    words = [required_words(p) for p in patterns]
+    each = ["|".join(map(re.escape, w)) if w else None for w in words]
+
+    @F.arrow_udf("array<boolean>")
+    def scan(texts: pa.Array) -> pa.Array:
+        if None in each:
+            some = np.ones(len(texts), bool)
+        else:
+            some = pc.match_substring_regex(texts, "|".join(each)).to_numpy(zero_copy_only=False).astype(bool)
+        held = texts.filter(pa.array(some))
+        cols = [[True] * len(held) if rx is None else pc.match_substring_regex(held, rx).to_pylist() for rx in each]
+        rows = iter(zip(*cols))
+        return pa.array([list(next(rows)) if x else None for x in some], pa.list_(pa.bool_()))
+
+    return scan(lowered)
+
+
 def is_spam(title: Column, summary: Column) -> Column:
     return F.concat_ws(" ", text_or_empty(title), text_or_empty(summary)).rlike(ANY_CASE + K.SPAM)
 
@@ -167,7 +192,10 @@ def event_of(text: Column) -> Column:
     """First matching event class as struct(event, event_w)."""
     text = text_or_empty(text)
     pair = lambda n, w: F.struct(F.lit(n).alias("event"), F.lit(w).alias("event_w"))
-    return with_value(F.lower(text), lambda t: _first_hit([(any_case(t, t, p), pair(n, w)) for n, w, p in K.EVENTS], pair(*K.OTHER_EVENT)))
+    held = needed_words_in(F.lower(text), [p for _, _, p in K.EVENTS])
+    first = with_value(F.struct(F.lower(text).alias("t"), held.alias("held")), lambda x: _first_hit(
+        [(x["held"][k] & x["t"].rlike(lower_pattern(p)), pair(n, w)) for k, (n, w, p) in enumerate(K.EVENTS)], pair(*K.OTHER_EVENT)))
+    return F.when(held.isNotNull(), first).otherwise(pair(*K.OTHER_EVENT))
 
 
 def source_weight(source: Column) -> Column:

@@ -13,6 +13,8 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,10 @@ LATIN = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+")
 PRE_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\xb2\xb3\xb9\xbc-\xbe]+|[\\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\\w\\s]|_)+")
 
 
+#: A slice of a text, and one whose words are all of the characters above.
+SLICE, LATIN_TEXT = re.compile("(?s:.+)"), re.compile("[\x09-\x0d -~\xa1-\u012f\u0131-\u024f]*")
+
+
 def certain_cuts(tokens: list[str], suffix: str) -> set[str]:
     """Pairs of neighbouring symbols (one per byte) inside some token; every pair outside this set is a certain cut."""
     inside: set[str] = set()
@@ -50,6 +56,23 @@ def latin_rule(spec: dict) -> bool:
             and not pre["pretokenizers"][1]["add_prefix_space"] and not pre["pretokenizers"][1]["use_regex"])
 
 
+class PreTokens(dict):
+    """Ids of lower-cased pre-tokens of :data:`LATIN` characters, bounded as the words of ``codec`` are."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, pre_token: str) -> bytes:
+        ids = self.codec.pre_token(self.codec.as_symbols(pre_token))
+        out = pack(f"<{len(ids)}I", *ids)
+        if len(pre_token) <= self.codec.longest:
+            if len(self) >= self.codec.limit:
+                self.clear()
+            self[pre_token] = out
+        return out
+
+
 class Codec(dict):
     """Encoder and decoder of one vocabulary; a dict of the words it has met, bounded by ``limit`` words of at most ``longest`` characters."""
 
@@ -70,6 +93,7 @@ class Codec(dict):
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.token = [self.whole.id_to_token(k) for k in range(self.whole.get_vocab_size())]
         self.parts: dict[str, list[int]] = {}
+        self.latin_ids = PreTokens(self)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as the character of that number
         self.symbols = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
         self.latin = latin_rule(spec)
@@ -92,15 +116,19 @@ class Codec(dict):
         return ids
 
     def pre_token(self, symbols: str) -> list[int]:
-        cuts = [k for k in range(1, len(symbols)) if symbols[k - 1:k + 1] not in self.inside]
-        if not cuts:
+        pairs = [*map(add, symbols, symbols[1:])]
+        if self.inside.issuperset(pairs):
             return self.part(symbols, True)
+        cuts = [k for k, pair in enumerate(pairs, 1) if pair not in self.inside]
         return [i for a, b in zip([0, *cuts], [*cuts, len(symbols)]) for i in self.part(symbols[a:b], b == len(symbols))]
 
+    def as_symbols(self, piece: str) -> str:
+        return piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+
     def pre_tokens(self, piece: str) -> list[str]:
         """Pre-tokens of a piece of text, one symbol per byte."""
         if self.latin and LATIN.fullmatch(piece):
-            return [p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols) for p in PRE_TOKEN.findall(piece.lower())]
+            return [self.as_symbols(p) for p in PRE_TOKEN.findall(piece.lower())]
         return [p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(piece))]
 
     def __missing__(self, word: str) -> bytes:
@@ -119,9 +147,16 @@ class Codec(dict):
         return out
 
     def slices(self, text: str | None) -> Iterator[bytes]:
-        """Ids of a text as little-endian 32-bit integers, in slices of about a million characters."""
-        for words in text_words(text or "", WORD, BLANK):
-            yield b"".join(map(self.__getitem__, words))
+        """Ids of a text as little-endian 32-bit integers, in slices of about a million characters.
+
+        A slice of Latin words without special tokens falls into its pre-tokens at once: their pattern never spans white space, and they are fewer
+        than the words, which differ by capitals and punctuation too. Any other slice goes word by word.
+        """
+        for piece, in text_words(text or "", SLICE, BLANK):
+            if self.latin and LATIN_TEXT.fullmatch(piece) and not any(s in piece for s in self.special):
+                yield b"".join(map(self.latin_ids.__getitem__, PRE_TOKEN.findall(piece.lower())))
+            else:
+                yield b"".join(map(self.__getitem__, WORD.findall(piece)))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(self.slices(text)), "<u4")

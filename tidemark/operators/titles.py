@@ -1,14 +1,17 @@
 """Pairs of similar titles: every title against every other one of a similar length, in groups of bounded size.
 
 The ratio of two titles is twice their longest common subsequence over their length sum, so only titles of one or of neighbouring length classes can be
-similar. Classes are dealt into parts, and each two parts meet in one group: the letters they share are counted for all pairs at once, and only pairs that share
-enough letters are compared in full. Nothing but similar pairs leaves a group, so the tables written grow with titles times parts, not with pairs.
+similar. Classes are dealt into parts, and each two parts meet in one group. There a pair goes through ever dearer bounds of its common subsequence, none of
+which loses a similar pair: sums of letter counts for whole leaves of alike titles at once, the letters it shares, and the common subsequences of the titles cut
+down to a few kinds of letters. Only what is left is compared in full. Nothing but similar pairs leaves a group, so the tables written grow with titles times
+parts, not with pairs.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,50 +21,64 @@ from pyspark.sql import functions as F
 from ..functions.text import _lcs_length
 
 #: Most titles and letters of a part.
-_ROWS, _LETTERS = 16_384, 1_000_000
-#: Bins of letters; titles and pairs that are handled at once; the longest title whose common subsequence is found for many pairs at once.
-_BINS, _TALL, _WIDE, _PAIRS, _LONG = 64, 256, 2048, 4096, 1024
-
-
-class _Titles:
-    """Titles in order of their lengths, with their letters as numbers and how many of each bin they hold."""
-
-    def __init__(self, titles: list[str], order: np.ndarray, n: np.ndarray, letter: np.ndarray, bins: np.ndarray):
-        self.n, self.order = n[order], order
-        start = np.cumsum(n) - n
-        self.text = [titles[k] for k in order]
-        self.letters = [letter[start[k]:start[k] + n[k]] for k in order]
-        owner = np.repeat(np.arange(len(order)), self.n)
-        flat = np.concatenate([np.empty(0, np.int64), *self.letters])
-        kind = np.uint8 if self.n.max() < 256 else np.uint16 if self.n.max() < 65_536 else np.int64
-        self.held = np.ascontiguousarray(np.bincount(owner * _BINS + bins[flat], minlength=len(order) * _BINS).reshape(-1, _BINS).T.astype(kind))
-
-    def padded(self, rows: np.ndarray, end: int) -> np.ndarray:
-        out = np.full((len(rows), self.n[rows].max()), end, np.int64)
-        for k, r in enumerate(rows):
-            out[k, :self.n[r]] = self.letters[r]
-        return out
-
-
-def _common(a: _Titles, ka: np.ndarray, b: _Titles, kb: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of pairs of titles, all pairs at once with one bit per letter of ``a`` (as ``_lcs_length`` does for one pair)."""
-    if max(a.n[ka].max(), b.n[kb].max()) > _LONG:
-        return np.array([_lcs_length(a.text[x], b.text[y]) for x, y in zip(ka, kb)], np.int64)
-    (ra, ia), (rb, ib) = np.unique(ka, return_inverse=True), np.unique(kb, return_inverse=True)
-    letters = np.unique(np.concatenate([a.letters[r] for r in ra]))
-    size, words = len(letters) + 1, int(a.n[ra].max() + 63) // 64
-    owner, place = np.repeat(np.arange(len(ra)), a.n[ra]), np.concatenate([np.arange(a.n[r]) for r in ra])
-    masks = np.zeros((words, len(ra) * size), np.uint64)
-    np.bitwise_or.at(masks, (place >> 6, owner * size + np.searchsorted(letters, np.concatenate([a.letters[r] for r in ra]))), np.uint64(1) << (place & 63).astype(np.uint64))
-    text = b.padded(rb, -1)
-    at = np.minimum(np.searchsorted(letters, text), size - 2)
-    text = np.where(letters[at] == text, at, size - 1)  # letters that ``a`` has not, and the rest of a row, change nothing
-    base, row = ia * size, np.full((words, len(ka)), ~np.uint64(0))
-    for step in text.T:
-        slot, carry = base + step[ib], None
+_ROWS, _LETTERS = 32_768, 4_000_000
+#: Bins of letters; titles of a leaf; titles and pairs that are handled at once; most bit masks of a leaf.
+_BINS, _LEAF, _WIDE, _PAIRS, _MASKS = 48, 256, 1024, 8192, 8_000_000
+#: Letters that a kind of letters should have in a title; most kinds.
+_KIND, _KINDS = 24, 8
+#: Titles by which the sums that tell leaves apart are chosen, and the number of these sums beside the length.
+_LOOKED, _SUMS = 2000, 3
+
+
+@dataclass
+class _Letters:
+    """Titles cut down to some letters: ``at[k]`` holds the k-th letter of every title as a number below ``size - 1``, and ``size - 1`` after a title's end."""
+
+    n: np.ndarray
+    at: np.ndarray
+    size: int
+
+    @classmethod
+    def of(cls, owner: np.ndarray, letter: np.ndarray, order: np.ndarray, place: np.ndarray, size: int) -> _Letters:
+        """``owner`` and ``letter`` go title by title; ``order`` is the order wanted and ``place`` where it puts a title."""
+        n = np.bincount(owner, minlength=len(order))
+        at = np.full((n.max(initial=0), len(order)), size - 1, np.uint8 if size <= 256 else np.uint16 if size <= 65_536 else np.int32)
+        at[np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), place[owner]] = letter
+        return cls(n[order], at, size)
+
+    def masks(self, x: int, up: int) -> np.ndarray | None:
+        """One bit per place of a letter: (64 places, titles ``x`` to ``up`` times letters); none if these are too many."""
+        last = self.n[x:up].max()
+        shape = (last + 63 >> 6, up - x, self.size)
+        if math.prod(map(int, shape)) > _MASKS:
+            return None
+        out, rows = np.zeros(shape, np.uint64), np.arange(up - x)
+        for k in range(last):
+            out[k >> 6, rows, self.at[k, x:up]] |= np.uint64(1 << (k & 63))
+        out[:, :, -1] = 0
+        return out.reshape(len(out), -1)
+
+    def title(self, k: int) -> list[int]:
+        return self.at[:self.n[k], k].tolist()
+
+
+def _common(a: _Letters, masks: np.ndarray | None, x: int, ka: np.ndarray, b: _Letters, kb: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs, all pairs at once with one bit per letter of ``a`` (as ``_lcs_length`` does for one pair).
+
+    ``masks`` are those of ``a`` from title ``x`` on.
+    """
+    words, steps = int(a.n[ka].max() + 63) // 64, b.n[kb].max()
+    if masks is None or len(ka) < 12 * words:  # few pairs of long titles
+        return np.array([_lcs_length(a.title(i), b.title(j)) for i, j in zip(ka, kb)], np.int64)
+    base, row = (ka - x) * a.size, np.full((words, len(ka)), ~np.uint64(0))
+    slot, hit = np.empty(len(ka), np.int64), np.empty(len(ka), np.uint64)
+    for step in b.at[:steps]:
+        np.add(base, step.take(kb), out=slot)
+        carry = None
         for w in range(words):
             old = row[w]
-            hit = old & masks[w].take(slot)
+            masks[w].take(slot, out=hit, mode="clip")
+            np.bitwise_and(hit, old, out=hit)
             new = old + hit
             if words > 1:
                 over = new < old
@@ -74,36 +91,125 @@ def _common(a: _Titles, ka: np.ndarray, b: _Titles, kb: np.ndarray) -> np.ndarra
     return 64 * words - np.bitwise_count(row).sum(0, dtype=np.int64)
 
 
+class _Titles:
+    """Titles in leaves of alike ones: how many letters of each bin they hold, and their letters, all and of each kind."""
+
+    def __init__(self, n: np.ndarray, letter: np.ndarray, bins: np.ndarray, kinds: np.ndarray, sums: np.ndarray):
+        """``bins`` gives the bin of a letter, ``kinds`` the kind of a bin, ``sums`` weights of bins from -1 to 1."""
+        rows = len(n)
+        owner, bin_of = np.repeat(np.arange(rows, dtype=np.int32), n), bins[letter]
+        wide = np.bincount(owner * np.int32(_BINS) + bin_of, minlength=rows * _BINS).reshape(-1, _BINS)
+        sums = wide @ sums.T
+        self.order, cuts = _leaves(sums)
+        place = np.empty(rows, np.int32)
+        place[self.order] = np.arange(rows)
+        self.n, sums = n[self.order], sums[self.order]
+        self.cuts = list(zip(cuts[:-1], cuts[1:]))
+        self.low, self.high = (np.array([pick(sums[x:y], axis=0) for x, y in self.cuts]) for pick in (np.min, np.max))
+        kind = np.uint8 if n.max() < 256 else np.uint16 if n.max() < 65_536 else np.int64
+        self.held = np.ascontiguousarray(wide[self.order].T.astype(kind))
+        self.all = _Letters.of(owner, letter, self.order, place, len(bins) + 1)
+        self.parts = []
+        for k in range(kinds.max() + 1 if kinds.max() else 0):
+            mine = np.flatnonzero(kinds[bins] == k)
+            to = np.zeros(len(bins), np.int32)
+            to[mine] = np.arange(len(mine))
+            held = (kinds == k)[bin_of]
+            self.parts.append((np.flatnonzero(kinds == k), _Letters.of(owner[held], to[letter[held]], self.order, place, len(mine) + 1)))
+
+
+def _leaves(sums: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """An order of titles and the borders of its leaves: halves, again and again, by the sum that differs most."""
+    done, todo = [], [np.arange(len(sums))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= _LEAF:
+            done.append(rows)
+            continue
+        s = sums[rows]
+        s = s[:, s.std(0).argmax()]
+        half = np.argpartition(s, len(s) // 2)
+        todo += [rows[half[len(s) // 2:]], rows[half[:len(s) // 2]]]
+    return np.concatenate(done), np.cumsum([0] + [len(r) for r in done]).tolist()
+
+
+def _sums(n: np.ndarray, letter: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Weights of bins, each from -1 to 1: all letters alike, and those that tell the titles looked at apart. Whatever they are, an edit changes no sum by more than 1."""
+    start = np.cumsum(n) - n
+    rows = np.unique(np.linspace(0, len(n) - 1, min(len(n), _LOOKED)).astype(np.int64))
+    held = np.array([np.bincount(bins[letter[s:s + k]], minlength=_BINS) / k for s, k in zip(start[rows], n[rows])])
+    weights = np.linalg.eigh(np.cov(held.T) if len(rows) > 1 else np.eye(_BINS))[1].T[::-1][:_SUMS]
+    return np.concatenate([np.ones((1, _BINS)), np.sign(weights)])
+
+
 def similar_in(left: list[str], right: list[str] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (in ``left``, in ``right``) of the pairs with a ratio above ``threshold``; without ``right`` the pairs within ``left``. No title is empty."""
     titles = left + (right or [])
     n = np.array([len(t) for t in titles], np.int64)
-    _, letter, times = np.unique(np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True, return_counts=True)
-    rank = np.empty(len(times), np.int64)
-    rank[np.argsort(-times, kind="stable")] = np.arange(len(times))
-    bins = np.where(rank < _BINS - 16, rank, _BINS - 16 + rank % 16)  # the most frequent letters have bins of their own
-    sides = [_Titles(titles, low + np.argsort(n[low:high], kind="stable"), n, letter, bins) for low, high in ((0, len(left)), (len(left), len(titles))) if high > low]
-    a, b, share = sides[0], sides[-1], threshold / 100.0
-    reach = (2 - share) / share
-    for x in range(0, len(a.n), _TALL):
-        up = min(x + _TALL, len(a.n))
-        first, last = np.searchsorted(b.n, a.n[x] / reach - 1e-6), np.searchsorted(b.n, a.n[up - 1] * reach + 1e-6, "right")
-        need = (a.n[x:up, None] * share / 2 - 0.05).astype(np.float32)
+    letter = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32)
+    times = np.bincount(letter)
+    often = np.argsort(-times, kind="stable")[:np.count_nonzero(times)]
+    number = np.zeros(len(times), np.int32)
+    number[often] = np.arange(len(often))
+    letter = number[letter]  # the most frequent letters come first and have bins of their own
+    bins = np.arange(len(often), dtype=np.int32)
+    bins = np.where(bins < _BINS - 8, bins, _BINS - 8 + bins % 8)
+    kinds = np.arange(_BINS) % max(1, min(_KINDS, int(n.mean()) // _KIND))
+    sums, share = _sums(n, letter, bins), threshold / 100.0
+    ends = [0, len(left), len(titles)]
+    a, *b = [_Titles(n[x:y], letter[n[:x].sum():n[:y].sum()], bins, kinds, sums) for x, y in zip(ends, ends[1:]) if y > x]
+    b, within = b[0] if b else a, right is None
+    total = np.arange(a.n.max() + b.n.max() + 1)
+    least = np.maximum(np.floor(total * share / 2).astype(np.int64) - 1, 0)  # letters that a similar pair has in common, by its length sum
+    for _ in range(3):
+        least += 200.0 * least <= threshold * total
+    floor_a, floor_b = (np.floor(s.n * share / 2 - 1e-6).astype(s.held.dtype) for s in (a, b))
+    dtype = max(a.held.dtype, b.held.dtype)
+    room = np.empty((2, _LEAF * _WIDE), dtype)
+    ends_b = np.array([y for _, y in b.cuts])
+    for leaf, (x, up) in enumerate(a.cuts):
+        far = np.maximum(b.low - a.high[leaf], a.low[leaf] - b.high).max(1)  # the edits that a pair of two leaves has at least
+        near = far <= (1 - share) * (a.high[leaf, 0] + b.high[:, 0]) + 1e-6
+        if within:
+            near[:leaf] = False
+        cols = np.flatnonzero(np.repeat(near, np.diff(ends_b, prepend=0)))
         found = []
-        for y in range(first if right is not None else x, last, _WIDE):
-            to = min(y + _WIDE, last)
-            shared = np.zeros((up - x, to - y), max(a.held.dtype, b.held.dtype))
-            for k in np.flatnonzero(a.held[:, x:up].any(1) & b.held[:, y:to].any(1)):
-                shared += np.minimum(a.held[k, x:up, None], b.held[k, None, y:to])
-            ka, kb = np.nonzero(shared - (b.n[y:to] * share / 2).astype(np.float32) >= need)
-            ka, kb = ka + x, kb + y
-            other = kb > ka if right is None else slice(None)
-            found.append((ka[other], kb[other]))
-        ka, kb = (np.concatenate([np.empty(0, np.int64), *f]) for f in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        for y in range(0, len(cols), _WIDE):
+            to = cols[y:y + _WIDE]
+            wide, held = (up - x, len(to)), b.held.take(to, axis=1)
+            shared, both = (r[:wide[0] * wide[1]].reshape(wide) for r in room)
+            shared[:] = 0
+            for k in np.flatnonzero(a.held[:, x:up].any(1) & held.any(1)):
+                np.minimum(a.held[k, x:up, None], held[k], out=both)
+                np.add(shared, both, out=shared)
+            flat = np.flatnonzero(shared > floor_a[x:up, None].astype(dtype) + floor_b[to])
+            ka, kb, most = x + flat // wide[1], to[flat % wide[1]], shared.reshape(-1)[flat].astype(np.int64)
+            some = most >= least[a.n[ka] + b.n[kb]]
+            if within:
+                some &= kb > ka
+            found.append((ka[some], kb[some], most[some]))
+        if not found:
+            continue
+        ka, kb, most = (np.concatenate(f) for f in zip(*found))
+        for (own, la), (_, lb) in zip(a.parts, b.parts):
+            if not len(ka):
+                break
+            masks, kept = la.masks(x, up), []
+            short = np.argsort(np.minimum(lb.n[kb], 65_535).astype(np.uint16), kind="stable")  # pairs of alike lengths are handled together
+            ka, kb, most = ka[short], kb[short], most[short]
+            for p in range(0, len(ka), _PAIRS):
+                pa, pb, m = ka[p:p + _PAIRS], kb[p:p + _PAIRS], most[p:p + _PAIRS]
+                for k in own:
+                    m = m - np.minimum(a.held[k].take(pa), b.held[k].take(pb))
+                m += _common(la, masks, x, pa, lb, pb)
+                some = m >= least[a.n[pa] + b.n[pb]]
+                kept.append((pa[some], pb[some], m[some]))
+            ka, kb, most = (np.concatenate(k) for k in zip(*kept))
+        masks = a.all.masks(x, up) if len(ka) else None
         for p in range(0, len(ka), _PAIRS):
             pa, pb = ka[p:p + _PAIRS], kb[p:p + _PAIRS]
-            close = 200.0 * _common(a, pa, b, pb) / (a.n[pa] + b.n[pb]) > threshold
-            yield a.order[pa[close]], b.order[pb[close]] - (len(left) if right is not None else 0)
+            close = 200.0 * _common(a.all, masks, x, pa, b.all, pb) / (a.n[pa] + b.n[pb]) > threshold
+            yield a.order[pa[close]], b.order[pb[close]]
 
 
 def similar_titles(titles: DataFrame, threshold: float) -> DataFrame:

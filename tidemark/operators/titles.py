@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from ..functions.text import _lcs_length
 
 #: Most titles and letters of a part.
-_ROWS, _LETTERS = 32_768, 4_000_000
-#: Bins of letters; titles of a leaf; titles and pairs that are handled at once; most bit masks of a leaf.
-_BINS, _LEAF, _WIDE, _PAIRS, _MASKS = 48, 256, 1024, 8192, 8_000_000
+_ROWS, _LETTERS = 32_768, 2_000_000
+#: Bins of letters by the mean length of titles from which they are worth their time.
+_BINS = {0: 24, 70: 32, 130: 48}
+#: Titles of a leaf; titles and pairs that are handled at once; most bit masks of a leaf.
+_LEAF, _WIDE, _PAIRS, _MASKS = 256, 1024, 8192, 8_000_000
 #: Letters that a kind of letters should have in a title; most kinds.
 _KIND, _KINDS = 24, 8
 #: Titles by which the sums that tell leaves apart are chosen, and the number of these sums beside the length.
@@ -96,9 +98,9 @@ class _Titles:
 
     def __init__(self, n: np.ndarray, letter: np.ndarray, bins: np.ndarray, kinds: np.ndarray, sums: np.ndarray):
         """``bins`` gives the bin of a letter, ``kinds`` the kind of a bin, ``sums`` weights of bins from -1 to 1."""
-        rows = len(n)
+        rows, size = len(n), len(kinds)
         owner, bin_of = np.repeat(np.arange(rows, dtype=np.int32), n), bins[letter]
-        wide = np.bincount(owner * np.int32(_BINS) + bin_of, minlength=rows * _BINS).reshape(-1, _BINS)
+        wide = np.bincount(owner * np.int32(size) + bin_of, minlength=rows * size).reshape(-1, size)
         sums = wide @ sums.T
         self.order, cuts = _leaves(sums)
         place = np.empty(rows, np.int32)
@@ -133,13 +135,13 @@ def _leaves(sums: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return np.concatenate(done), np.cumsum([0] + [len(r) for r in done]).tolist()
 
 
-def _sums(n: np.ndarray, letter: np.ndarray, bins: np.ndarray) -> np.ndarray:
+def _sums(n: np.ndarray, letter: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray:
     """Weights of bins, each from -1 to 1: all letters alike, and those that tell the titles looked at apart. Whatever they are, an edit changes no sum by more than 1."""
     start = np.cumsum(n) - n
     rows = np.unique(np.linspace(0, len(n) - 1, min(len(n), _LOOKED)).astype(np.int64))
-    held = np.array([np.bincount(bins[letter[s:s + k]], minlength=_BINS) / k for s, k in zip(start[rows], n[rows])])
-    weights = np.linalg.eigh(np.cov(held.T) if len(rows) > 1 else np.eye(_BINS))[1].T[::-1][:_SUMS]
-    return np.concatenate([np.ones((1, _BINS)), np.sign(weights)])
+    held = np.array([np.bincount(bins[letter[s:s + k]], minlength=size) / k for s, k in zip(start[rows], n[rows])])
+    weights = np.linalg.eigh(np.cov(held.T) if len(rows) > 1 else np.eye(size))[1].T[::-1][:_SUMS]
+    return np.concatenate([np.ones((1, size)), np.sign(weights)])
 
 
 def similar_in(left: list[str], right: list[str] | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -153,9 +155,10 @@ def similar_in(left: list[str], right: list[str] | None, threshold: float) -> It
     number[often] = np.arange(len(often))
     letter = number[letter]  # the most frequent letters come first and have bins of their own
     bins = np.arange(len(often), dtype=np.int32)
-    bins = np.where(bins < _BINS - 8, bins, _BINS - 8 + bins % 8)
-    kinds = np.arange(_BINS) % max(1, min(_KINDS, int(n.mean()) // _KIND))
-    sums, share = _sums(n, letter, bins), threshold / 100.0
+    size = max(b for length, b in _BINS.items() if n.mean() >= length)
+    bins = np.where(bins < size - 8, bins, size - 8 + bins % 8)
+    kinds = np.arange(size) % max(1, min(_KINDS, int(n.mean()) // _KIND))
+    sums, share = _sums(n, letter, bins, size), threshold / 100.0
     ends = [0, len(left), len(titles)]
     a, *b = [_Titles(n[x:y], letter[n[:x].sum():n[:y].sum()], bins, kinds, sums) for x, y in zip(ends, ends[1:]) if y > x]
     b, within = b[0] if b else a, right is None
@@ -195,7 +198,7 @@ def similar_in(left: list[str], right: list[str] | None, threshold: float) -> It
             if not len(ka):
                 break
             masks, kept = la.masks(x, up), []
-            short = np.argsort(np.minimum(lb.n[kb], 65_535).astype(np.uint16), kind="stable")  # pairs of alike lengths are handled together
+            short = np.argsort(np.minimum(np.maximum(la.n[ka], lb.n[kb]), 65_535).astype(np.uint16), kind="stable")  # pairs of alike lengths are handled together
             ka, kb, most = ka[short], kb[short], most[short]
             for p in range(0, len(ka), _PAIRS):
                 pa, pb, m = ka[p:p + _PAIRS], kb[p:p + _PAIRS], most[p:p + _PAIRS]

@@ -58,7 +58,7 @@ class _Letters:
         for k in range(last):
             out[k >> 6, rows, self.at[k, x:up]] |= np.uint64(1 << (k & 63))
         out[:, :, -1] = 0
-        return out.reshape(len(out), -1)
+        return out.reshape(shape[0], shape[1] * shape[2])
 
     def title(self, k: int) -> list[int]:
         return self.at[:self.n[k], k].tolist()
